@@ -47,7 +47,8 @@ def write_grid(rows: DataFrame, target: str, mode: str = "overwrite", fmt: str =
     out = rows.orderBy("pos") if "pos" in rows.columns else rows
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"').option("emptyValue", "")
+        writer = (writer.option("header", True).option("escape", '"')
+                  .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if as_table:
         spark = rows.sparkSession
         if mode == "append" and not spark.catalog.tableExists(target):
@@ -62,7 +63,9 @@ def read_grid(spark: SparkSession, target: str, fmt: str = "parquet", as_table:
         return spark.table(target)
     if fmt == "csv":
         # A grid cell is never NULL: an empty cell reads back as ''.
-        return spark.read.option("header", True).option("escape", '"').csv(target).na.fill("")
+        return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                .csv(target).na.fill(""))
     return spark.read.format(fmt).load(target)
 
 

@@ -27,7 +27,7 @@ def trim_space(c) -> Column:
 
 def normalize_id(c) -> Column:
     """remove every ASCII hyphen and space, nothing else."""
-    return F.translate(col(c), "- ", "")
+    return F.replace(F.replace(col(c), F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
 
 
 def _digit(c: Column, i: int) -> Column:
@@ -63,31 +63,47 @@ def is_isbn13(c) -> Column:
     return F.coalesce(n.rlike(_ISBN13_SHAPE) & (check == _digit(n, 13)), F.lit(False))
 
 
+def is_valid_id(n) -> Column:
+    """True iff the normalised value ``n`` is a valid ISBN-13 or ISBN-10."""
+    n = col(n)
+    size = F.octet_length(n)
+    return F.when(size == 13, is_isbn13(n)).when(size == 10, is_isbn10(n)).otherwise(F.lit(False))
+
+
+def id_type(n, ok) -> Column:
+    """Type name from the byte length of ``n`` and its validity ``ok``."""
+    size = F.octet_length(col(n))
+    return (F.when(~col(ok), F.lit(fixed.TYPE_INVALID))
+            .when(size == 13, F.lit(fixed.TYPE_ISBN13)).otherwise(F.lit(fixed.TYPE_ISBN10)))
+
+
+def reject_reason(n) -> Column:
+    """Message for an identifier known to be invalid: checksum messages by
+    byte length (a bad prefix or a letter is a checksum failure too)."""
+    size = F.octet_length(col(n))
+    return (F.when(size == 13, F.lit(fixed.MSG_BAD_ISBN13)).when(size == 10, F.lit(fixed.MSG_BAD_ISBN10))
+            .otherwise(F.lit(fixed.MSG_BAD_FORMAT)))
+
+
+def classification(n, ok) -> Column:
+    """STRUCT<type, normalized, error> from ``n`` and its validity ``ok``;
+    unset members are '' as in the tool."""
+    return F.struct(
+        id_type(n, ok).alias("type"),
+        F.when(col(ok), col(n)).otherwise(F.lit("")).alias("normalized"),
+        F.when(col(ok), F.lit("")).otherwise(reject_reason(n)).alias("error"),
+    )
+
+
 def classify_id(c) -> Column:
-    """STRUCT<type, normalized, error>; unset members are '' as in the tool.
+    """F4 as one expression: STRUCT<type, normalized, error>.
 
     Length is measured in bytes, so multi-byte characters count as the tool
-    counts them. A NULL input is an Invalid format error.
+    counts them. A NULL input is an Invalid format error. For whole frames
+    use ``operators.validate.classify``, which normalises once per row.
     """
     n = normalize_id(c)
-    size = F.octet_length(n)
-
-    def result(kind: str, normalized: Column | str, error: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("type"),
-            (normalized if isinstance(normalized, Column) else F.lit(normalized)).alias("normalized"),
-            F.lit(error).alias("error"),
-        )
-
-    return (
-        F.when(size == 13,
-               F.when(is_isbn13(n), result(fixed.TYPE_ISBN13, n, ""))
-               .otherwise(result(fixed.TYPE_INVALID, "", fixed.MSG_BAD_ISBN13)))
-        .when(size == 10,
-              F.when(is_isbn10(n), result(fixed.TYPE_ISBN10, n, ""))
-              .otherwise(result(fixed.TYPE_INVALID, "", fixed.MSG_BAD_ISBN10)))
-        .otherwise(result(fixed.TYPE_INVALID, "", fixed.MSG_BAD_FORMAT))
-    )
+    return classification(n, is_valid_id(n))
 
 
 def isbn10_to_13(c) -> Column:

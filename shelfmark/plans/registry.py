@@ -40,7 +40,7 @@ def _classified(spark, sf):
 
 
 def _valid(spark, sf):
-    return valid_ids(_classified(spark, sf))
+    return valid_ids(_raw(spark, sf))
 
 
 def _providers(spark, sf):
@@ -91,7 +91,7 @@ def q_valid_ids(spark, sf):
 
 
 def q_rejected_ids(spark, sf):
-    return rejected_ids(_classified(spark, sf)).select("pos", "raw", "reason")
+    return rejected_ids(_raw(spark, sf)).select("pos", "raw", "reason")
 
 
 def q_isbn10_to_13(spark, sf):
@@ -100,7 +100,7 @@ def q_isbn10_to_13(spark, sf):
 
 
 def q_input_counts(spark, sf):
-    return input_counts(_classified(spark, sf))
+    return input_counts(_raw(spark, sf))
 
 
 # --- sources -----------------------------------------------------------------
@@ -207,7 +207,7 @@ def q_sheet_round_trip(spark, sf):
     """Grid export -> cell cleaning -> classify -> resolve -> grid write."""
     configure(spark)
     ids = sheet_column_ids(read_grid_export(spark, D.materialize(spark, sf, "sheet_grid")))
-    res = R.resolve(valid_ids(classify(ids)), _providers(spark, sf))
+    res = R.resolve(valid_ids(ids), _providers(spark, sf))
     target = scratch_path(spark, "grid", "round-trip", unique=True)
     G.write_grid(G.sheet_rows(res, keep=()), target, mode="overwrite", fmt="csv")
     return G.read_grid(spark, target, fmt="csv")

@@ -31,7 +31,7 @@ def _providers(spark):
 
 def _valid(spark, values):
     ids = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "pos BIGINT, raw STRING")
-    return valid_ids(classify(ids))
+    return valid_ids(ids)
 
 
 def test_priority_fallback_and_duplicates(spark):

@@ -83,38 +83,45 @@ def parse_provider_a(snapshot: DataFrame) -> DataFrame:
     return staged.select("isbn", "fetched_at", hit.alias("hit"), F.when(hit, meta).alias("meta"))
 
 
+def _identifier_ok(e: Column) -> Column:
+    return J.is_object(e) & J.strict(J.get(e, "$.type"), J.is_string) \
+        & J.strict(J.get(e, "$.identifier"), J.is_string)
+
+
 def _b_volume_ok(vi: Column) -> Column:
     """Every declared member of a volumeInfo object decodes into its type."""
     def field(name: str, ok) -> Column:
         return J.strict(J.get(vi, f"$.{name}"), ok)
 
-    def strings(name: str) -> Column:
-        return J.strict_array(J.get(vi, f"$.{name}"), J.is_string)
-
-    def identifier_ok(e: Column) -> Column:
-        return J.is_object(e) & J.strict(J.get(e, "$.type"), J.is_string) \
-            & J.strict(J.get(e, "$.identifier"), J.is_string)
-
     return (
         J.is_absent(vi) | (
             J.is_object(vi)
-            & field("title", J.is_string) & strings("authors") & field("publisher", J.is_string)
-            & field("publishedDate", J.is_string) & field("pageCount", J.is_integer)
-            & field("language", J.is_string) & strings("categories")
-            & J.strict_array(J.get(vi, "$.industryIdentifiers"), identifier_ok)
+            & field("title", J.is_string) & J.strict_string_array(J.get(vi, "$.authors"))
+            & field("publisher", J.is_string) & field("publishedDate", J.is_string)
+            & field("pageCount", J.is_integer) & field("language", J.is_string)
+            & J.strict_string_array(J.get(vi, "$.categories"))
+            & J.strict_object_array(J.get(vi, "$.industryIdentifiers"), ("type", "identifier"), _identifier_ok)
         )
     )
 
 
+def _item_ok(it: Column) -> Column:
+    return J.is_absent(it) | (J.is_object(it) & _b_volume_ok(J.get(it, "$.volumeInfo")))
+
+
 def _string_list(v: Column) -> Column:
-    # JSON null elements of a []string stay "" (zero value).
-    return F.transform(F.try_variant_get(v, "$", "array<string>"), lambda s: F.coalesce(s, F.lit("")))
+    # JSON null elements of a []string stay "" (zero value); the lambda only
+    # runs when the list holds a null.
+    arr = F.try_variant_get(v, "$", "array<string>")
+    return F.when(F.size(arr) == F.size(F.array_compact(arr)), arr).otherwise(
+        F.transform(arr, lambda s: F.coalesce(s, F.lit(""))))
 
 
 def _last_identifier(ids: Column, kind: str) -> Column:
-    typed = F.filter(ids, lambda e: J.string_or_blank(J.get(e, "$.type")) == kind)
-    last = F.element_at(typed, -1)
-    return F.when(F.size(typed) > 0, J.string_or_blank(J.get(last, "$.identifier"))).otherwise(F.lit(""))
+    """Identifier of the last element of type ``kind`` ('' if none)."""
+    at = F.array_position(F.reverse(ids.getField("type")), kind)
+    return F.when(at > 0, F.coalesce(F.element_at(ids.getField("identifier"), -at.cast("int")), F.lit(""))) \
+        .otherwise(F.lit(""))
 
 
 def parse_provider_b(snapshot: DataFrame) -> DataFrame:
@@ -123,27 +130,32 @@ def parse_provider_b(snapshot: DataFrame) -> DataFrame:
     Any wrong-typed declared member in any item (including the unused
     ``language``) makes the whole response a miss. Hit iff status 200, the
     decode succeeds, ``totalItems`` is non-zero and there is a first item.
+    The first item is checked with plain column expressions; further items
+    (rare) go through a per-item lambda.
     """
     staged = snapshot.select(
         "isbn", "fetched_at", "status_code", _parsed_body().alias("v")
     ).select(
         "isbn", "fetched_at", "status_code", "v",
         J.get("v", "$.totalItems").alias("total"), J.get("v", "$.items").alias("items"),
-    )
-
-    def item_ok(it: Column) -> Column:
-        return J.is_object(it) & _b_volume_ok(J.get(it, "$.volumeInfo"))
-
-    decoded = J.is_object("v") & J.strict(F.col("total"), J.is_integer) & J.strict_array(F.col("items"), item_ok)
+    ).select(
+        "isbn", "fetched_at", "status_code", "v", "total", "items",
+        J.elements("items").alias("item_list"), J.get("items", "$[0]").alias("item0"),
+    ).withColumn("vi", J.get("item0", "$.volumeInfo"))
+
+    rest = F.slice(F.col("item_list"), 2, F.greatest(F.size("item_list") - 1, F.lit(0)))
+    every_item_ok = (F.size("item_list") == 0) | (_item_ok(F.col("item0")) & F.forall(rest, _item_ok))
+    items_ok = J.is_absent("items") | (F.col("item_list").isNotNull() & F.coalesce(every_item_ok, F.lit(False)))
+    decoded = J.is_object("v") & J.strict(F.col("total"), J.is_integer) & items_ok
     total_n = F.coalesce(F.try_variant_get("total", "$", "bigint"), F.lit(0))
-    has_first = J.is_array("items") & (F.size(J.elements("items")) > 0)
+    has_first = F.coalesce(F.size("item_list") > 0, F.lit(False))
     staged = staged.select(
         "isbn", "fetched_at",
         F.coalesce((F.col("status_code") == 200) & (total_n != 0) & has_first & decoded, F.lit(False)).alias("hit"),
-        J.get("items", "$[0].volumeInfo").alias("vi"),
+        "vi",
     )
     vi = F.col("vi")
-    ids = J.elements(J.get(vi, "$.industryIdentifiers"))
+    ids = F.try_variant_get(J.get(vi, "$.industryIdentifiers"), "$", "array<struct<type: string, identifier: string>>")
     meta = _meta(
         isbn_10=_last_identifier(ids, fixed.IDENTIFIER_TYPE_10),
         isbn_13=_last_identifier(ids, fixed.IDENTIFIER_TYPE_13),

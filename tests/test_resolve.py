@@ -108,3 +108,25 @@ def test_resolve_plan_has_no_extra_exchange_between_provider_joins(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_job_writes_reports(spark, tmp_dir):
+    import os
+
+    from shelfmark.plans.jobs import run_resolve, write_report, write_sheet
+    from shelfmark.plans.report import read_csv_rows
+
+    ids = spark.createDataFrame([(i, v) for i, v in enumerate(
+        ["978-0134190440", "bad", "0-596-52068-9", "9780132350884", "9780134190440"])], "pos BIGINT, raw STRING")
+    job = run_resolve(spark, ids, _providers(spark))
+    assert job.results.count() == 4 and job.rejected.count() == 1
+    s = job.summary.first()
+    assert (s.total, s.successful, s.failed) == (4, 3, 1)
+    out = os.path.join(tmp_dir, "out")
+    for fmt in ("csv", "json", "text"):
+        write_report(job, f"{out}/{fmt}", fmt)
+    rows = read_csv_rows(spark, f"{out}/csv/results").collect()
+    assert [r["ISBN"] for r in rows] == ["9780134190440", "0596520689", "9780132350884", "9780134190440"]
+    assert spark.read.json(f"{out}/json/summary").first().total == 4
+    preview = write_sheet(job, "", dry_run=True)
+    assert preview[0] == "Would write 5 rows:"

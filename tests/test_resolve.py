@@ -130,3 +130,20 @@ def test_job_writes_reports(spark, tmp_dir):
     assert spark.read.json(f"{out}/json/summary").first().total == 4
     preview = write_sheet(job, "", dry_run=True)
     assert preview[0] == "Would write 5 rows:"
+
+
+def test_three_provider_chain_by_priority(spark):
+    """The chain is a list: the lowest priority number with a hit wins."""
+    from shelfmark.operators.providers import Provider, parse_provider_a
+
+    a, b = _providers(spark)
+    c_snap = spark.createDataFrame([
+        ("9780132350884", 200, '{"ISBN:9780132350884":{"title":"C"}}', TS),
+        ("9780134190440", 200, '{"ISBN:9780134190440":{"title":"C too"}}', TS),
+    ], SNAP)
+    c = Provider("provider_c", 0, c_snap, parse_provider_a)        # highest priority
+    keys = R.key_counts(_valid(spark, ["9780134190440", "0596520689", "9780132350884"]))
+    got = {r.isbn: (r.provider, r.meta.title if r.meta else None)
+           for r in R.resolve_keys(keys, [a, b, c]).collect()}
+    assert got == {"9780134190440": ("provider_c", "C too"), "0596520689": ("provider_b", "From B"),
+                   "9780132350884": ("provider_c", "C")}

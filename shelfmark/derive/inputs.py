@@ -283,7 +283,12 @@ _BUILDERS = {
     "sheet_grid": (sheet_grid_expr, "csv", "pos", 20_000),
     "job_manifest": (job_manifest_expr, "parquet", "job_id", 20_000),
 }
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # re-entrant: a build may materialise its own inputs
+
+
+def register(name: str, build, fmt: str = "parquet", key: str = "isbn", rows_per_file: int = 20_000) -> None:
+    """Add a table built by ``build(spark, sf_dir)`` to what ``materialize`` can write."""
+    _BUILDERS[name] = (build, fmt, key, rows_per_file)
 
 
 def _layout(spark: SparkSession, df: DataFrame, key: str, rows_per_file: int) -> DataFrame:

@@ -311,6 +311,7 @@ def oracle_sql() -> dict[str, str]:
             "WHEN NOT (contains(range, ':') OR contains(range, '!')) THEN 'invalid range format: ' || range || "
             "' (use A1 notation like ''A2:A'' or ''Sheet1!A2:A'')' END AS range_error FROM manifest"),
         "resolve": base + f"SELECT {res_cols} FROM results",
+        "resolve_chain": base + f"SELECT {res_cols} FROM results",
         "fallback_keys": base + "SELECT k.isbn FROM keys k WHERE NOT EXISTS "
                                 "(SELECT 1 FROM exp_a a WHERE a.isbn = k.isbn)",
         "unresolved_ids": base + "SELECT isbn, error FROM best WHERE error IS NOT NULL",

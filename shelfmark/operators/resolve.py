@@ -122,3 +122,33 @@ def resolve(valid: DataFrame, providers: list[Provider],
 def resolve_summary_keys(valid: DataFrame, providers: list[Provider]) -> DataFrame:
     """Key-level result table (isbn, n, provider, meta, error) for summaries."""
     return resolve_keys(key_counts(valid), providers)
+
+
+def lookup_table(providers: list[Provider]) -> DataFrame:
+    """Per-key winner over every snapshot key: ``(isbn, provider, meta)``.
+
+    The priority pick of ``resolve_keys`` done once for all keys a snapshot
+    holds, so it can be written once and reused by any number of batches or
+    micro-batches without parsing a response again. Each provider's latest
+    hits are unioned with their rank and reduced by a grouped ``min_by``
+    (map-side partial aggregate).
+    """
+    hits = None
+    for rank, p in enumerate(_ordered(providers)):
+        h = p.hits().select("isbn", F.lit(rank).alias("rank"), F.lit(p.name).alias("provider"), "meta")
+        hits = h if hits is None else hits.unionByName(h)
+    best = hits.groupBy("isbn").agg(F.min_by(F.struct("provider", "meta"), F.col("rank")).alias("w"))
+    return best.select("isbn", F.col("w.provider").alias("provider"), F.col("w.meta").alias("meta"))
+
+
+def resolve_keys_with_lookup(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``resolve_keys`` against a prepared lookup table (one left join)."""
+    out = keys.join(lookup.select("isbn", "provider", "meta"), "isbn", "left")
+    return out.withColumn("error", F.when(F.col("provider").isNull(), F.lit(fixed.MSG_UNRESOLVED)))
+
+
+def resolve_with_lookup(valid: DataFrame, lookup: DataFrame,
+                        rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
+                        max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+    """``resolve`` against a prepared lookup table; same output columns."""
+    return attach(valid, resolve_keys_with_lookup(key_counts(valid), lookup), rows_per_split, max_hot_keys)

@@ -23,7 +23,7 @@ from ..operators.validate import classify, input_counts, rejected_ids, valid_ids
 from ..session import configure, scratch_path
 from ..sources.lines import ids_from_column, read_id_lines
 from ..sources.sheets import read_grid_export, sheet_column_ids, sheet_row_count
-from ..streaming.ids import clean_ids_to, lookup_table, resolve_stream
+from ..streaming.ids import clean_ids_to, resolve_stream
 from . import grid as G
 from . import report as P
 
@@ -48,12 +48,22 @@ def _providers(spark, sf):
     return default_providers(D.load(spark, sf, "snapshot_a"), D.load(spark, sf, "snapshot_b"))
 
 
+# The provider snapshots parsed once into a per-key lookup table (written
+# into the shared folder); every result-producing query joins against it.
+D.register("lookup", lambda spark, sf: R.lookup_table(_providers(spark, sf)), "parquet", "isbn", 20_000)
+
+
+def _lookup(spark, sf):
+    configure(spark)
+    return D.load(spark, sf, "lookup")
+
+
 def _results(spark, sf):
-    return R.resolve(_valid(spark, sf), _providers(spark, sf))
+    return R.resolve_with_lookup(_valid(spark, sf), _lookup(spark, sf))
 
 
 def _keys(spark, sf):
-    return R.resolve_keys(R.key_counts(_valid(spark, sf)), _providers(spark, sf))
+    return R.resolve_keys_with_lookup(R.key_counts(_valid(spark, sf)), _lookup(spark, sf))
 
 
 def _flat_meta(df: DataFrame) -> list:
@@ -153,6 +163,12 @@ def q_resolve(spark, sf):
     return res.select("pos", "isbn", "provider", *_flat_meta(res), "error")
 
 
+def q_resolve_chain(spark, sf):
+    """The same result through the provider join chain (no lookup table)."""
+    res = R.resolve(_valid(spark, sf), _providers(spark, sf))
+    return res.select("pos", "isbn", "provider", *_flat_meta(res), "error")
+
+
 def q_fallback_keys(spark, sf):
     return R.fallback_keys(R.key_counts(_valid(spark, sf)), _providers(spark, sf)).select("isbn")
 
@@ -207,7 +223,7 @@ def q_sheet_round_trip(spark, sf):
     """Grid export -> cell cleaning -> classify -> resolve -> grid write."""
     configure(spark)
     ids = sheet_column_ids(read_grid_export(spark, D.materialize(spark, sf, "sheet_grid")))
-    res = R.resolve(valid_ids(ids), _providers(spark, sf))
+    res = R.resolve_with_lookup(valid_ids(ids), _lookup(spark, sf))
     target = scratch_path(spark, "grid", "round-trip", unique=True)
     G.write_grid(G.sheet_rows(res, keep=()), target, mode="overwrite", fmt="csv")
     return G.read_grid(spark, target, fmt="csv")
@@ -228,8 +244,8 @@ def q_stream_resolve(spark, sf):
     configure(spark)
     folder = D.materialize(spark, sf, "id_lines")
     out = scratch_path(spark, "stream", "resolve", unique=True)
-    lookup_table(_providers(spark, sf)).write.parquet(out + "/lookup")
-    q = resolve_stream(spark, folder, out + "/lookup", out + "/data", out + "/rejects", out + "/checkpoint",
+    lookup = D.materialize(spark, sf, "lookup")
+    q = resolve_stream(spark, folder, lookup, out + "/data", out + "/rejects", out + "/checkpoint",
                        project=lambda r: P.csv_rows(r, keep=()))
     q.awaitTermination()
     return spark.read.parquet(out + "/data").drop("epoch")
@@ -261,6 +277,7 @@ QUERIES: dict[str, Query] = {
     "extract_sheet_ids": q_extract_sheet_ids,
     "check_ranges": q_check_ranges,
     "resolve": q_resolve,
+    "resolve_chain": q_resolve_chain,
     "fallback_keys": q_fallback_keys,
     "unresolved_ids": q_unresolved_ids,
     "resolved_ids": q_resolved_ids,

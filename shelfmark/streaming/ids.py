@@ -2,8 +2,8 @@
 
 Identifiers arrive as text files in a folder. Cleaning and classification
 are the batch column expressions; resolution runs per micro-batch through
-``foreachBatch`` with the batch operator itself (``attach`` on a lookup
-table materialised once), so stream and batch give identical rows and a
+``foreachBatch`` with the batch operator itself (``resolve_with_lookup`` on
+a lookup table materialised once), so stream and batch give identical rows and a
 hot key in a micro-batch is split the same way. Each micro-batch writes to
 its own ``epoch=<id>`` folder with overwrite, so a replayed batch after a
 failure replaces its output instead of duplicating it.
@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.providers import Provider
-from ..operators.resolve import attach, key_counts
+from ..operators.resolve import resolve_with_lookup
 from ..operators.validate import classify, rejected_ids, valid_ids
 from ..sources.lines import clean_id_lines
 
@@ -39,30 +38,6 @@ def clean_ids_to(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
             .trigger(availableNow=True).start())
 
 
-def lookup_table(providers: list[Provider]) -> DataFrame:
-    """Per-key winner over all snapshot keys: ``(isbn, provider, meta)``.
-
-    The same chain as ``resolve_keys`` but keyed by every snapshot key; the
-    caller materialises it once so micro-batches do not re-parse snapshots.
-    """
-    ordered = sorted(providers, key=lambda p: p.priority)
-    hits = None
-    for rank, p in enumerate(ordered):
-        h = p.hits().select("isbn", F.lit(rank).alias("rank"), F.lit(p.name).alias("provider"), "meta")
-        hits = h if hits is None else hits.unionByName(h)
-    best = hits.groupBy("isbn").agg(F.min_by(F.struct("provider", "meta"), F.col("rank")).alias("w"))
-    return best.select("isbn", F.col("w.provider").alias("provider"), F.col("w.meta").alias("meta"))
-
-
-def resolve_batch(valid: DataFrame, lookup: DataFrame) -> DataFrame:
-    """``resolve`` with a precomputed lookup instead of the provider chain."""
-    from .. import fixed
-
-    keys = key_counts(valid).join(lookup, "isbn", "left")
-    resolved = keys.withColumn("error", F.when(F.col("provider").isNull(), F.lit(fixed.MSG_UNRESOLVED)))
-    return attach(valid, resolved)
-
-
 def resolve_stream(spark: SparkSession, folder: str, lookup_path: str, out: str, rejects: str,
                    checkpoint: str, project=None, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Streamed ids -> classify -> resolve per micro-batch -> parquet.
@@ -73,7 +48,7 @@ def resolve_stream(spark: SparkSession, folder: str, lookup_path: str, out: str,
         classified = classify(batch).persist()
         try:
             lookup = batch.sparkSession.read.parquet(lookup_path)
-            res = resolve_batch(valid_ids(classified), lookup)
+            res = resolve_with_lookup(valid_ids(classified), lookup)
             res = project(res) if project else res
             res.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
             rejected_ids(classified).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch_id}")

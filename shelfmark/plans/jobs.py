@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.providers import Provider
-from ..operators.resolve import DEFAULT_MAX_HOT_KEYS, DEFAULT_ROWS_PER_SPLIT, attach, key_counts, resolve_keys
+from ..operators.resolve import (DEFAULT_MAX_HOT_KEYS, DEFAULT_ROWS_PER_SPLIT, attach, key_counts, resolve_keys,
+                                 resolve_keys_with_lookup)
 from ..operators.summary import summary_distinct, summary_rows
 from ..operators.validate import classify, rejected_ids, require_rows, valid_ids
 from ..session import configure, scratch_path
@@ -33,10 +34,14 @@ class JobResult:
     work_dir: str
 
 
-def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider], raw: str = "raw",
+def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] | None = None, raw: str = "raw",
                 rows_per_split: int = DEFAULT_ROWS_PER_SPLIT, max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
-                require_input: bool = False) -> JobResult:
-    """C1 core: classify once (written), then resolve, keyed summaries."""
+                require_input: bool = False, lookup: DataFrame | None = None) -> JobResult:
+    """C1 core: classify once (written), then resolve, keyed summaries.
+
+    Pass ``lookup`` (from ``resolve.lookup_table``, written once) to skip
+    parsing the provider snapshots; otherwise the provider chain is joined.
+    """
     configure(spark)
     work = scratch_path(spark, "jobs", "resolve", unique=True)
     classify(ids, raw).write.parquet(f"{work}/classified")
@@ -46,7 +51,8 @@ def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider],
     valid = valid_ids(classified)
     if require_input:
         require_rows(valid, "No valid ISBNs to process")
-    keys = resolve_keys(key_counts(valid), providers)
+    counts = key_counts(valid)
+    keys = resolve_keys_with_lookup(counts, lookup) if lookup is not None else resolve_keys(counts, providers)
     keys.write.parquet(f"{work}/keys")
     keys = spark.read.parquet(f"{work}/keys")
     results = attach(valid, keys, rows_per_split, max_hot_keys)

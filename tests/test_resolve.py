@@ -130,6 +130,9 @@ def test_job_writes_reports(spark, tmp_dir):
     assert spark.read.json(f"{out}/json/summary").first().total == 4
     preview = write_sheet(job, "", dry_run=True)
     assert preview[0] == "Would write 5 rows:"
+    via_lookup = run_resolve(spark, ids, lookup=R.lookup_table(_providers(spark)))
+    cols = ["pos", "isbn", "provider", "error"]
+    assert sorted(via_lookup.results.select(*cols).collect()) == sorted(job.results.select(*cols).collect())
 
 
 def test_three_provider_chain_by_priority(spark):

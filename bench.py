@@ -31,7 +31,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, shuffle_partitions=max(8, cpus * 2), app="shelfmark-bench")
 
-    for name in ("raw_ids", "raw_ids_large", "snapshot_a", "snapshot_b", "id_lines", "sheet_grid", "lookup"):
+    for name in ("raw_ids", "raw_ids_large", "raw_ids_skewed", "snapshot_a", "snapshot_b", "id_lines", "sheet_grid",
+                 "lookup"):
         D.materialize(spark, sf_dir, name)
 
     large = D.load(spark, sf_dir, "raw_ids_large")
@@ -61,6 +62,7 @@ def main() -> None:
         "render_text": lambda: run(P.text_blocks(resolved())),
         "json_entries": lambda: run(P.json_lines(P.json_entries(resolved()))),
         "sheet_rows": lambda: run(G.sheet_rows(resolved())),
+        "resolve_skewed": lambda: run(QUERIES["resolve_skewed"](spark, sf_dir)),
         "summary_rows": lambda: run(summary_rows(R.resolve_keys_with_lookup(R.key_counts(valid_large()), lookup))),
         "scan_id_lines": lambda: run(QUERIES["scan_id_lines"](spark, sf_dir)),
         "scan_sheet_column": lambda: run(QUERIES["scan_sheet_column"](spark, sf_dir)),

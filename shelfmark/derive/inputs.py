@@ -84,6 +84,19 @@ def raw_ids_large_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
                      _shaped(F.col("l_partkey"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("raw"))
 
 
+# Book that a third of the skewed input rows refer to.
+HOT_BOOK = 7
+
+
+def raw_ids_skewed_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_ids_skewed(pos, raw)`` from lineitem: every third order refers
+    to one hot book, so a handful of keys hold a third of all rows."""
+    li = table(spark, sf_dir, "lineitem")
+    book = F.when(F.col("l_orderkey") % 3 == 0, F.lit(HOT_BOOK)).otherwise(F.col("l_partkey"))
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+                     _shaped(book, (F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("raw"))
+
+
 def _jstr(c: Column) -> Column:
     """A JSON string literal for ``c`` (quoted and escaped)."""
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
@@ -277,6 +290,7 @@ _BUILDERS = {
     "raw_ids": (raw_ids_expr, "parquet", "pos", 20_000),
     "raw_ids_large": (raw_ids_large_expr, "parquet", "pos", 20_000),
     "decorated_ids": (decorated_ids_expr, "parquet", "pos", 20_000),
+    "raw_ids_skewed": (raw_ids_skewed_expr, "parquet", "pos", 20_000),
     "snapshot_a": (snapshot_a_expr, "parquet", "isbn", 2_500),
     "snapshot_b": (snapshot_b_expr, "parquet", "isbn", 2_500),
     "id_lines": (id_lines_expr, "text", "pos", 20_000),

@@ -47,6 +47,11 @@ RAW_IDS_LARGE = f"""raw_ids AS (
   SELECT pos, {_shape_sql('shape')} AS raw
   FROM {_book('lineitem', 'l_partkey', 'l_orderkey * 8 + l_linenumber AS pos, (l_orderkey + l_linenumber) % 8 AS shape')})"""
 
+RAW_IDS_SKEWED = f"""raw_ids AS (
+  SELECT pos, {_shape_sql('shape')} AS raw
+  FROM {_book('lineitem', 'CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE l_partkey END',
+              'l_orderkey * 8 + l_linenumber AS pos, (l_orderkey + l_linenumber) % 8 AS shape')})"""
+
 DECORATED = """decorated AS (
   SELECT pos, CASE pos % 5 WHEN 0 THEN raw WHEN 1 THEN '  ' || raw WHEN 2 THEN raw || chr(9)
                            WHEN 3 THEN raw || chr(13) ELSE chr(12288) || raw || ' ' END AS raw
@@ -331,6 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "sheet_append": base + f"SELECT {_grid_cols()} FROM results UNION ALL SELECT {_grid_cols()} FROM results",
         "stream_resolve": base + f"SELECT {_csv_cols(prefix_pos=False)} FROM results",
         "sheet_round_trip": _sheet_base() + f"SELECT {_grid_cols(prefix_pos=False)} FROM results",
+        "resolve_skewed": _base(RAW_IDS_SKEWED) + "SELECT pos, isbn, provider, title, error FROM results",
         "bench_classify_large": _with(RAW_IDS_LARGE, CLASSIFIED) + (
             "SELECT type, error, count(*) AS n FROM classified GROUP BY type, error"),
     }

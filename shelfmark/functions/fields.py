@@ -11,8 +11,9 @@ from .isbn import trim_space
 
 
 def is_sheet_header(c) -> Column:
-    """A header cell, compared case-insensitively before any stripping."""
-    return F.lower(col(c)).isin(*fixed.SHEET_HEADER_CELLS)
+    """A header cell, compared case-insensitively before any stripping
+    (upper then lower, so 'ſ' matches 's' as simple case folding does)."""
+    return F.lower(F.upper(col(c))).isin(*fixed.SHEET_HEADER_CELLS)
 
 
 def clean_sheet_cell(c) -> Column:

@@ -78,7 +78,8 @@ def unresolved_ids(keys: DataFrame, providers: list[Provider]) -> DataFrame:
 
 def attach(valid: DataFrame, resolved: DataFrame,
            rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-           max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+           max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
+           counts: DataFrame | None = None) -> DataFrame:
     """Join each input row to its key's result, splitting hot keys.
 
     ``resolved`` carries ``n`` (rows per key). A key with more than
@@ -88,11 +89,12 @@ def attach(valid: DataFrame, resolved: DataFrame,
     split set is the ``max_hot_keys`` largest such keys, a broadcast of
     proven size; any other key has at most ``max(rows_per_split, N /
     max_hot_keys)`` rows and takes the ordinary path with salt 0. No row is
-    dropped: every key is joined either way.
+    dropped: every key is joined either way. ``counts`` (``key_counts``),
+    when given, feeds the split set directly instead of ``resolved``.
     """
     splits = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(rows_per_split))).cast("int")
     hot = F.broadcast(
-        resolved.where(F.col("n") > rows_per_split)
+        (counts if counts is not None else resolved).where(F.col("n") > rows_per_split)
         .orderBy(F.col("n").desc(), F.col("isbn"))
         .limit(max_hot_keys)
         .select("isbn", splits.alias("_splits"))
@@ -115,8 +117,8 @@ def resolve(valid: DataFrame, providers: list[Provider],
     Output: the input columns + ``provider``, ``meta`` (STRUCT, NULL when
     unresolved) and ``error`` (NULL when resolved).
     """
-    resolved = resolve_keys(key_counts(valid), providers)
-    return attach(valid, resolved, rows_per_split, max_hot_keys)
+    counts = key_counts(valid)
+    return attach(valid, resolve_keys(counts, providers), rows_per_split, max_hot_keys, counts)
 
 
 def resolve_summary_keys(valid: DataFrame, providers: list[Provider]) -> DataFrame:
@@ -151,4 +153,5 @@ def resolve_with_lookup(valid: DataFrame, lookup: DataFrame,
                         rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
                         max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """``resolve`` against a prepared lookup table; same output columns."""
-    return attach(valid, resolve_keys_with_lookup(key_counts(valid), lookup), rows_per_split, max_hot_keys)
+    counts = key_counts(valid)
+    return attach(valid, resolve_keys_with_lookup(counts, lookup), rows_per_split, max_hot_keys, counts)

@@ -16,13 +16,14 @@ import hashlib
 import os
 import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 # Bump when a derivation rule changes: materialised copies are keyed by it.
-DERIVE_VERSION = "v4"
+DERIVE_VERSION = "v5"
 
 # Orders decorated in the line file / sheet export, and extra rows.
 LINE_DECOR = 5
@@ -325,8 +326,8 @@ def materialize(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Write a derived input once into the shared folder and return its path.
 
     A written table cuts the lineage (derived expressions are not inlined
-    into every later plan) and survives executor loss. A complete copy has
-    a ``_SUCCESS`` marker; an incomplete one is rewritten.
+    into every later plan) and survives executor loss. A marker table is
+    written after the data, so an interrupted copy is rewritten.
     """
     path = derived_path(spark, sf_dir, name)
     with _LOCK:
@@ -342,14 +343,25 @@ def materialize(spark: SparkSession, sf_dir: str, name: str) -> str:
              .option("ignoreTrailingWhiteSpace", False).csv(path))
         else:
             df.write.mode("overwrite").parquet(path)
+        _mark_complete(spark, path)
     return path
 
 
+def _marker(path: str) -> str:
+    return path.rstrip("/") + ".complete"
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    """True if ``path`` was written completely (its marker table exists)."""
+    try:
+        spark.read.parquet(_marker(path))
+        return True
+    except AnalysisException:
+        return False
+
+
+def _mark_complete(spark: SparkSession, path: str) -> None:
+    spark.range(1).write.mode("overwrite").parquet(_marker(path))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

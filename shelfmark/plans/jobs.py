@@ -11,7 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixed
 
 from ..operators.providers import Provider
 from ..operators.resolve import (DEFAULT_MAX_HOT_KEYS, DEFAULT_ROWS_PER_SPLIT, attach, key_counts, resolve_keys,
@@ -32,6 +35,7 @@ class JobResult:
     summary: DataFrame        # A1 totals (rows)
     summary_keys: DataFrame   # A2 totals (distinct failed keys)
     work_dir: str
+    input_counts: dict        # A3: rows_read, rows_valid (observed while writing)
 
 
 def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] | None = None, raw: str = "raw",
@@ -44,7 +48,11 @@ def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] |
     """
     configure(spark)
     work = scratch_path(spark, "jobs", "resolve", unique=True)
-    classify(ids, raw).write.parquet(f"{work}/classified")
+    seen = Observation("input_counts")
+    (classify(ids, raw)
+     .observe(seen, F.count(F.lit(1)).alias("rows_read"),
+              F.count_if(F.col("v.type") != fixed.TYPE_INVALID).alias("rows_valid"))
+     .write.parquet(f"{work}/classified"))
     classified = spark.read.parquet(f"{work}/classified")
     if require_input:
         require_rows(classified, "No ISBNs provided")
@@ -56,7 +64,8 @@ def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] |
     keys.write.parquet(f"{work}/keys")
     keys = spark.read.parquet(f"{work}/keys")
     results = attach(valid, keys, rows_per_split, max_hot_keys)
-    return JobResult(results, rejected_ids(classified), summary_rows(keys), summary_distinct(keys), work)
+    return JobResult(results, rejected_ids(classified), summary_rows(keys), summary_distinct(keys), work,
+                     dict(seen.get))
 
 
 def write_report(job: JobResult, out: str, fmt: str = "csv") -> None:

@@ -120,6 +120,7 @@ def test_job_writes_reports(spark, tmp_dir):
         ["978-0134190440", "bad", "0-596-52068-9", "9780132350884", "9780134190440"])], "pos BIGINT, raw STRING")
     job = run_resolve(spark, ids, _providers(spark))
     assert job.results.count() == 4 and job.rejected.count() == 1
+    assert job.input_counts == {"rows_read": 5, "rows_valid": 4}
     s = job.summary.first()
     assert (s.total, s.successful, s.failed) == (4, 3, 1)
     out = os.path.join(tmp_dir, "out")

@@ -31,15 +31,23 @@ def read_id_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
     return clean_id_lines(lines)
 
 
-def clean_ids_to(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+def _trigger(writer, interval: str | None):
+    """``interval`` None: process what is there and stop (availableNow);
+    else a processing-time trigger such as '1 minute'."""
+    return writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+
+
+def clean_ids_to(spark: SparkSession, folder: str, out: str, checkpoint: str,
+                 interval: str | None = None) -> StreamingQuery:
     """S2 job: cleaned ids appended to a parquet sink (exactly-once file sink)."""
-    return (read_id_stream(spark, folder).writeStream.format("parquet")
-            .option("path", out).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    writer = (read_id_stream(spark, folder).writeStream.format("parquet")
+              .option("path", out).option("checkpointLocation", checkpoint))
+    return _trigger(writer, interval).start()
 
 
 def resolve_stream(spark: SparkSession, folder: str, lookup_path: str, out: str, rejects: str,
-                   checkpoint: str, project=None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                   checkpoint: str, project=None, max_files_per_trigger: int | None = None,
+                   interval: str | None = None) -> StreamingQuery:
     """Streamed ids -> classify -> resolve per micro-batch -> parquet.
 
     ``project`` maps the result rows to the sink's columns (e.g. CSV rows).
@@ -55,6 +63,6 @@ def resolve_stream(spark: SparkSession, folder: str, lookup_path: str, out: str,
         finally:
             classified.unpersist()
 
-    return (read_id_stream(spark, folder, max_files_per_trigger).writeStream
-            .foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    writer = (read_id_stream(spark, folder, max_files_per_trigger).writeStream
+              .foreachBatch(write_batch).option("checkpointLocation", checkpoint))
+    return _trigger(writer, interval).start()

@@ -22,8 +22,19 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-# Bump when a derivation rule changes: materialised copies are keyed by it.
-DERIVE_VERSION = "v5"
+def _code_tag() -> str:
+    """Hash of the package source: any change to a derivation rule or to the
+    parsing code behind a cached table gives new paths, never a stale copy."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for folder, _, files in sorted(os.walk(root)):
+        for name in sorted(f for f in files if f.endswith(".py")):
+            with open(os.path.join(folder, name), "rb") as fh:
+                h.update(name.encode() + fh.read())
+    return h.hexdigest()[:10]
+
+
+DERIVE_VERSION = _code_tag()
 
 # Orders decorated in the line file / sheet export, and extra rows.
 LINE_DECOR = 5

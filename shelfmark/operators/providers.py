@@ -48,6 +48,17 @@ def _parsed_body() -> Column:
     return F.try_parse_json(F.col("body"))
 
 
+_A_FIELDS = ("title", "authors", "publishers", "publish_date", "number_of_pages", "subjects")
+_B_FIELDS = ("title", "authors", "publisher", "publishedDate", "pageCount", "language", "categories",
+             "industryIdentifiers")
+
+
+def _fields(v, names) -> Column:
+    """One cast of an object into STRUCT of VARIANT members (exact-case keys);
+    NULL when ``v`` is not an object. Cheaper than one path lookup per field."""
+    return F.try_variant_get(v, "$", "struct<" + ", ".join(f"{n}: variant" for n in names) + ">")
+
+
 def parse_provider_a(snapshot: DataFrame) -> DataFrame:
     """Lenient, field-by-field typed extraction.
 
@@ -61,26 +72,26 @@ def parse_provider_a(snapshot: DataFrame) -> DataFrame:
     key = F.concat(F.lit(fixed.PROVIDER_A_KEY_PREFIX), F.col("isbn"))
     staged = snapshot.select(
         "isbn", "fetched_at", "status_code", F.element_at(doc, key).alias("rec")
+    ).select(
+        "isbn", "fetched_at", "status_code", _fields("rec", _A_FIELDS).alias("f")
     ).select(
         "isbn", "fetched_at",
-        ((F.col("status_code") == 200) & J.is_object("rec")).alias("hit"),
-        "rec", J.get("rec", "$.publishers[0]").alias("first_pub"),
-        J.get("rec", "$.number_of_pages").alias("pages"),
+        F.coalesce((F.col("status_code") == 200) & F.col("f").isNotNull(), F.lit(False)).alias("hit"),
+        "f", J.get("f.publishers", "$[0]").alias("first_pub"),
     )
-    pages = F.col("pages")
+    pages = F.col("f.number_of_pages")
     meta = _meta(
-        title=J.string_or_blank(J.get("rec", "$.title")),
-        authors=J.object_names(J.get("rec", "$.authors")),
+        title=J.string_or_blank("f.title"),
+        authors=J.object_names("f.authors"),
         publisher=F.when(J.is_object("first_pub"), J.string_or_blank(J.get("first_pub", "$.name")))
         .otherwise(F.lit("")),
-        publication_date=J.string_or_blank(J.get("rec", "$.publish_date")),
+        publication_date=J.string_or_blank("f.publish_date"),
         # JSON numbers are doubles in the tool; int() truncates toward zero.
         pages=F.coalesce(F.when(J.is_number(pages), F.try_variant_get(pages, "$", "bigint")), F.lit(0))
         .cast("bigint"),
-        categories=J.object_names(J.get("rec", "$.subjects")),
+        categories=J.object_names("f.subjects"),
     )
-    hit = F.coalesce(F.col("hit"), F.lit(False))
-    return staged.select("isbn", "fetched_at", hit.alias("hit"), F.when(hit, meta).alias("meta"))
+    return staged.select("isbn", "fetched_at", "hit", F.when(F.col("hit"), meta).alias("meta"))
 
 
 def _identifier_ok(e: Column) -> Column:
@@ -88,23 +99,27 @@ def _identifier_ok(e: Column) -> Column:
         & J.strict(J.get(e, "$.identifier"), J.is_string)
 
 
-def _b_volume_ok(vi: Column) -> Column:
-    """Every declared member of a volumeInfo object decodes into its type."""
+def _b_fields_ok(f: Column) -> Column:
+    """Every declared volumeInfo member (``f``: the members cast out once)
+    decodes into its type."""
     def field(name: str, ok) -> Column:
-        return J.strict(J.get(vi, f"$.{name}"), ok)
+        return J.strict(f.getField(name), ok)
 
     return (
-        J.is_absent(vi) | (
-            J.is_object(vi)
-            & field("title", J.is_string) & J.strict_string_array(J.get(vi, "$.authors"))
-            & field("publisher", J.is_string) & field("publishedDate", J.is_string)
-            & field("pageCount", J.is_integer) & field("language", J.is_string)
-            & J.strict_string_array(J.get(vi, "$.categories"))
-            & J.strict_object_array(J.get(vi, "$.industryIdentifiers"), ("type", "identifier"), _identifier_ok)
-        )
+        field("title", J.is_string) & J.strict_string_array(f.getField("authors"))
+        & field("publisher", J.is_string) & field("publishedDate", J.is_string)
+        & field("pageCount", J.is_integer) & field("language", J.is_string)
+        & J.strict_string_array(f.getField("categories"))
+        & J.strict_object_array(f.getField("industryIdentifiers"), ("type", "identifier"), _identifier_ok)
     )
 
 
+def _b_volume_ok(vi: Column) -> Column:
+    """Every declared member of a volumeInfo object decodes into its type."""
+    f = _fields(vi, _B_FIELDS)
+    return J.is_absent(vi) | (f.isNotNull() & _b_fields_ok(f))
+
+
 def _item_ok(it: Column) -> Column:
     return J.is_absent(it) | (J.is_object(it) & _b_volume_ok(J.get(it, "$.volumeInfo")))
 
@@ -130,41 +145,41 @@ def parse_provider_b(snapshot: DataFrame) -> DataFrame:
     Any wrong-typed declared member in any item (including the unused
     ``language``) makes the whole response a miss. Hit iff status 200, the
     decode succeeds, ``totalItems`` is non-zero and there is a first item.
-    The first item is checked with plain column expressions; further items
-    (rare) go through a per-item lambda.
+
+    Only what a decision needs is extracted: the first item is read by path
+    (an existing ``items[0]`` also proves ``items`` is an array), its
+    volumeInfo members come out of one struct cast, and the item list is
+    materialised only when a second item exists (the per-item lambda).
     """
     staged = snapshot.select(
         "isbn", "fetched_at", "status_code", _parsed_body().alias("v")
     ).select(
         "isbn", "fetched_at", "status_code", "v",
-        J.get("v", "$.totalItems").alias("total"), J.get("v", "$.items").alias("items"),
-    ).select(
-        "isbn", "fetched_at", "status_code", "v", "total", "items",
-        J.elements("items").alias("item_list"), J.get("items", "$[0]").alias("item0"),
-    ).withColumn("vi", J.get("item0", "$.volumeInfo"))
-
-    rest = F.slice(F.col("item_list"), 2, F.greatest(F.size("item_list") - 1, F.lit(0)))
-    every_item_ok = (F.size("item_list") == 0) | (_item_ok(F.col("item0")) & F.forall(rest, _item_ok))
-    items_ok = J.is_absent("items") | (F.col("item_list").isNotNull() & F.coalesce(every_item_ok, F.lit(False)))
-    decoded = J.is_object("v") & J.strict(F.col("total"), J.is_integer) & items_ok
+        J.get("v", "$.totalItems").alias("total"), J.get("v", "$.items[0]").alias("item0"),
+        J.get("v", "$.items[1]").isNotNull().alias("more"),
+    ).withColumn("f", F.try_variant_get("item0", "$.volumeInfo", "struct<" + ", ".join(
+        f"{n}: variant" for n in _B_FIELDS) + ">"))
+
+    f = F.col("f")
+    vi_ok = F.when(f.isNotNull(), _b_fields_ok(f)).otherwise(J.is_absent(J.get("item0", "$.volumeInfo")))
+    item0_ok = J.is_absent("item0") | (J.is_object("item0") & vi_ok)
+    items = J.elements(J.get("v", "$.items"))
+    rest_ok = F.when(F.col("more"), F.forall(F.slice(items, 2, F.size(items) - 1), _item_ok)).otherwise(F.lit(True))
     total_n = F.coalesce(F.try_variant_get("total", "$", "bigint"), F.lit(0))
-    has_first = F.coalesce(F.size("item_list") > 0, F.lit(False))
-    staged = staged.select(
-        "isbn", "fetched_at",
-        F.coalesce((F.col("status_code") == 200) & (total_n != 0) & has_first & decoded, F.lit(False)).alias("hit"),
-        "vi",
-    )
-    vi = F.col("vi")
-    ids = F.try_variant_get(J.get(vi, "$.industryIdentifiers"), "$", "array<struct<type: string, identifier: string>>")
+    decoded = J.is_object("v") & J.strict(F.col("total"), J.is_integer) & item0_ok & rest_ok
+    hit = F.coalesce((F.col("status_code") == 200) & (total_n != 0) & F.col("item0").isNotNull() & decoded,
+                     F.lit(False))
+    staged = staged.select("isbn", "fetched_at", hit.alias("hit"), "f")
+    ids = F.try_variant_get(f.getField("industryIdentifiers"), "$", "array<struct<type: string, identifier: string>>")
     meta = _meta(
         isbn_10=_last_identifier(ids, fixed.IDENTIFIER_TYPE_10),
         isbn_13=_last_identifier(ids, fixed.IDENTIFIER_TYPE_13),
-        title=J.string_or_blank(J.get(vi, "$.title")),
-        authors=_string_list(J.get(vi, "$.authors")),
-        publisher=J.string_or_blank(J.get(vi, "$.publisher")),
-        publication_date=J.string_or_blank(J.get(vi, "$.publishedDate")),
-        pages=F.coalesce(F.try_variant_get(J.get(vi, "$.pageCount"), "$", "bigint"), F.lit(0)).cast("bigint"),
-        categories=_string_list(J.get(vi, "$.categories")),
+        title=J.string_or_blank(f.getField("title")),
+        authors=_string_list(f.getField("authors")),
+        publisher=J.string_or_blank(f.getField("publisher")),
+        publication_date=J.string_or_blank(f.getField("publishedDate")),
+        pages=F.coalesce(F.try_variant_get(f.getField("pageCount"), "$", "bigint"), F.lit(0)).cast("bigint"),
+        categories=_string_list(f.getField("categories")),
     )
     return staged.select("isbn", "fetched_at", "hit", F.when(F.col("hit"), meta).alias("meta"))
 

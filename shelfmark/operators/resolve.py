@@ -121,11 +121,6 @@ def resolve(valid: DataFrame, providers: list[Provider],
     return attach(valid, resolve_keys(counts, providers), rows_per_split, max_hot_keys, counts)
 
 
-def resolve_summary_keys(valid: DataFrame, providers: list[Provider]) -> DataFrame:
-    """Key-level result table (isbn, n, provider, meta, error) for summaries."""
-    return resolve_keys(key_counts(valid), providers)
-
-
 def lookup_table(providers: list[Provider]) -> DataFrame:
     """Per-key winner over every snapshot key: ``(isbn, provider, meta)``.
 

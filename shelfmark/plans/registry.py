@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixed
 from ..derive import inputs as D
 from ..functions.fields import extract_sheet_id, range_error
 from ..functions.isbn import isbn10_to_13, is_isbn10, is_isbn13, normalize_id
@@ -66,7 +65,7 @@ def _keys(spark, sf):
     return R.resolve_keys_with_lookup(R.key_counts(_valid(spark, sf)), _lookup(spark, sf))
 
 
-def _flat_meta(df: DataFrame) -> list:
+def _flat_meta() -> list:
     return [
         F.col("meta.isbn_10").alias("isbn_10"), F.col("meta.isbn_13").alias("isbn_13"),
         F.col("meta.title").alias("title"), F.to_json(F.col("meta.authors")).alias("authors"),
@@ -140,7 +139,7 @@ def q_sheet_row_count(spark, sf):
 def _hits(provider_index: int):
     def q(spark, sf):
         p = _providers(spark, sf)[provider_index]
-        return p.hits().select("isbn", F.lit(p.name).alias("provider"), *_flat_meta(p.hits()))
+        return p.hits().select("isbn", F.lit(p.name).alias("provider"), *_flat_meta())
     return q
 
 
@@ -160,13 +159,13 @@ def q_check_ranges(spark, sf):
 
 def q_resolve(spark, sf):
     res = _results(spark, sf)
-    return res.select("pos", "isbn", "provider", *_flat_meta(res), "error")
+    return res.select("pos", "isbn", "provider", *_flat_meta(), "error")
 
 
 def q_resolve_chain(spark, sf):
     """The same result through the provider join chain (no lookup table)."""
     res = R.resolve(_valid(spark, sf), _providers(spark, sf))
-    return res.select("pos", "isbn", "provider", *_flat_meta(res), "error")
+    return res.select("pos", "isbn", "provider", *_flat_meta(), "error")
 
 
 def q_fallback_keys(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import resolve as R
 from shelfmark.operators.providers import default_providers
 from shelfmark.operators.summary import summary_distinct, summary_rows
-from shelfmark.operators.validate import classify, valid_ids
+from shelfmark.operators.validate import valid_ids
 
 TS = dt.datetime(2025, 1, 1)
 SNAP = "isbn STRING, status_code INT, body STRING, fetched_at TIMESTAMP"

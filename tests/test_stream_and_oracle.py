@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from oracle_check import compare, duck
 from shelfmark.derive import inputs as D
 from shelfmark.operators.resolve import resolve
-from shelfmark.operators.validate import classify, valid_ids
+from shelfmark.operators.validate import valid_ids
 from shelfmark.plans import report as P
 from shelfmark.plans.registry import QUERIES, _providers
 from shelfmark.sources.lines import read_id_lines

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import parallelism, scratch_path
 
 def _code_tag() -> str:
     """Hash of the package source: any change to a derivation rule or to the
@@ -321,7 +321,7 @@ def _layout(spark: SparkSession, df: DataFrame, key: str, rows_per_file: int) ->
     """Spread a derived table over enough files for the cluster to read it
     in parallel (at most one per core). Ordered inputs keep their key order
     (range partitions, sorted within); snapshots are hashed by key."""
-    n = max(1, min(spark.sparkContext.defaultParallelism, -(-df.count() // rows_per_file)))
+    n = max(1, min(parallelism(spark), -(-df.count() // rows_per_file)))
     if key == "isbn":
         return df.repartition(n, key)
     order = [key] + [c for c in ("idx",) if c in df.columns]

@@ -47,10 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     Only when the session names none (local tests) a fresh local folder is
     set, so ``checkpoint()`` and derived tables have somewhere to go.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext handle (remote session)
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:
+            pass
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # core setting; setCheckpointDir already holds it
@@ -58,6 +66,14 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the job (shuffle partitions when not known)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A path under the shared folder; ``unique`` adds a fresh suffix."""
     base = os.path.join(shared_dir(spark), "shelfmark", *parts)

@@ -191,9 +191,11 @@ def latest_response(parsed: DataFrame) -> DataFrame:
     of responses collapses before the shuffle instead of landing in one task.
     Output is hash-partitioned by ``isbn`` (reused by the resolve joins).
     """
+    # A snapshot without fetch times still yields its single response per key.
+    when = F.coalesce(F.col("fetched_at"), F.timestamp_seconds(F.lit(0)))
     return (
         parsed.groupBy("isbn")
-        .agg(F.max_by(F.struct("hit", "meta"), F.col("fetched_at")).alias("r"))
+        .agg(F.max_by(F.struct("hit", "meta"), when).alias("r"))
         .select("isbn", F.col("r.hit").alias("hit"), F.col("r.meta").alias("meta"))
     )
 

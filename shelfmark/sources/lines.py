@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .._util import col
 from ..functions.isbn import trim_space
@@ -34,10 +35,22 @@ def read_id_lines(spark: SparkSession, path: str) -> DataFrame:
     return clean_id_lines(lines)
 
 
-def ids_from_column(df: DataFrame, c, pos=None) -> DataFrame:
+def as_text(df: DataFrame, c: str):
+    """Identifier text of column ``c``: strings as they are; integers in
+    decimal; fractional numbers through DECIMAL(20,0) so 9.780134190440E12
+    reads 9780134190440 (a lost leading zero cannot be recovered)."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.StringType):
+        return F.col(c)
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return F.col(c).cast("decimal(20,0)").cast("string")
+    return F.col(c).cast("string")
+
+
+def ids_from_column(df: DataFrame, c: str, pos=None) -> DataFrame:
     """S3: values used as they are (no trim, no comment filter); NULL dropped."""
     pos_col = col(pos) if pos is not None else F.monotonically_increasing_id()
-    return df.select(pos_col.cast("bigint").alias("pos"), col(c).alias("raw")).where(F.col("raw").isNotNull())
+    return df.select(pos_col.cast("bigint").alias("pos"), as_text(df, c).alias("raw")).where(F.col("raw").isNotNull())
 
 
 def ids_from_values(spark: SparkSession, values: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.providers import SNAPSHOT_DDL
 
@@ -11,4 +12,5 @@ def read_snapshot(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     """``(isbn, status_code, body, fetched_at)``; parquet prunes to these."""
     df = spark.read.format(fmt).load(path) if fmt == "parquet" else \
         spark.read.format(fmt).schema(SNAPSHOT_DDL).load(path)
-    return df.select("isbn", "status_code", "body", "fetched_at")
+    fetched = F.col("fetched_at") if "fetched_at" in df.columns else F.lit(None).cast("timestamp")
+    return df.select("isbn", "status_code", "body", fetched.alias("fetched_at"))

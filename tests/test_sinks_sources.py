@@ -135,3 +135,22 @@ def test_sheet_id_and_range(spark):
     assert got[:3] == [None, None, None]
     assert got[3] == "invalid range format: A2 (use A1 notation like 'A2:A' or 'Sheet1!A2:A')"
     assert got[4] == "range cannot be empty"
+
+
+def test_numeric_identifier_column(spark):
+    from shelfmark.sources.lines import ids_from_column
+
+    df = spark.createDataFrame([(1, 9780134190440.0, 596520689)], "k INT, d DOUBLE, n BIGINT")
+    assert ids_from_column(df, "d", pos="k").first().raw == "9780134190440"
+    assert ids_from_column(df, "n", pos="k").first().raw == "596520689"   # leading zero lost
+
+
+def test_snapshot_without_fetch_times(spark, tmp_dir):
+    from shelfmark.operators.providers import latest_response, parse_provider_a
+    from shelfmark.sources.snapshots import read_snapshot
+
+    path = os.path.join(tmp_dir, "snap")
+    spark.createDataFrame([("1", 200, '{"ISBN:1":{"title":"T"}}')], "isbn STRING, status_code INT, body STRING") \
+        .write.parquet(path)
+    r = latest_response(parse_provider_a(read_snapshot(spark, path))).first()
+    assert r.hit and r.meta.title == "T"

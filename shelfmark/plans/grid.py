@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.fields import isbn13_or_key, join_list, pages_text
+from . import report as P
 
 
 def _m(name: str, default):
@@ -44,7 +45,7 @@ def write_grid(rows: DataFrame, target: str, mode: str = "overwrite", fmt: str =
     adds rows after the existing ones; the header is schema, never repeated
     as data.
     """
-    out = rows.orderBy("pos") if "pos" in rows.columns else rows
+    out = P.in_order(rows) if "pos" in rows.columns else rows
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = (writer.option("header", True).option("escape", '"')

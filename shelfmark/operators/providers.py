@@ -48,6 +48,12 @@ def _parsed_body() -> Column:
     return F.try_parse_json(F.col("body"))
 
 
+def _last_key_wins(df: DataFrame) -> None:
+    """Duplicate JSON keys keep the last value (a streaming decoder's rule).
+    The setting is read when the plan is built, so it is set right here."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 _A_FIELDS = ("title", "authors", "publishers", "publish_date", "number_of_pages", "subjects")
 _B_FIELDS = ("title", "authors", "publisher", "publishedDate", "pageCount", "language", "categories",
              "industryIdentifiers")
@@ -68,6 +74,7 @@ def parse_provider_a(snapshot: DataFrame) -> DataFrame:
     Stages are separate projections so the parsed document is computed once
     per row (the optimizer keeps a non-cheap alias that is used twice).
     """
+    _last_key_wins(snapshot)
     doc = F.try_variant_get(_parsed_body(), "$", "map<string,variant>")
     key = F.concat(F.lit(fixed.PROVIDER_A_KEY_PREFIX), F.col("isbn"))
     staged = snapshot.select(
@@ -151,6 +158,7 @@ def parse_provider_b(snapshot: DataFrame) -> DataFrame:
     volumeInfo members come out of one struct cast, and the item list is
     materialised only when a second item exists (the per-item lambda).
     """
+    _last_key_wins(snapshot)
     staged = snapshot.select(
         "isbn", "fetched_at", "status_code", _parsed_body().alias("v")
     ).select(

@@ -16,7 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from shelfmark.plans.registry import QUERIES  # noqa: E402
 from shelfmark.session import local_session  # noqa: E402
 
-SHOW = ["classify_ids", "valid_ids", "provider_b_hits", "resolve", "csv_rows", "summary_rows"]
+SHOW = ["classify_ids", "valid_ids", "provider_b_hits", "resolve", "resolve_chain", "resolve_skewed", "csv_rows",
+        "summary_rows"]
 
 
 def plan_text(df) -> str:

@@ -138,6 +138,18 @@ def lookup_table(providers: list[Provider]) -> DataFrame:
     return best.select("isbn", F.col("w.provider").alias("provider"), F.col("w.meta").alias("meta"))
 
 
+def save_lookup(lookup: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Write the lookup as a table bucketed and sorted by ``isbn``.
+
+    Joins against it then shuffle only the (small) key side: the lookup is
+    read already partitioned by key, so a large lookup is not moved again
+    by every batch that uses it.
+    """
+    (lookup.write.mode("overwrite").bucketBy(buckets, "isbn").sortBy("isbn")
+     .format("parquet").saveAsTable(table))
+    return lookup.sparkSession.table(table)
+
+
 def resolve_keys_with_lookup(keys: DataFrame, lookup: DataFrame) -> DataFrame:
     """``resolve_keys`` against a prepared lookup table (one left join)."""
     out = keys.join(lookup.select("isbn", "provider", "meta"), "isbn", "left")

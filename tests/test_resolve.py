@@ -151,3 +151,24 @@ def test_three_provider_chain_by_priority(spark):
            for r in R.resolve_keys(keys, [a, b, c]).collect()}
     assert got == {"9780134190440": ("provider_c", "C too"), "0596520689": ("provider_b", "From B"),
                    "9780132350884": ("provider_c", "C")}
+
+
+def test_bucketed_lookup_is_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lookup = R.save_lookup(R.lookup_table(_providers(spark)), "lookup_bucketed_test", 8)
+        keys = R.key_counts(_valid(spark, ["9780134190440", "0596520689", "9780132350884"]))
+        joined = R.resolve_keys_with_lookup(keys, lookup)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            joined.explain()
+        plan = buf.getvalue()
+        lookup_side = plan[plan.index("SortMergeJoin"):]
+        # one exchange: the key aggregate; the bucketed lookup scan is read as is
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        assert "Bucketed: true" in lookup_side, plan
+        got = {r.isbn: r.provider for r in joined.collect()}
+        assert got == {"9780134190440": "provider_a", "0596520689": "provider_b", "9780132350884": None}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS lookup_bucketed_test")

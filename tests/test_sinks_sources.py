@@ -154,3 +154,22 @@ def test_snapshot_without_fetch_times(spark, tmp_dir):
         .write.parquet(path)
     r = latest_response(parse_provider_a(read_snapshot(spark, path))).first()
     assert r.hit and r.meta.title == "T"
+
+
+def test_json_read_back_with_fixed_schema(spark, tmp_dir):
+    entries = P.json_entries(_results(spark))
+    out = os.path.join(tmp_dir, "json_rb")
+    P.write_json(entries, out)                      # pos orders the lines and is not written
+    expected = entries.drop("pos")
+    back = spark.read.schema(expected.schema).json(out)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_empty_input_guard(spark):
+    import pytest
+
+    from shelfmark.operators.validate import require_rows, valid_ids
+
+    ids = ids_from_values(spark, ["bad", "12"])
+    with pytest.raises(ValueError, match="No valid ISBNs"):
+        require_rows(valid_ids(ids), "No valid ISBNs to process")

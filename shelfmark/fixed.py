@@ -53,3 +53,5 @@ TEXT_LABELS = (
     "Publication Date: ", "Pages: ", "Categories: ",
 )
 PREVIEW_ROWS = 5
+PREVIEW_TITLE = "DRY RUN - Preview of changes:"
+PREVIEW_NOTE = "No changes were made (dry run mode)"

@@ -79,17 +79,26 @@ def preview_rows(rows: DataFrame) -> DataFrame:
     return rows.orderBy("pos").limit(fixed.PREVIEW_ROWS - 1)
 
 
-def preview_report(rows: DataFrame) -> list[str]:
+def preview_report(rows: DataFrame, spreadsheet_id: str | None = None, output_range: str = "",
+                   create_tab: str = "") -> list[str]:
     """K7 dry-run text: total grid rows (data + header), first rows, remainder.
 
-    The driver receives one count and at most PREVIEW_ROWS - 1 rows.
+    With ``spreadsheet_id`` the text carries the tool's full frame (title,
+    target, optional new tab, closing note). The driver receives one count
+    and at most PREVIEW_ROWS - 1 rows.
     """
     total = rows.count() + 1
     head = [list(fixed.GRID_HEADER)] + [
         [r[c] for c in fixed.GRID_HEADER] for r in preview_rows(rows).collect()
     ]
-    lines = [f"Would write {total} rows:", ""]
-    lines += [f"Row {i + 1}: [{' '.join(str(v) for v in row)}]" for i, row in enumerate(head)]
+    body = [f"Would write {total} rows:", ""]
+    body += [f"Row {i + 1}: [{' '.join(str(v) for v in row)}]" for i, row in enumerate(head)]
     if total > len(head):
-        lines.append(f"... and {total - len(head)} more rows")
-    return lines
+        body.append(f"... and {total - len(head)} more rows")
+    if spreadsheet_id is None:
+        return body
+    frame = [fixed.PREVIEW_TITLE, "=" * len(fixed.PREVIEW_TITLE), f"Spreadsheet ID: {spreadsheet_id}",
+             f"Output Range: {output_range}"]
+    if create_tab:
+        frame.append(f"Would create new tab: {create_tab}")
+    return frame + [""] + body + ["", fixed.PREVIEW_NOTE]

@@ -87,6 +87,6 @@ def write_sheet(job: JobResult, target: str, mode: str = "overwrite", fmt: str =
     """C2 sink: grid rows to a path or table; a dry run only previews."""
     rows = G.sheet_rows(job.results)
     if dry_run:
-        return G.preview_report(rows)
+        return G.preview_report(rows, spreadsheet_id=target)
     G.write_grid(rows, target, mode=mode, fmt=fmt, as_table=as_table)
     return None

@@ -129,8 +129,10 @@ def test_job_writes_reports(spark, tmp_dir):
     rows = read_csv_rows(spark, f"{out}/csv/results").collect()
     assert [r["ISBN"] for r in rows] == ["9780134190440", "0596520689", "9780132350884", "9780134190440"]
     assert spark.read.json(f"{out}/json/summary").first().total == 4
-    preview = write_sheet(job, "", dry_run=True)
-    assert preview[0] == "Would write 5 rows:"
+    preview = write_sheet(job, "sheet-1", dry_run=True)
+    assert preview[:4] == ["DRY RUN - Preview of changes:", "=============================",
+                           "Spreadsheet ID: sheet-1", "Output Range: "]
+    assert "Would write 5 rows:" in preview and preview[-1] == "No changes were made (dry run mode)"
     via_lookup = run_resolve(spark, ids, lookup=R.lookup_table(_providers(spark)))
     cols = ["pos", "isbn", "provider", "error"]
     assert sorted(via_lookup.results.select(*cols).collect()) == sorted(job.results.select(*cols).collect())

@@ -27,6 +27,10 @@ SHEET_HEADER_CELLS = ("isbn", "isbn-10", "isbn-13", "isbn number")
 SHEET_STRIP_CHARS = " -."
 SHEET_ID_PATTERN = r"/spreadsheets/d/([a-zA-Z0-9-_]+)"
 MSG_RANGE_EMPTY = "range cannot be empty"
+MSG_NO_DATA = "no data found in range: %s"
+MSG_NO_IDS = "no valid ISBNs found in range: %s"
+MSG_NO_INPUT = "No ISBNs provided"
+MSG_NO_VALID = "No valid ISBNs to process"
 MSG_RANGE_FORMAT = "invalid range format: %s (use A1 notation like 'A2:A' or 'Sheet1!A2:A')"
 
 # Output formats.

@@ -55,10 +55,10 @@ def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] |
      .write.parquet(f"{work}/classified"))
     classified = spark.read.parquet(f"{work}/classified")
     if require_input:
-        require_rows(classified, "No ISBNs provided")
+        require_rows(classified, fixed.MSG_NO_INPUT)
     valid = valid_ids(classified)
     if require_input:
-        require_rows(valid, "No valid ISBNs to process")
+        require_rows(valid, fixed.MSG_NO_VALID)
     counts = key_counts(valid)
     keys = resolve_keys_with_lookup(counts, lookup) if lookup is not None else resolve_keys(counts, providers)
     keys.write.parquet(f"{work}/keys")

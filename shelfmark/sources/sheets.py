@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.fields import clean_sheet_cell, is_sheet_header
 from ..functions.isbn import trim_space
 
@@ -29,8 +30,16 @@ def sheet_column_ids(grid: DataFrame, cell: str = "c0", row: str = "row") -> Dat
             .where(F.col("raw") != ""))
 
 
-def read_sheet_column(spark: SparkSession, path: str) -> DataFrame:
-    return sheet_column_ids(read_grid_export(spark, path))
+def read_sheet_column(spark: SparkSession, path: str, require: bool = False) -> DataFrame:
+    """S4 over a grid export; ``require`` fails on an empty range or when
+    nothing is left after cleaning (P8, the tool's messages)."""
+    grid = read_grid_export(spark, path)
+    if require and grid.isEmpty():
+        raise ValueError(fixed.MSG_NO_DATA % path)
+    ids = sheet_column_ids(grid)
+    if require and ids.isEmpty():
+        raise ValueError(fixed.MSG_NO_IDS % path)
+    return ids
 
 
 def sheet_row_count(grid: DataFrame) -> DataFrame:

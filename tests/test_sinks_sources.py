@@ -173,3 +173,14 @@ def test_empty_input_guard(spark):
     ids = ids_from_values(spark, ["bad", "12"])
     with pytest.raises(ValueError, match="No valid ISBNs"):
         require_rows(valid_ids(ids), "No valid ISBNs to process")
+
+
+def test_sheet_guards(spark, tmp_dir):
+    import pytest
+
+    path = os.path.join(tmp_dir, "headers.csv")
+    with open(path, "w") as f:
+        f.write("ISBN\n\nisbn-13\n")
+    with pytest.raises(ValueError, match="no valid ISBNs found in range"):
+        read_sheet_column(spark, path, require=True)
+    assert read_sheet_column(spark, path).count() == 0

@@ -45,6 +45,19 @@ def clean_ids_to(spark: SparkSession, folder: str, out: str, checkpoint: str,
     return _trigger(writer, interval).start()
 
 
+def resolved_stream(spark: SparkSession, folder: str, lookup: DataFrame) -> DataFrame:
+    """C3 as one streaming plan: classify, then a stream-static left join
+    to the lookup table. Append-only and stateless; sink it with any file
+    sink (exactly-once). Hot keys are not split here (use ``resolve_stream``
+    for that); a small lookup is broadcast by Spark's size check.
+    """
+    from .. import fixed
+
+    valid = valid_ids(read_id_stream(spark, folder))
+    joined = valid.join(lookup.select("isbn", "provider", "meta"), "isbn", "left")
+    return joined.withColumn("error", F.when(F.col("provider").isNull(), F.lit(fixed.MSG_UNRESOLVED)))
+
+
 def resolve_stream(spark: SparkSession, folder: str, lookup_path: str, out: str, rejects: str,
                    checkpoint: str, project=None, max_files_per_trigger: int | None = None,
                    interval: str | None = None) -> StreamingQuery:

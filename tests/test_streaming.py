@@ -33,3 +33,23 @@ def test_restart_and_incremental(spark, tmp_dir):
     assert res.count() == 4 and bad.count() == 1
     assert sorted(r.isbn for r in res.collect()) == ["0596520689", "9780132350884", "9780134190440",
                                                      "9780134190440"]
+
+
+def test_native_stream_static_join_equals_foreach_batch(spark, tmp_dir):
+    from shelfmark.streaming.ids import resolved_stream
+
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    _write(src, "a.txt", ["978-0134190440", "bad", "0-596-52068-9", "9780132350884", "9780134190440"])
+    lookup_path = os.path.join(tmp_dir, "lookup")
+    lookup_table(_providers(spark)).write.parquet(lookup_path)
+    lookup = spark.read.parquet(lookup_path)
+    native = os.path.join(tmp_dir, "native")
+    (resolved_stream(spark, src, lookup).select("isbn", "provider", "error").writeStream.format("parquet")
+     .option("path", native).option("checkpointLocation", native + "-ck").trigger(availableNow=True)
+     .start().awaitTermination())
+    out = os.path.join(tmp_dir, "fb")
+    resolve_stream(spark, src, lookup_path, out, out + "-rej", out + "-ck").awaitTermination()
+    cols = ["isbn", "provider", "error"]
+    assert sorted(spark.read.parquet(native).select(*cols).collect()) == \
+        sorted(spark.read.parquet(out).select(*cols).collect())

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .._util import with_once
 from ..functions.isbn import classification, id_type, is_valid_id, normalize_id, reject_reason
 
 _N = "_n"
@@ -20,7 +21,7 @@ _OK = "_ok"
 
 
 def _normalized(ids: DataFrame, raw: str) -> DataFrame:
-    return ids.select(*ids.columns, F.explode(F.array(normalize_id(raw))).alias(_N))
+    return with_once(ids, normalize_id(raw), _N)
 
 
 def classify(ids: DataFrame, raw: str = "raw") -> DataFrame:

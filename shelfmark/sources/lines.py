@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import col
+from .._util import col, with_once
 from ..functions.isbn import trim_space
 
 
 def clean_id_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """P1 on a frame of text lines: adds ``raw`` (trimmed), drops blanks/comments."""
-    trimmed = trim_space(value)
     keep = [c for c in lines.columns if c != value]
-    return (lines.select(*keep, trimmed.alias("raw"))
-            .where((F.col("raw") != "") & ~F.col("raw").startswith("#")))
+    trimmed = with_once(lines, trim_space(value), "raw").select(*keep, "raw")
+    return trimmed.where((F.col("raw") != "") & ~F.col("raw").startswith("#"))
 
 
 def read_id_lines(spark: SparkSession, path: str) -> DataFrame:

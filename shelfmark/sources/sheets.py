@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.fields import clean_sheet_cell, is_sheet_header
+from .._util import with_once
+from ..functions.fields import is_sheet_header
 from ..functions.isbn import trim_space
 
 
@@ -23,11 +24,10 @@ def sheet_column_ids(grid: DataFrame, cell: str = "c0", row: str = "row") -> Dat
     """First cell of each row, trimmed; blanks and header cells
     skipped (header test before stripping); spaces, '-' and '.' stripped;
     empty results dropped. Output ``(pos, raw)``."""
-    trimmed = trim_space(cell)
-    staged = grid.select(F.col(row).alias("pos"), trimmed.alias("_t"))
-    return (staged.where(F.col("_t").isNotNull() & (F.col("_t") != "") & ~is_sheet_header("_t"))
-            .select("pos", clean_sheet_cell("_t").alias("raw"))
-            .where(F.col("raw") != ""))
+    staged = with_once(grid.select(F.col(row).alias("pos"), F.col(cell).alias("_c")), trim_space("_c"), "_t")
+    kept = staged.where(F.col("_t").isNotNull() & (F.col("_t") != "") & ~is_sheet_header("_t"))
+    return with_once(kept.select("pos", "_t"), F.translate("_t", fixed.SHEET_STRIP_CHARS, ""), "raw") \
+        .select("pos", "raw").where(F.col("raw") != "")
 
 
 def read_sheet_column(spark: SparkSession, path: str, require: bool = False) -> DataFrame:

@@ -26,6 +26,9 @@ from . import grid as G
 from . import report as P
 
 FORMATS = ("text", "json", "csv")
+# The key table is broadcast to the join back only below both bounds.
+BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 
 
 @dataclass
@@ -38,11 +41,24 @@ class JobResult:
     input_counts: dict        # A3: rows_read, rows_valid (observed while writing)
 
 
+def _fits_broadcast(keys: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Measured, not estimated: rows and JSON bytes of the written key table."""
+    r = keys.agg(F.count(F.lit(1)).alias("rows"),
+                 F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns)))), F.lit(0)).alias("bytes")).first()
+    return r["rows"] <= max_rows and r["bytes"] <= max_bytes
+
+
 def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] | None = None, raw: str = "raw",
                 rows_per_split: int = DEFAULT_ROWS_PER_SPLIT, max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
-                require_input: bool = False, lookup: DataFrame | None = None) -> JobResult:
+                require_input: bool = False, lookup: DataFrame | None = None,
+                broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> JobResult:
     """C1 core: classify once (written), then resolve, keyed summaries.
 
+    The resolved key table is written, then measured: below the broadcast
+    bounds it is broadcast to the join back (no shuffle of the input);
+    beyond them the salted shuffle join (``attach``) splits hot keys.
+
     Pass ``lookup`` (from ``resolve.lookup_table``, written once) to skip
     parsing the provider snapshots; otherwise the provider chain is joined.
     """
@@ -63,7 +79,11 @@ def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] |
     keys = resolve_keys_with_lookup(counts, lookup) if lookup is not None else resolve_keys(counts, providers)
     keys.write.parquet(f"{work}/keys")
     keys = spark.read.parquet(f"{work}/keys")
-    results = attach(valid, keys, rows_per_split, max_hot_keys)
+    if _fits_broadcast(keys, broadcast_max_rows, broadcast_max_bytes):
+        # Small key table (size measured above): no shuffle of the input at all.
+        results = valid.join(F.broadcast(keys.drop("n")), "isbn", "left")
+    else:
+        results = attach(valid, keys, rows_per_split, max_hot_keys)
     return JobResult(results, rejected_ids(classified), summary_rows(keys), summary_distinct(keys), work,
                      dict(seen.get))
 

@@ -136,6 +136,17 @@ def test_job_writes_reports(spark, tmp_dir):
     via_lookup = run_resolve(spark, ids, lookup=R.lookup_table(_providers(spark)))
     cols = ["pos", "isbn", "provider", "error"]
     assert sorted(via_lookup.results.select(*cols).collect()) == sorted(job.results.select(*cols).collect())
+    # beyond the broadcast bound the salted shuffle join gives the same rows
+    salted = run_resolve(spark, ids, _providers(spark), broadcast_max_rows=0)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        salted.results.explain()
+    assert "_salt" in buf.getvalue()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        job.results.explain()
+    assert "_salt" not in buf.getvalue() and "BroadcastHashJoin" in buf.getvalue()
+    assert sorted(salted.results.select(*cols).collect()) == sorted(job.results.select(*cols).collect())
 
 
 def test_three_provider_chain_by_priority(spark):

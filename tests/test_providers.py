@@ -97,3 +97,24 @@ def test_latest_response_wins(spark):
     got = {r.isbn: (r.hit, r.meta.title if r.meta else None)
            for r in latest_response(parse_provider_a(snap)).collect()}
     assert got == {"1": (False, None), "2": (True, "new")}
+
+
+def test_hot_key_responses_collapse_to_latest(spark):
+    """One key holding most snapshot rows: the partial aggregate keeps the
+    latest response (hit or miss) and nothing else."""
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    snap = spark.range(n).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id").cast("string"))).otherwise(F.lit("1"))
+        .alias("isbn"),
+        F.lit(200).alias("status_code"),
+        F.format_string('{"ISBN:%s":{"title":"v%d"}}',
+                        F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id").cast("string")))
+                        .otherwise(F.lit("1")), F.col("id")).alias("body"),
+        F.timestamp_seconds(F.col("id") + F.lit(1_700_000_000)).alias("fetched_at"),
+    ).repartition(8)
+    latest = latest_response(parse_provider_a(snap))
+    assert latest.count() == 1 + n // 10
+    r = latest.where("isbn = '1'").first()
+    assert r.hit and r.meta.title == f"v{n - 1}"

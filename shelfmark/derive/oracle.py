@@ -109,7 +109,7 @@ exp_a AS (
     CASE WHEN va IN (0, 6, 7) THEN {_jarr('w1', 'w2')} END AS authors,
     CASE WHEN va IN (0, 7) THEN p_brand WHEN va = 5 THEN p_brand ELSE '' END AS publisher,
     CASE WHEN va IN (0, 7) THEN year ELSE '' END AS publication_date,
-    CASE WHEN va IN (0, 6, 7) THEN p_size ELSE 0 END AS pages,
+    CAST(CASE WHEN va IN (0, 6, 7) THEN p_size ELSE 0 END AS BIGINT) AS pages,
     CASE WHEN va IN (0, 7) THEN {_jarr('p_type', 'subj2')} WHEN va = 5 THEN {_jarr('p_type')} END AS categories
   FROM part_keys WHERE p_partkey % 5 IN (0, 1) AND va IN (0, 4, 5, 6, 7)),
 exp_b AS (
@@ -121,7 +121,7 @@ exp_b AS (
     CASE WHEN vb = 0 THEN p_brand ELSE '' END AS publisher,
     CASE WHEN vb = 0 THEN year || '-' || lpad(CAST(p_partkey % 12 + 1 AS VARCHAR), 2, '0') || '-01' ELSE '' END
       AS publication_date,
-    CASE WHEN vb IN (0, 6) THEN p_size ELSE 0 END AS pages,
+    CAST(CASE WHEN vb IN (0, 6) THEN p_size ELSE 0 END AS BIGINT) AS pages,
     CASE WHEN vb = 0 THEN {_jarr('p_type')} WHEN vb = 8 THEN {_jarr('p_type', "''")} END AS categories
   FROM part_keys WHERE p_partkey % 5 IN (1, 2, 3) AND vb IN (0, 5, 6, 8))"""
 
@@ -321,12 +321,13 @@ def oracle_sql() -> dict[str, str]:
                                 "(SELECT 1 FROM exp_a a WHERE a.isbn = k.isbn)",
         "unresolved_ids": base + "SELECT isbn, error FROM best WHERE error IS NOT NULL",
         "resolved_ids": base + "SELECT isbn, provider FROM best WHERE error IS NULL",
-        "summary_rows": base + "SELECT coalesce(sum(n), 0) AS total, "
-                               "coalesce(sum(n) FILTER (WHERE error IS NULL), 0) AS successful, "
-                               "coalesce(sum(n) FILTER (WHERE error IS NOT NULL), 0) AS failed FROM best",
-        "summary_distinct": base + "SELECT coalesce(sum(n), 0) AS total, "
-                                   "coalesce(sum(n), 0) - count(*) FILTER (WHERE error IS NOT NULL) AS successful, "
-                                   "count(*) FILTER (WHERE error IS NOT NULL) AS failed FROM best",
+        "summary_rows": base + "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, "
+                               "CAST(coalesce(sum(n) FILTER (WHERE error IS NULL), 0) AS BIGINT) AS successful, "
+                               "CAST(coalesce(sum(n) FILTER (WHERE error IS NOT NULL), 0) AS BIGINT) AS failed "
+                               "FROM best",
+        "summary_distinct": base + "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, "
+                                   "CAST(coalesce(sum(n), 0) - count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) "
+                                   "AS successful, count(*) FILTER (WHERE error IS NOT NULL) AS failed FROM best",
         "csv_rows": base + f"SELECT {_csv_cols()} FROM results",
         "sheet_rows": base + f"SELECT {_grid_cols()} FROM results",
         "render_text": base + f"SELECT pos, isbn, {_text_block()} AS text FROM results",

@@ -40,3 +40,15 @@ def test_oracle_parity(spark, con, name):
 
 def test_every_query_has_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+def test_oracle_column_types_match(spark, con):
+    """Same column names and types on both sides (not only equal values)."""
+    for name, q in E.queries().items():
+        spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                       for f in q(spark, SF).schema.fields}
+        rel = con.sql(E.oracle_sql()[name])
+        assert spark_types == dict(zip(rel.columns, map(str, rel.types))), name

@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,8 @@ from shelfmark.llm.common import pick, worker_state
 # The byte-level pre-token pattern that the vocabulary was made with.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE_ENTRIES = 120_000
+#: Entries of one generation of a worker's caches (two generations are held).
+UNITS_KEPT, PIECES_KEPT = 100_000, 300_000
 ROWS_OUT = 256
 
 
@@ -44,6 +47,24 @@ def byte_alphabet() -> dict[int, str]:
     return table
 
 
+class Recent:
+    """A cache of bounded size: what two generations of ``size`` entries have seen."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def put(self, key: str, value: tuple[int, ...]) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def get(self, key: str) -> tuple[int, ...] | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+
 class Vocabulary:
     """Parsed vocabulary with the encoder and decoder working on it."""
 
@@ -61,7 +82,7 @@ class Vocabulary:
                                  if self.special else r"(?!)()")
         self.pre = regex.compile(PRE_TOKEN)
         # A unit (blanks, then what is not blank) never shares a pre-token with the next unit.
-        self.units = regex.compile(r"\s*\S+|\s+")
+        self.units = re.compile(r"\s*\S+|\s+")
         self.odd = regex.compile("[\x1c-\x1f\x85᠎​﻿]")
         by_char = {c: b for b, c in shown.items()}
         strings = vocab | self.special
@@ -69,8 +90,8 @@ class Vocabulary:
         for s, i in strings.items():
             known = all(c in by_char for c in s)
             self.bytes_of[i] = bytes(by_char[c] for c in s) if known else s.encode("utf-8")
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.strings = pa.array(self.bytes_of, pa.binary())
+        self.known_units, self.known_pieces = Recent(UNITS_KEPT), Recent(PIECES_KEPT)
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -109,16 +130,19 @@ class Vocabulary:
         return [s for s in sym if s >= 0]
 
     def unit(self, unit: str) -> tuple[int, ...]:
-        ids = self.old.get(unit)
+        ids = self.known_units.get(unit)
         if ids is None:
             out: list[int] = []
             for piece in self.pre.findall(unit):
-                out += self.merged(piece.encode("utf-8"))
+                part = self.known_pieces.get(piece)
+                if part is None:
+                    part = tuple(self.merged(piece.encode("utf-8")))
+                    if len(piece) <= 64:
+                        self.known_pieces.put(piece, part)
+                out += part
             ids = tuple(out)
-        if len(unit) <= 64:
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[unit] = ids
+            if len(unit) <= 64:
+                self.known_units.put(unit, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -131,18 +155,30 @@ class Vocabulary:
                 continue
             # Blanks that regex engines disagree on: no units, the pattern sees the whole part.
             units = [part] if self.odd.search(part) else self.units.findall(part)
-            seen = self.young
+            seen = self.known_units.young
             for u in units:
                 ids = seen.get(u)
                 if ids is None:
                     ids = self.unit(u)
-                    seen = self.young
+                    seen = self.known_units.young
                 out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_all(self, lists: pa.ListArray) -> pa.StringArray:
+        """The same for many lists: the strings of all ids, laid end to end, cut where the lists end."""
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        strings = self.strings.take(lists.flatten())
+        ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset:strings.offset + len(strings) + 1]
+        cuts = np.ascontiguousarray(ends[np.concatenate([[0], np.cumsum(lengths)])])
+        texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts), strings.buffers()[2]])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # some ids are no whole characters
+            return pa.array([b.decode("utf-8", "replace") for b in texts.to_pylist()], pa.string())
+
 
 def vocabulary_text(path: str) -> str:
     with open(path, encoding="utf-8") as f:
@@ -192,11 +228,7 @@ def decode_documents(coded: DataFrame, vocab_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(vocab.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
-                texts = [v.decode(x or ()) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())],
-                                                 names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, v.decode_all(batch.column(1))], names=["doc_id", "ids", "decoded"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

@@ -103,10 +103,11 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, near_at): lines that have an earlier verified neighbour, with the earliest one's place."""
-    halves = distinct.select("k1", "k2", "at", F.explode("halves").alias("half"))
+    halves = distinct.select("k1", "k2", F.explode("halves").alias("half"))
     shared = (halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"))
               .filter(F.col("lo") != F.col("hi")).select("half"))
-    wanted = halves.join(shared, "half", "left_semi").groupBy("k1", "k2").agg(F.first("at").alias("at"))
+    near = halves.join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    wanted = distinct.join(near, ["k1", "k2"]).select("k1", "k2", "at")
     # The words of the wanted lines, from the documents that hold their first occurrences.
     places = (wanted.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk"))
               .agg(F.collect_set("at.line_no").alias("nos")))

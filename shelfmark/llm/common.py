@@ -15,6 +15,7 @@ from shelfmark.session import shared_dir
 #: Words are maximal runs of anything but space and the controls \t \n \v \f \r.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
+ROWS_PER_FILE = 50_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -52,10 +53,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "shelfmark-llm", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here.
+
+    ``rows`` is a bound of a small table's rows: it gets one file for every
+    ROWS_PER_FILE of them instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(6, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -151,19 +151,19 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_c
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (x, y) pairs whose full sets are similar enough."""
+    """Those of the pairs (x, y, …) whose full sets are similar enough."""
     x = sets.select(F.col("v").alias("x"), F.col("items").alias("xi"))
     y = sets.select(F.col("v").alias("y"), F.col("items").alias("yi"))
     both = pairs.join(x, "x").join(y, "y")
     common = F.size(F.array_intersect("xi", "yi")).cast("bigint")
     union = F.size("xi") + F.size("yi") - common
-    return both.filter(common * 100 >= union * percent).select("x", "y")
+    return both.filter(common * 100 >= union * percent).drop("xi", "yi")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable from each node of an edge list (x, y), roots left out.
 
-    Alternates large-star and small-star steps; every step is a grouped
+    ``rows``: a bound of the edges. Alternates large-star and small-star steps; every step is a grouped
     minimum and an equi-join, written out to cut the lineage.
     """
     edges = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("w")).filter("u != w").distinct()
@@ -174,23 +174,18 @@ def components(edges: DataFrame) -> DataFrame:
         down = edges.groupBy("u").agg(F.min("w").alias("m"))
         kept = edges.join(down, "u")
         edges = stored(kept.select(F.col("w").alias("u"), F.col("m").alias("w"))
-                       .unionByName(down.select("u", F.col("m").alias("w"))).filter("u != w").distinct(), "stars")
+                       .unionByName(down.select("u", F.col("m").alias("w"))).filter("u != w").distinct(), "stars", rows)
         if edges.join(edges.select(F.col("u").alias("w")), "w", "left_semi").isEmpty():
             one = edges.groupBy("u").agg(F.min("w").alias("w"), F.max("w").alias("most"))
             if one.filter("w != most").isEmpty():
                 return edges.select(F.col("u").alias("node"), F.col("w").alias("root"))
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after merging the components that the links (pairs of labels) join."""
-    roots = components(links).select(F.col("node").alias("c"), "root")
-    return stored(labels.join(roots, "c", "left").select("v", F.coalesce("root", "c").alias("c")), "labels")
-
-
-def _test(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Label pairs (x, y) that verified vertex pairs (x, y, with labels cx, cy) join."""
-    done = linked(pairs.select("x", "y"), sets, percent)
-    return stored(pairs.join(done, ["x", "y"]).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), "links")
+def _merge(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Labels after testing the pairs (x, y with labels cx, cy) and joining the components of those that are linked."""
+    links = linked(pairs.distinct(), sets, percent).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    roots = components(stored(links, "links", n), n).select(F.col("node").alias("c"), "root")
+    return stored(labels.join(roots, "c", "left").select("v", F.coalesce("root", "c").alias("c")), "labels", n)
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +207,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
             per = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "c")).alias("m"))
             mixed = per.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("m").alias("hub"),
                                            (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("open"))
-            mixed = stored(mixed.filter("lo != hi").select("key", F.col("hub.v").alias("hv"), F.col("hub.c").alias("hc"), "open"), "mixed")
+            mixed = stored(mixed.filter("lo != hi").select("key", F.col("hub.v").alias("hv"), F.col("hub.c").alias("hc"), "open"), "mixed", n)
             left = mixed.agg(F.sum(F.col("open").cast("double"))).first()[0]
             if not left:
                 break
@@ -221,11 +216,11 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
                 pairs = (side.select("key", F.col("v").alias("x"), F.col("c").alias("cx"))
                          .join(side.select("key", F.col("v").alias("y"), F.col("c").alias("cy")), "key")
                          .filter((F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y"))))
-                labels = _relabel(labels, _test(stored(pairs.select("x", "y", "cx", "cy").distinct(), "pairs"), sets, percent))
+                labels = _merge(labels, pairs.select("x", "y", "cx", "cy"), sets, percent, n)
                 break
             pairs = now.join(mixed.select("key", "hv", "hc"), "key").filter(F.col("c") != F.col("hc"))
-            pairs = pairs.select(F.col("v").alias("x"), F.col("hv").alias("y"), F.col("c").alias("cx"), F.col("hc").alias("cy")).distinct()
-            labels = _relabel(labels, _test(stored(pairs, "pairs"), sets, percent))
+            pairs = pairs.select(F.col("v").alias("x"), F.col("hv").alias("y"), F.col("c").alias("cx"), F.col("hc").alias("cy"))
+            labels = _merge(labels, pairs, sets, percent, n)
     named = vertices.select("v", "least_id").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     smallest = named.groupBy("c").agg(F.min("least_id").alias("component_id"))
     of = named.join(smallest, "c").select("v", "component_id")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, decontam, langid, linededup, neardedup, quality
+from shelfmark.llm import bpe, chat, decontam, langid, linededup, neardedup, quality, toxicity
 from shelfmark.llm.common import residue, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,25 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("tk")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the table is the event that starts a message."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("\\### Assistant: </turn> ok").alias("text"))
+    log = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"),
+                                         F.lit(None).cast("bigint").alias("target"), "role", "text")
+    return chat.digests(chat.format_log(log))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = residue(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents")).drop("tk")
 
@@ -50,6 +69,8 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_toxicity": op6_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_bpe": op10_bpe,
@@ -58,4 +79,5 @@ QUERIES = {
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.SQL,
+    "op5_chat_formatting": chat.SQL,
 }

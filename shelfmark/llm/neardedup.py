@@ -12,12 +12,17 @@ a linked pair meets nowhere with a chance below ``MISS``. Documents with equal
 sets are one vertex from the start. Links are confirmed by the exact Jaccard
 similarity of the full sets.
 
-No bucket is ever expanded into its pairs at once. A round tests every member
-of a bucket against one hub, merges what is linked, and looks again only at
-buckets whose members are still in several components, with another hub. When
-few untested pairs between components are left (or after ``ROUNDS`` rounds),
-exactly those pairs are tested. Nothing is capped: every pair that shares a
-bucket is linked, already connected, or has been tested.
+Each vertex also carries a parity bitmap of its set: an item flips one of
+``BITMAP`` bits. Two bitmaps differ in no more bits than the sets in items, so
+a pair whose bitmaps differ in more bits than a linked pair's sets may is left
+out by a few instructions, without a doubt and without its sets.
+
+No bucket is expanded into its pairs. A round holds every member of a bucket
+against one hub, tests what the bitmaps let through, merges what is linked, and
+the next looks only at buckets whose members are still in several components,
+with another hub. After ``ROUNDS`` rounds the pairs of different components in
+a bucket that pass the bitmaps, few by then, are tested. Nothing is capped:
+every pair that shares a bucket is connected, ruled out or tested.
 
 Defined cases: null and wordless texts have an empty set and are linked with
 nothing; a text with fewer words than a shingle is one shingle of all its
@@ -41,8 +46,9 @@ from shelfmark.llm.common import pick, stored, worker_state
 UNIVERSE = 1 << 20
 ROWS = 5
 MISS = 1e-7
-ROUNDS = 5
-PAIRS_PER_VERTEX = 2
+ROUNDS = 3
+BITMAP = 1024
+BITS = [f"w{i}" for i in range(BITMAP // 64)]
 SLICE = 8192
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +105,20 @@ class Circulant:
         return key
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: bit i says whether an odd number of items fall on i."""
+    odd = np.bincount((hashes % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the bitmaps and sizes of the sides ``x`` and ``y`` leave a link possible."""
+    apart = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in BITS), F.lit(0)).cast("bigint")
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return ((apart * (100 + percent) <= (a + b) * (100 - percent))
+            & (F.least(a, b) * 100 >= F.greatest(a, b) * percent))
+
+
 def _circulant(bands: int) -> Circulant:
     state = worker_state()
     if ("circulant", bands) not in state:
@@ -107,13 +127,13 @@ def _circulant(bands: int) -> Circulant:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tk, n_shingles, v, keys): the vertex ``v`` is a 128-bit digest of the set (null if empty)."""
+    """(doc_id, tk, n_shingles, v, keys, w0 …): the vertex ``v`` is a 128-bit digest of the set (null if empty)."""
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("tk"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = _circulant(bands)
         for batch in batches:
-            n, a, b, keys = [], [], [], []
+            n, a, b, keys, bits = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingles(text, size)
                 n.append(len(own))
@@ -121,15 +141,19 @@ def sketches(docs: DataFrame, size: int, bands: int, id_col: str = "doc_id", tex
                 a.append(np.int64(np.uint64(xxhash.xxh64_intdigest(data, 1))) if len(own) else None)
                 b.append(np.int64(np.uint64(xxhash.xxh64_intdigest(data, 2))) if len(own) else None)
                 keys.append(circulant.band_keys(own).view(np.int64) if len(own) else np.empty(0, np.int64))
+                bits.append(parity(own))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            bits = np.array(bits, np.int64).reshape(len(n), len(BITS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "tk", "n_shingles", "a", "b", "keys"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *[pa.array(bits[:, i].copy()) for i in range(len(BITS))]],
+                names=["doc_id", "tk", "n_shingles", "a", "b", "keys", *BITS])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, tk bigint, n_shingles bigint, a bigint, b bigint, keys array<bigint>")
-    return out.select("doc_id", "tk", "n_shingles", F.when(F.col("a").isNotNull(), F.struct("a", "b")).alias("v"), "keys")
+    out = rows.mapInArrow(run, f"doc_id {kind}, tk bigint, n_shingles bigint, a bigint, b bigint, keys array<bigint>, "
+                                 + ", ".join(f"{w} bigint" for w in BITS))
+    return out.select("doc_id", "tk", "n_shingles", F.when(F.col("a").isNotNull(), F.struct("a", "b")).alias("v"), "keys", *BITS)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -192,34 +216,29 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     """(doc_id, tk, n_shingles, component_id): the smallest doc_id linked with each document, directly or not."""
     sketch = stored(sketches(docs, size, bands_for(percent), id_col, text_col), "sketches")
     vertices = sketch.filter("v is not null").groupBy("v").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tk")).alias("at"), F.first("keys").alias("keys"))
+        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tk")).alias("at"), F.first("keys").alias("keys"),
+        F.first("n_shingles").alias("n"), *[F.first(w).alias(w) for w in BITS])
     vertices = stored(vertices, "vertices")
     placed = vertices.select("v", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo != hi").select("key")
-    members = stored(placed.join(shared, "key"), "members")
-    labels = stored(members.select("v").distinct().select("v", F.col("v").alias("c")), "labels")
+    meeting = stored(placed.join(shared, "key"), "meeting")
+    labels = stored(meeting.select("v").distinct().select("v", F.col("v").alias("c")), "labels")
     n = labels.count()
     if n:
-        wanted = vertices.join(labels.select("v"), "v").select("v", "at.doc_id", "at.tk")
-        sets = stored(full_sets(docs, wanted, size, id_col, text_col), "sets")
+        wanted = vertices.join(labels.select("v"), "v")
+        sets = stored(full_sets(docs, wanted.select("v", "at.doc_id", "at.tk"), size, id_col, text_col), "sets")
+        members = stored(meeting.join(wanted.select("v", "n", *BITS), "v"), "members")
         for turn in range(ROUNDS + 1):
             now = members.join(labels, "v")
-            per = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "c")).alias("m"))
-            mixed = per.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("m").alias("hub"),
-                                           (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("open"))
-            mixed = stored(mixed.filter("lo != hi").select("key", F.col("hub.v").alias("hv"), F.col("hub.c").alias("hc"), "open"), "mixed", n)
-            left = mixed.agg(F.sum(F.col("open").cast("double"))).first()[0]
-            if not left:
-                break
-            if turn and (left <= 2 * PAIRS_PER_VERTEX * n or turn == ROUNDS):
-                side = now.join(mixed.select("key"), "key", "left_semi")
-                pairs = (side.select("key", F.col("v").alias("x"), F.col("c").alias("cx"))
-                         .join(side.select("key", F.col("v").alias("y"), F.col("c").alias("cy")), "key")
-                         .filter((F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y"))))
-                labels = _merge(labels, pairs.select("x", "y", "cx", "cy"), sets, percent, n)
+            hub = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "c", "n", *BITS))
+            mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub.alias("hub")).filter("lo != hi")
+            mixed = stored(mixed.select("key", "hub.*"), "mixed", n)
+            if mixed.isEmpty():
                 break
-            pairs = now.join(mixed.select("key", "hv", "hc"), "key").filter(F.col("c") != F.col("hc"))
-            pairs = pairs.select(F.col("v").alias("x"), F.col("hv").alias("y"), F.col("c").alias("cx"), F.col("hc").alias("cy"))
+            left, right = now.alias("l"), (mixed if turn < ROUNDS else now.join(mixed.select("key"), "key", "left_semi")).alias("r")
+            apart = F.col("l.c") != F.col("r.c") if turn < ROUNDS else F.col("l.c") < F.col("r.c")
+            pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & may_link("l", "r", percent))
+            pairs = pairs.select(F.col("l.v").alias("x"), F.col("r.v").alias("y"), F.col("l.c").alias("cx"), F.col("r.c").alias("cy"))
             labels = _merge(labels, pairs, sets, percent, n)
     named = vertices.select("v", "least_id").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     smallest = named.groupBy("c").agg(F.min("least_id").alias("component_id"))

@@ -258,21 +258,26 @@ def _shards(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str |
         yield build(got, stats, total, mean)
 
 
+def _grouped(rows: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+    """(position of the first, words of consecutive texts) with about BATCH_WORDS words each."""
+    at = 0
+    while at < len(rows):
+        start, texts, size = at, [], 0
+        while at < len(rows) and size < BATCH_WORDS:
+            texts.append(tokens(rows[at]))
+            size += len(texts[-1])
+            at += 1
+        yield start, texts
+
+
 def _ask(docs: DataFrame, index: Index, threshold: float, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
-            rows = batch.column(2).to_pylist()
-            at = 0
-            while at < len(rows):
-                texts, size, start = [], 0, at
-                while at < len(rows) and size < BATCH_WORDS:
-                    texts.append(tokens(rows[at]))
-                    size += len(texts[-1])
-                    at += 1
-                if not size or not ix.ids:
+            for start, texts in _grouped(batch.column(2).to_pylist()):
+                if not any(texts) or not ix.ids:
                     continue
                 best: dict[tuple[int, int], tuple] = {}
                 for d, p in candidates(ix, texts, threshold):
@@ -305,10 +310,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
-    """The documents, all columns, that leak no test item."""
-    found = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **named)
-    found = found.select(F.col("doc_id").alias("_leak_id"), F.col("tk").alias("_leak_tk")).distinct()
-    own = F.xxhash64(F.col(f"`{text_col}`"))
-    on = (own == F.col("_leak_tk")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_leak_id"))
-    return docs.join(found, on, "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = MIN_OVERLAP,
+                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                  answer_col: str | None = None) -> DataFrame:
+    """The documents, all columns as they are, that leak no test item (of any shard)."""
+    at_text = docs.columns.index(text_col)
+    for index in _shards(benchmark, item_col, item_text_col, answer_col):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ix = shared.value
+            for batch in batches:
+                rows = batch.column(at_text).to_pylist()
+                for start, texts in _grouped(rows):
+                    keep = np.ones(len(texts), bool)
+                    for d, p in candidates(ix, texts, threshold) if ix.ids and any(texts) else ():
+                        if keep[d] and leaks(ix, texts[d], p, threshold, least):
+                            keep[d] = False
+                    yield batch.slice(start, len(texts)).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

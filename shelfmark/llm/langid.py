@@ -367,3 +367,24 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, words array<string>, labels array<string>")
+
+
+def in_known_language(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, whose language is found with a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, langs = _scorer(shared), shared.value.langs
+        for batch in batches:
+            for at, group in _grouped(batch.column(at_text).to_pylist()):
+                keep = np.zeros(len(group), bool)
+                full = [i for i, g in enumerate(group) if g] if langs else []
+                if full:
+                    p = scorer.label([group[i] for i in full])
+                    length = np.array([len(group[i]) for i in full])
+                    mean = np.add.reduceat(p, np.cumsum(length) - length, axis=0) / length[:, None]
+                    keep[full] = mean.max(axis=1) >= least
+                yield batch.slice(at, len(group)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -256,8 +256,11 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     Rows repeated with equal id and text are one document: one of them stays.
     """
-    keep = (classes(docs, size, percent, id_col, text_col).filter(is_kept())
-            .select(F.col("doc_id").alias("_keep_id"), F.col("tk").alias("_keep_tk")).distinct())
-    marked = docs.withColumn("_own_tk", F.xxhash64(F.col(f"`{text_col}`"))).dropDuplicates([id_col, "_own_tk"])
-    on = (F.col("_own_tk") == F.col("_keep_tk")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_keep_id"))
-    return marked.join(keep, on, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = stored(classes(docs, size, percent, id_col, text_col), "classes")
+    key = [F.col("doc_id").alias("_gone_id"), F.col("tk").alias("_gone_tk")]
+    gone = found.filter(~is_kept()).select(*key).distinct()
+    again = found.filter(is_kept()).groupBy("doc_id", "tk").agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    on = (F.xxhash64(F.col(f"`{text_col}`")).eqNullSafe(F.col("_gone_tk"))) & F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id"))
+    once = docs.join(gone.unionByName(again), on, "left_anti")
+    repeated = docs.join(again, on, "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(repeated)

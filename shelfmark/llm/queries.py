@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, decontam, langid, linededup, lm, neardedup, quality, toxicity
+from shelfmark.llm import bpe, chat, decontam, langid, linededup, lm, neardedup, quality, tokenbin, toxicity
 from shelfmark.llm.common import residue, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.ids_crc32(tokenbin.write_and_read(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents")).drop("tk")
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_toxicity": op6_toxicity,
+    "op7_token_ids": op7_token_ids,
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_bpe": op10_bpe,

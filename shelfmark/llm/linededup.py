@@ -10,9 +10,10 @@ Steps, all of them aggregations and equi-joins of built-in functions:
 
 1. Every line occurrence gets a 128-bit key; equal lines collapse, with a
    map-side combine, to the place of the first.
-2. Lines one word edit apart share their first or their last half. Lines whose
-   half-line hashes nobody else has cannot have a neighbour and drop out here,
-   so the variants below are only made where there can be a match.
+2. Lines one word edit apart share their first or their last half, and of
+   ``PARTS`` equal parts all but one. Lines whose half-line hashes, and then
+   whose hashes of all parts but one, nobody else has cannot have a neighbour
+   and drop out, so the variants below are only made where there can be a match.
 3. A remaining line emits the hash of every variant with one word deleted, with
    the deleted position, and the hash of itself. Lines with an equal variant
    and position differ in that word; a line that equals a variant of another is
@@ -36,6 +37,9 @@ from shelfmark.llm.common import pick, stored, words
 
 MIN_EXACT = 5
 MIN_NEAR = 10
+PARTS = 8
+#: Up to so many rows (of about 50 bytes) the places of the lines to fetch are broadcast, beyond them joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _key() -> list[Column]:
@@ -61,6 +65,26 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.struct("doc_id", "tk", "line_no").alias("at"), *_key(), _halves(F.size("w")).alias("halves"))
 
 
+def _all_but_one() -> Column:
+    """Hashes of a line without one of its PARTS, cut by its own length and by that of a line one word shorter.
+
+    An edit of a line of m words at some place leaves the words before the
+    place's part and those after it as they are.
+    """
+    n = F.size("w")
+
+    def cut(m: Column, j: int) -> Column:
+        start, end = F.floor(m * j / PARTS).cast("int"), F.floor(m * (j + 1) / PARTS).cast("int")
+        return F.xxhash64(m, F.lit(j), F.slice("w", F.lit(1), start), F.lit("|"), F.slice("w", n - (m - end) + 1, m - end))
+
+    return F.array(*[cut(m, j) for m in (n, n - 1) for j in range(PARTS)])
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """Values of ``key`` that lines with different k1 have."""
+    return rows.groupBy(key).agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo != hi").select(key)
+
+
 def _prefix_xor(values: Column) -> Column:
     """Running XOR of an array, by doubling steps: n log n, one expression."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int"))
@@ -103,14 +127,15 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, near_at): lines that have an earlier verified neighbour, with the earliest one's place."""
-    halves = distinct.select("k1", "k2", F.explode("halves").alias("half"))
-    shared = (halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"))
-              .filter(F.col("lo") != F.col("hi")).select("half"))
-    near = halves.join(shared, "half", "left_semi").select("k1", "k2").distinct()
-    wanted = distinct.join(near, ["k1", "k2"]).select("k1", "k2", "at")
+    halves = distinct.select("k1", F.explode("halves").alias("half"))
+    near = halves.join(_shared(halves, "half"), "half", "left_semi").select("k1").distinct()
+    wanted = distinct.join(near, "k1").select("at")
     # The words of the wanted lines, from the documents that hold their first occurrences.
     places = (wanted.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk"))
               .agg(F.collect_set("at.line_no").alias("nos")))
+    places = stored(places, "line-places")
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
     texts = (pick(docs, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull())
              .withColumn("tk", F.xxhash64("text")))
     there = texts.alias("t").join(places.alias("p"), (F.col("t.tk") == F.col("p.tk")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")))
@@ -120,6 +145,9 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col:
     lines = with_once(there.select("doc_id", "tk", "x.line_no", "x.line"), words(F.col("line")), "w")
     lines = lines.select(*_key(), F.struct("doc_id", "tk", "line_no").alias("at"), "w").dropDuplicates(["k1", "k2", "at"])
     lines = stored(lines, "line-words")
+    rest = lines.select("k1", F.explode(_all_but_one()).alias("rest"))
+    close = rest.join(_shared(rest, "rest"), "rest", "left_semi").select("k1").distinct()
+    lines = stored(lines.join(close, "k1", "left_semi"), "close-lines")
 
     made = stored(variants(lines), "line-variants")
     me = F.struct("at", "k1", "k2")

@@ -50,7 +50,7 @@ RECORD_IDS = 16 * BLOCK
 SIDE_BY_SIDE = 2048
 
 MAGIC = b"SMID"
-HEADER = struct.Struct("<4sBIII")      # magic, bits of an id, ids, payload bytes, crc32 of the ids
+HEADER = "<4sBIII"                     # magic, bits of an id, ids, payload bytes, crc32 of the ids
 SLOTS1, SLOTS2 = 512, 1024
 MANTISSA = 5
 TOP, FLOOR = 48, 32                    # the range stays in [2**32, 2**48), words of 16 bits leave it
@@ -233,7 +233,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     packed = [b""] * n
     for j, i in enumerate(order):
         data = out[j, :end[j]].astype("<u2").tobytes().rstrip(b"\0")
-        packed[i] = HEADER.pack(MAGIC, bits, len(blocks[i]), len(data), zlib.crc32(blocks[i].astype("<u4").tobytes())) + data
+        packed[i] = struct.pack(HEADER, MAGIC, bits, len(blocks[i]), len(data), zlib.crc32(blocks[i].astype("<u4").tobytes())) + data
     return packed
 
 
@@ -241,10 +241,10 @@ def split_blocks(data: bytes) -> list[tuple[int, int, int, bytes]]:
     """(bits, ids, crc, payload) of blocks laid end to end."""
     out, at = [], 0
     while at < len(data):
-        magic, bits, n, size, crc = HEADER.unpack_from(data, at)
-        if magic != MAGIC or not n or at + HEADER.size + size > len(data):
+        magic, bits, n, size, crc = struct.unpack_from(HEADER, data, at)
+        if magic != MAGIC or not n or at + struct.calcsize(HEADER) + size > len(data):
             raise ValueError("not a block of ids")
-        at += HEADER.size
+        at += struct.calcsize(HEADER)
         out.append((bits, n, crc, data[at:at + size]))
         at += size
     return out

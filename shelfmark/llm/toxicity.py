@@ -1,9 +1,10 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaling.
 
 A word, in lower case and between blanks, has character n-grams of ``SIZES``;
-a document has the set of those of its words. Each n-gram is scaled by its
-naive Bayes log-count ratio (how much more often it is in documents of label 1
-than of label 0), and a logistic regression is fitted on the scaled values.
+a document has those of its words, each with the logarithm of one plus its
+count. Each n-gram is scaled by its naive Bayes log-count ratio (how much more
+of it there is in documents of label 1 than of label 0), and a logistic
+regression is fitted on the scaled values.
 
 The fit uses a bounded sample of labelled documents (``FIT_ROWS`` rows with
 the smallest hash of their id, the first ``FIT_CHARS`` characters of each).
@@ -19,6 +20,7 @@ left behind.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -37,7 +39,7 @@ SIZES = (3, 4, 5, 6)
 FIT_ROWS = 3000
 FIT_CHARS = 20_000
 MIN_DOCS = 4
-MIN_RATIO = 1.0
+MIN_RATIO = 0.7
 SMOOTH = 1.0
 RIDGE = 0.02
 STEPS = 150
@@ -57,15 +59,18 @@ class Model:
     intercept: float
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def score(self, present: set[str]) -> float:
-        z = self.intercept + sum(self.weights[g] for g in sorted(present))
+    def score(self, counts: Counter) -> float:
+        z = self.intercept + sum(self.weights[g] * math.log1p(n) for g, n in sorted(counts.items()) if g in self.weights)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def document_ngrams(text: str | None) -> set[str]:
-    out: set[str] = set()
-    for w in set(WORD.findall(text.lower())) if text else ():
-        out |= ngrams(w)
+def document_ngrams(text: str | None, known: dict[str, int] | None = None) -> Counter:
+    """N-grams of a text with the number of words that have them (only those known, if given)."""
+    out: Counter = Counter()
+    for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
+        for g in ngrams(w):
+            if known is None or g in known:
+                out[g] += n
     return out
 
 
@@ -75,39 +80,41 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    seen = (Counter(), Counter())
+    heft = ({}, {})
+    held: Counter = Counter()
     for text, label in rows:
-        seen[label].update(document_ngrams(text))
-    total = [sum(c.values()) + SMOOTH * len(seen[0] | seen[1]) for c in seen]
+        own, of = heft[label], document_ngrams(text)
+        held.update(of.keys())
+        for g, n in of.items():
+            own[g] = own.get(g, 0.0) + math.log1p(n)
+    total = [sum(h.values()) + SMOOTH * len(held) for h in heft]
     ratio = {}
-    for g in sorted(seen[0].keys() | seen[1].keys()):
-        p, q = seen[1][g], seen[0][g]
-        if p + q >= MIN_DOCS:
-            r = np.log((p + SMOOTH) / total[1]) - np.log((q + SMOOTH) / total[0])
-            if abs(r) >= MIN_RATIO:
-                ratio[g] = float(r)
-    del seen
+    for g in sorted(g for g, n in held.items() if n >= MIN_DOCS):
+        r = math.log((heft[1].get(g, 0.0) + SMOOTH) / total[1]) - math.log((heft[0].get(g, 0.0) + SMOOTH) / total[0])
+        if abs(r) >= MIN_RATIO:
+            ratio[g] = r
+    del heft, held
     number = {g: i for i, g in enumerate(ratio)}
     r = np.array(list(ratio.values()))
-    lists = [np.array(sorted(number[g] for g in document_ngrams(t) if g in number), np.int64) for t, _ in rows]
-    lengths = np.array([len(x) for x in lists])
-    col = np.concatenate(lists) if len(lists) else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    x = r[col]
+    row, col, x = [], [], []
+    for k, (text, _) in enumerate(rows):
+        of = sorted((number[g], n) for g, n in document_ngrams(text, number).items())
+        row.append(np.full(len(of), k))
+        col.append(np.array([g for g, _ in of], np.int64))
+        x.append(np.log1p([n for _, n in of]) * r[col[-1]])
+    row, col, x = np.concatenate(row), np.concatenate(col), np.concatenate(x)
     # Logistic regression by accelerated gradient steps on the scaled features.
     n, k = len(rows), len(r)
     w, v, b, vb = np.zeros(k), np.zeros(k), float(np.log(y.mean() / (1 - y.mean()))), 0.0
     step = 1.0 / max(1.0, 0.25 * np.bincount(row, x * x, n).max())
-    bias_step, grown = 0.5, 0.0
-    for t in range(STEPS):
+    for _ in range(STEPS):
         ahead = w + 0.9 * v
         z = np.bincount(row, x * ahead[col], n) + b
         g = 1 / (1 + np.exp(-z)) - y
         grad = np.bincount(col, x * g[row], k) / n + RIDGE / n * ahead
-        v = 0.9 * v - step * n / 4 * grad * 0.5
+        v = 0.9 * v - step * n / 8 * grad
         w = w + v
-        grown += g.mean() ** 2
-        vb = 0.5 * vb - bias_step * g.mean()
+        vb = 0.5 * vb - 0.5 * g.mean()
         b += vb
     final = w * r
     return Model({g: float(final[i]) for g, i in number.items() if abs(final[i]) > 1e-6}, float(b))
@@ -146,18 +153,17 @@ class Scorer:
     def margin(self, text: str | None) -> float:
         if not text:
             return self.intercept
-        here: set[int] = set()
+        found: list[int] = []
         get = self.words.get
-        for w in set(WORD.findall(text.lower())):
+        for w in WORD.findall(text.lower()):
             ids = get(w)
             if ids is None:
                 ids = self.known(w)
                 get = self.words.get
             if ids:
-                here.update(ids)
-        at = np.fromiter(here, np.int64, len(here))
-        at.sort()
-        return self.intercept + float(self.weights[at].sum())
+                found += ids
+        at, n = np.unique(np.array(found, np.int64), return_counts=True)
+        return self.intercept + float((self.weights[at] * np.log1p(n)).sum())
 
 
 def _scorer(model: Model) -> Scorer:

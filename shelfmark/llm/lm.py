@@ -84,6 +84,7 @@ def _tables() -> np.ndarray:
 def pack(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays of a non-decreasing sequence of numbers below ``universe``."""
     n = len(values)
+    universe = universe if n else 1
     values = values.astype(U64)
     low_bits = max(0, (universe // max(n, 1)).bit_length() - 1) if n else 0
     high = (values >> U64(low_bits)).astype(np.int64) if low_bits < 64 else np.zeros(n, np.int64)

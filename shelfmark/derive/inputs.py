@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import parallelism, scratch_path
+from ..session import scratch_path
 
 def _code_tag() -> str:
     """Hash of the package source: any change to a derivation rule or to the
@@ -109,6 +109,16 @@ def raw_ids_skewed_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
                      _shaped(book, (F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("raw"))
 
 
+# Book that all rows of the identical input refer to.
+SAME_BOOK = 1
+
+
+def raw_ids_identical_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_ids_identical(raw)``: the same identifier for every lineitem row,
+    and no other column."""
+    return table(spark, sf_dir, "lineitem").select(_shaped(F.lit(SAME_BOOK), F.lit(1)).alias("raw"))
+
+
 def _jstr(c: Column) -> Column:
     """A JSON string literal for ``c`` (quoted and escaped)."""
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
@@ -128,14 +138,14 @@ def _book_fields(p: DataFrame) -> DataFrame:
 
 
 def snapshot_a_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider A responses for books ``p % 5 in (0, 1)``, both key forms.
+    """Provider A responses for every book, both key forms.
 
-    Variant ``va = (p div 5) % 8``: 0 full; 1 latest is a 404 (an older 200
+    Books ``p % 5 in (0, 1)`` are known; the others got a 404. Variant ``va = (p div 5) % 8``: 0 full; 1 latest is a 404 (an older 200
     exists and must not be used); 2 truncated JSON; 3 member null; 4 empty
     object (hit, blanks); 5 wrong-typed members; 6 mixed arrays and a
     fractional page count; 7 full, with an older superseded response.
     """
-    p = _book_fields(table(spark, sf_dir, "part").where(F.col("p_partkey") % 5 < 2))
+    p = _book_fields(table(spark, sf_dir, "part")).withColumn("known", F.col("p_partkey") % 5 < 2)
     p = p.withColumn("va", (F.floor(F.col("p_partkey") / 5) % 8).cast("int"))
     keyed = p.withColumn("isbn", F.explode(F.array("k13", "k10")))
     key = F.col("isbn")
@@ -160,26 +170,28 @@ def snapshot_a_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
             '{"name":%s}],"publishers":[{"q":1},{"name":"P2"}],"subjects":[]}}',
             key, _jstr(F.col("p_name")), F.col("p_size"), _jstr(F.col("w1")), _jstr(F.col("w2"))))
     )
-    latest = keyed.select("isbn", F.when(va == 1, 404).otherwise(200).alias("status_code"),
-                          body.alias("body"), F.col("ts").alias("fetched_at"))
-    older = keyed.where(va.isin(1, 7)).select(
+    latest = keyed.select("isbn", F.when((va == 1) | ~F.col("known"), 404).otherwise(200).alias("status_code"),
+                          F.when(F.col("known"), body).otherwise(F.lit("not found")).alias("body"),
+                          F.col("ts").alias("fetched_at"))
+    older = keyed.where(F.col("known") & va.isin(1, 7)).select(
         "isbn", F.lit(200).alias("status_code"), old.alias("body"),
         (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("fetched_at"))
     return latest.unionByName(older)
 
 
 def snapshot_b_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider B responses for books ``p % 5 in (1, 2, 3)``, both key forms.
+    """Provider B responses for every book, both key forms.
 
-    Variant ``vb = (p div 5) % 9``: 0 full; 1 status 500; 2 no items;
+    Books ``p % 5 in (1, 2, 3)`` are known; the others got an answer without
+    items. Variant ``vb = (p div 5) % 9``: 0 full; 1 status 500; 2 no items;
     3 ``totalItems`` 1 with an empty list; 4 string page count (strict
     decode fails); 5 null title (hit, blanks); 6 two items, repeated ISBN_13
     (last wins); 7 second item with a numeric language (fails); 8 empty
     author list, a null category, ISBN_10 only.
     """
-    p = _book_fields(table(spark, sf_dir, "part").where(F.col("p_partkey") % 5 >= 1)
-                     .where(F.col("p_partkey") % 5 <= 3))
-    p = p.withColumn("vb", (F.floor(F.col("p_partkey") / 5) % 9).cast("int"))
+    p = _book_fields(table(spark, sf_dir, "part"))
+    known = (F.col("p_partkey") % 5).between(1, 3)
+    p = p.withColumn("vb", F.when(known, F.floor(F.col("p_partkey") / 5) % 9).otherwise(2).cast("int"))
     keyed = p.withColumn("isbn", F.explode(F.array("k13", "k10")))
     date = F.concat_ws("-", F.col("year"), F.lpad((F.col("p_partkey") % 12 + 1).cast("string"), 2, "0"), F.lit("01"))
     vol = lambda pages_fmt: F.format_string(
@@ -244,8 +256,9 @@ def decorated_ids_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_grid_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid export rows ``(c0, c1)``: one decorated id per order plus header,
-    blank, punctuation-only and 'isbn 13' cells at fixed keys."""
+    """Lines of a grid export (CSV text, ids in column C): one decorated id per
+    order, and at fixed keys header, punctuation-only and 'isbn 13' cells,
+    empty lines, and a quoted cell with a line break and a comma before it."""
     r = raw_ids_expr(spark, sf_dir)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")
     g = r.join(o, "pos")
@@ -262,14 +275,14 @@ def sheet_grid_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(*[F.lit(w) for w in SHEET_HEADER_WORDS])
     extra = (
         F.when(k % 50 == 0, F.element_at(words, (F.floor(k / 50) % len(SHEET_HEADER_WORDS) + 1).cast("int")))
-        .when(k % 50 == 25, F.lit(""))
         .when(k % 50 == 10, F.lit(". - "))
         .when(k % 50 == 40, F.lit("isbn 13"))
     )
-    rows = F.filter(F.array(F.struct(extra.alias("c0"), F.lit("x").alias("c1")),
-                            F.struct(cell.alias("c0"), F.col("o_orderstatus").alias("c1"))),
-                    lambda s: s["c0"].isNotNull())
-    return g.select(k.alias("pos"), F.inline(rows))
+    second = F.when(k % 11 == 3, F.concat(F.lit('"status ""'), F.col("o_orderstatus"), F.lit('""\nof, the order"'))) \
+        .otherwise(F.col("o_orderstatus"))
+    lines = F.filter(F.array(F.when(k % 50 == 25, F.lit("")), F.concat(F.lit("x,y,"), extra),
+                             F.concat(F.lit("order,"), second, F.lit(","), cell)), lambda x: x.isNotNull())
+    return g.select(k.alias("pos"), F.posexplode(lines).alias("idx", "value"))
 
 
 def job_manifest_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,39 +310,54 @@ def job_manifest_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- materialisation -------------------------------------------------------
 
-# name -> (builder, format, layout key, rows per file)
+# name -> (builder, format, layout key or None)
 _BUILDERS = {
-    "raw_ids": (raw_ids_expr, "parquet", "pos", 20_000),
-    "raw_ids_large": (raw_ids_large_expr, "parquet", "pos", 20_000),
-    "decorated_ids": (decorated_ids_expr, "parquet", "pos", 20_000),
-    "raw_ids_skewed": (raw_ids_skewed_expr, "parquet", "pos", 20_000),
-    "snapshot_a": (snapshot_a_expr, "parquet", "isbn", 2_500),
-    "snapshot_b": (snapshot_b_expr, "parquet", "isbn", 2_500),
-    "id_lines": (id_lines_expr, "text", "pos", 20_000),
-    "sheet_grid": (sheet_grid_expr, "csv", "pos", 20_000),
-    "job_manifest": (job_manifest_expr, "parquet", "job_id", 20_000),
+    "raw_ids": (raw_ids_expr, "parquet", "pos"),
+    "raw_ids_large": (raw_ids_large_expr, "parquet", "pos"),
+    "decorated_ids": (decorated_ids_expr, "parquet", "pos"),
+    "raw_ids_skewed": (raw_ids_skewed_expr, "parquet", "pos"),
+    "raw_ids_identical": (raw_ids_identical_expr, "parquet", None),
+    "snapshot_a": (snapshot_a_expr, "parquet", "isbn"),
+    "snapshot_b": (snapshot_b_expr, "parquet", "isbn"),
+    "id_lines": (id_lines_expr, "text", "pos"),
+    "sheet_grid": (sheet_grid_expr, "text", "pos"),
+    "job_manifest": (job_manifest_expr, "parquet", "job_id"),
 }
 _LOCK = threading.RLock()  # re-entrant: a build may materialise its own inputs
 
 
-def register(name: str, build, fmt: str = "parquet", key: str = "isbn", rows_per_file: int = 20_000) -> None:
+def register(name: str, build, fmt: str = "parquet", key: str | None = "isbn") -> None:
     """Add a table built by ``build(spark, sf_dir)`` to what ``materialize`` can write."""
-    _BUILDERS[name] = (build, fmt, key, rows_per_file)
+    _BUILDERS[name] = (build, fmt, key)
 
 
-def _layout(spark: SparkSession, df: DataFrame, key: str, rows_per_file: int) -> DataFrame:
-    """Spread a derived table over enough files for the cluster to read it
-    in parallel (at most one per core). Ordered inputs keep their key order
-    (range partitions, sorted within); snapshots are hashed by key."""
-    n = max(1, min(parallelism(spark), -(-df.count() // rows_per_file)))
+def _layout(spark: SparkSession, df: DataFrame, key: str | None) -> DataFrame:
+    """As many files as the session has shuffle partitions, which is the
+    setting that follows the size of the data. Ordered inputs keep their key
+    order (range partitions, sorted within); snapshots are hashed by key."""
+    if key is None:
+        return df
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if key == "isbn":
         return df.repartition(n, key)
     order = [key] + [c for c in ("idx",) if c in df.columns]
     return df.repartitionByRange(n, key).sortWithinPartitions(*order)
 
 
+def _content_tag(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the source tables' files: changed tables get new derived ones."""
+    files = None
+    for name in ("orders", "lineitem", "part", "pages"):
+        listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                  .load(f"{sf_dir.rstrip('/')}/{name}.parquet").select("path", "modificationTime", "length"))
+        files = listed if files is None else files.unionByName(listed)
+    mark = F.pmod(F.xxhash64("path", "modificationTime", "length"), F.lit(1 << 40))
+    r = files.agg(F.sum(mark).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return f"{r['n']}-{r['s']}"
+
+
 def derived_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
+    tag = hashlib.sha1(f"{sf_dir} {_content_tag(spark, sf_dir)}".encode()).hexdigest()[:10]
     return scratch_path(spark, "derived", f"{DERIVE_VERSION}-{tag}", name)
 
 
@@ -344,14 +372,10 @@ def materialize(spark: SparkSession, sf_dir: str, name: str) -> str:
     with _LOCK:
         if _complete(spark, path):
             return path
-        build, fmt, key, rows_per_file = _BUILDERS[name]
-        df = _layout(spark, build(spark, sf_dir), key, rows_per_file)
+        build, fmt, key = _BUILDERS[name]
+        df = _layout(spark, build(spark, sf_dir), key)
         if fmt == "text":
             df.select("value").write.mode("overwrite").option("lineSep", "\n").text(path)
-        elif fmt == "csv":
-            (df.select("c0", "c1").write.mode("overwrite").option("header", False).option("escape", '"')
-             .option("quoteAll", False).option("ignoreLeadingWhiteSpace", False)
-             .option("ignoreTrailingWhiteSpace", False).csv(path))
         else:
             df.write.mode("overwrite").parquet(path)
         _mark_complete(spark, path)
@@ -378,7 +402,4 @@ def _mark_complete(spark: SparkSession, path: str) -> None:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The materialised derived table as a DataFrame."""
     path = materialize(spark, sf_dir, name)
-    fmt = _BUILDERS[name][1]
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.text(path) if fmt == "text" else spark.read.csv(path)
+    return spark.read.parquet(path) if _BUILDERS[name][1] == "parquet" else spark.read.text(path)

@@ -52,6 +52,10 @@ RAW_IDS_SKEWED = f"""raw_ids AS (
   FROM {_book('lineitem', 'CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE l_partkey END',
               'l_orderkey * 8 + l_linenumber AS pos, (l_orderkey + l_linenumber) % 8 AS shape')})"""
 
+RAW_IDS_IDENTICAL = f"""raw_ids AS (
+  SELECT 0 AS pos, {_shape_sql('1')} AS raw
+  FROM {_book('lineitem', '1', 'l_orderkey')})"""
+
 DECORATED = """decorated AS (
   SELECT pos, CASE pos % 5 WHEN 0 THEN raw WHEN 1 THEN '  ' || raw WHEN 2 THEN raw || chr(9)
                            WHEN 3 THEN raw || chr(13) ELSE chr(12288) || raw || ' ' END AS raw
@@ -313,8 +317,8 @@ def oracle_sql() -> dict[str, str]:
             "'/spreadsheets/d/([a-zA-Z0-9_-]+)', 1), ''), sheet_ref) AS sheet_id FROM manifest"),
         "check_ranges": _with(_MANIFEST) + (
             f"SELECT job_id, range, CASE WHEN range = '' THEN '{fixed.MSG_RANGE_EMPTY}' "
-            "WHEN NOT (contains(range, ':') OR contains(range, '!')) THEN 'invalid range format: ' || range || "
-            "' (use A1 notation like ''A2:A'' or ''Sheet1!A2:A'')' END AS range_error FROM manifest"),
+            "WHEN NOT (contains(range, ':') OR contains(range, '!')) THEN "
+            "replace('" + fixed.MSG_RANGE_FORMAT.replace("'", "''") + "', '%s', range) END AS range_error FROM manifest"),
         "resolve": base + f"SELECT {res_cols} FROM results",
         "resolve_chain": base + f"SELECT {res_cols} FROM results",
         "fallback_keys": base + "SELECT k.isbn FROM keys k WHERE NOT EXISTS "
@@ -329,14 +333,15 @@ def oracle_sql() -> dict[str, str]:
                                    "CAST(coalesce(sum(n), 0) - count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) "
                                    "AS successful, count(*) FILTER (WHERE error IS NOT NULL) AS failed FROM best",
         "csv_rows": base + f"SELECT {_csv_cols()} FROM results",
-        "sheet_rows": base + f"SELECT {_grid_cols()} FROM results",
+        "sheet_rows": base + f"SELECT {_grid_cols(prefix_pos=False)} FROM results",
         "render_text": base + f"SELECT pos, isbn, {_text_block()} AS text FROM results",
         "json_entries": base + f"SELECT pos, isbn, CASE WHEN error IS NULL THEN '{fixed.STATUS_SUCCESS}' "
                                f"ELSE '{fixed.STATUS_ERROR}' END AS status, {_json_line()} AS line FROM results",
         "preview_rows": base + f"SELECT {_grid_cols()} FROM results ORDER BY pos LIMIT {fixed.PREVIEW_ROWS - 1}",
-        "sheet_append": base + f"SELECT {_grid_cols()} FROM results UNION ALL SELECT {_grid_cols()} FROM results",
+        "sheet_append": base + f"SELECT {_grid_cols(prefix_pos=False)} FROM results UNION ALL SELECT {_grid_cols(prefix_pos=False)} FROM results",
         "stream_resolve": base + f"SELECT {_csv_cols(prefix_pos=False)} FROM results",
         "sheet_round_trip": _sheet_base() + f"SELECT {_grid_cols(prefix_pos=False)} FROM results",
+        "resolve_identical_rows": _base(RAW_IDS_IDENTICAL) + "SELECT raw, isbn, provider, title, error FROM results",
         "resolve_skewed": _base(RAW_IDS_SKEWED) + "SELECT pos, isbn, provider, title, error FROM results",
         "bench_classify_large": _with(RAW_IDS_LARGE, CLASSIFIED) + (
             "SELECT type, error, count(*) AS n FROM classified GROUP BY type, error"),

@@ -56,6 +56,15 @@ TEXT_LABELS = (
     "ISBN: ", "ISBN-13: ", "Title: ", "Authors: ", "Publisher: ",
     "Publication Date: ", "Pages: ", "Categories: ",
 )
+MSG_FORMAT = "unsupported format: %s (one of %s)"
+
+# Dry-run preview.
 PREVIEW_ROWS = 5
 PREVIEW_TITLE = "DRY RUN - Preview of changes:"
+PREVIEW_TARGET = "Spreadsheet ID: %s"
+PREVIEW_RANGE = "Output Range: %s"
+PREVIEW_NEW_TAB = "Would create new tab: %s"
+PREVIEW_TOTAL = "Would write %d rows:"
+PREVIEW_ROW = "Row %d: [%s]"
+PREVIEW_MORE = "... and %d more rows"
 PREVIEW_NOTE = "No changes were made (dry run mode)"

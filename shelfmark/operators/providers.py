@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import json as J
+from ..session import require_conf
 
 META_FIELDS = (
     "isbn_10", "isbn_13", "title", "authors", "publisher",
@@ -49,9 +50,17 @@ def _parsed_body() -> Column:
 
 
 def _last_key_wins(df: DataFrame) -> None:
-    """Duplicate JSON keys keep the last value (a streaming decoder's rule).
-    The setting is read when the plan is built, so it is set right here."""
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    """Duplicate JSON keys keep the last value (a streaming decoder's rule);
+    the parse needs the session setting that says so."""
+    require_conf(df.sparkSession, "spark.sql.variant.allowDuplicateKeys")
+
+
+def _when() -> Column:
+    """Which response of a key is the latest: fetch time, then status code,
+    then a hash of the body, so a tie has one answer in any row order."""
+    at = F.coalesce(F.col("fetched_at"), F.timestamp_seconds(F.lit(0)))
+    return F.struct(at.alias("at"), F.coalesce("status_code", F.lit(-1)).alias("status"),
+                    F.xxhash64("body").alias("body")).alias("fetched")
 
 
 _A_FIELDS = ("title", "authors", "publishers", "publish_date", "number_of_pages", "subjects")
@@ -78,11 +87,11 @@ def parse_provider_a(snapshot: DataFrame) -> DataFrame:
     doc = F.try_variant_get(_parsed_body(), "$", "map<string,variant>")
     key = F.concat(F.lit(fixed.PROVIDER_A_KEY_PREFIX), F.col("isbn"))
     staged = snapshot.select(
-        "isbn", "fetched_at", "status_code", F.element_at(doc, key).alias("rec")
+        "isbn", "fetched_at", _when(), "status_code", F.element_at(doc, key).alias("rec")
     ).select(
-        "isbn", "fetched_at", "status_code", _fields("rec", _A_FIELDS).alias("f")
+        "isbn", "fetched_at", "fetched", "status_code", _fields("rec", _A_FIELDS).alias("f")
     ).select(
-        "isbn", "fetched_at",
+        "isbn", "fetched_at", "fetched",
         F.coalesce((F.col("status_code") == 200) & F.col("f").isNotNull(), F.lit(False)).alias("hit"),
         "f", J.get("f.publishers", "$[0]").alias("first_pub"),
     )
@@ -98,7 +107,7 @@ def parse_provider_a(snapshot: DataFrame) -> DataFrame:
         .cast("bigint"),
         categories=J.object_names("f.subjects"),
     )
-    return staged.select("isbn", "fetched_at", "hit", F.when(F.col("hit"), meta).alias("meta"))
+    return staged.select("isbn", "fetched_at", "fetched", "hit", F.when(F.col("hit"), meta).alias("meta"))
 
 
 def _identifier_ok(e: Column) -> Column:
@@ -160,9 +169,9 @@ def parse_provider_b(snapshot: DataFrame) -> DataFrame:
     """
     _last_key_wins(snapshot)
     staged = snapshot.select(
-        "isbn", "fetched_at", "status_code", _parsed_body().alias("v")
+        "isbn", "fetched_at", _when(), "status_code", _parsed_body().alias("v")
     ).select(
-        "isbn", "fetched_at", "status_code", "v",
+        "isbn", "fetched_at", "fetched", "status_code", "v",
         J.get("v", "$.totalItems").alias("total"), J.get("v", "$.items[0]").alias("item0"),
         J.get("v", "$.items[1]").isNotNull().alias("more"),
     ).withColumn("f", F.try_variant_get("item0", "$.volumeInfo", "struct<" + ", ".join(
@@ -177,7 +186,7 @@ def parse_provider_b(snapshot: DataFrame) -> DataFrame:
     decoded = J.is_object("v") & J.strict(F.col("total"), J.is_integer) & item0_ok & rest_ok
     hit = F.coalesce((F.col("status_code") == 200) & (total_n != 0) & F.col("item0").isNotNull() & decoded,
                      F.lit(False))
-    staged = staged.select("isbn", "fetched_at", hit.alias("hit"), "f")
+    staged = staged.select("isbn", "fetched_at", "fetched", hit.alias("hit"), "f")
     ids = F.try_variant_get(f.getField("industryIdentifiers"), "$", "array<struct<type: string, identifier: string>>")
     meta = _meta(
         isbn_10=_last_identifier(ids, fixed.IDENTIFIER_TYPE_10),
@@ -189,21 +198,19 @@ def parse_provider_b(snapshot: DataFrame) -> DataFrame:
         pages=F.coalesce(F.try_variant_get(f.getField("pageCount"), "$", "bigint"), F.lit(0)).cast("bigint"),
         categories=_string_list(f.getField("categories")),
     )
-    return staged.select("isbn", "fetched_at", "hit", F.when(F.col("hit"), meta).alias("meta"))
+    return staged.select("isbn", "fetched_at", "fetched", "hit", F.when(F.col("hit"), meta).alias("meta"))
 
 
 def latest_response(parsed: DataFrame) -> DataFrame:
-    """The most recent response per key wins, hit or miss.
+    """The most recent response per key wins, hit or miss (``_when`` breaks ties).
 
     A grouped max_by with a map-side partial aggregate: a key with millions
     of responses collapses before the shuffle instead of landing in one task.
     Output is hash-partitioned by ``isbn`` (reused by the resolve joins).
     """
-    # A snapshot without fetch times still yields its single response per key.
-    when = F.coalesce(F.col("fetched_at"), F.timestamp_seconds(F.lit(0)))
     return (
         parsed.groupBy("isbn")
-        .agg(F.max_by(F.struct("hit", "meta"), when).alias("r"))
+        .agg(F.max_by(F.struct("hit", "meta"), F.col("fetched")).alias("r"))
         .select("isbn", F.col("r.hit").alias("hit"), F.col("r.meta").alias("meta"))
     )
 

@@ -11,21 +11,45 @@ Plan shape (one Spark job, no driver round trips):
    broadcasts through Spark's size-checked auto-broadcast.
 3. ``attach``: every input row gets its key's result (duplicates keep one
    row each). This is the only shuffle of the full input; hot keys are split
-   over several salts so no task receives a whole hot group.
+   over several salts so no task receives a whole hot group. The salt comes
+   from the row's place in a written table, so rows with equal values spread
+   too, and a repeated task gives every row the same salt again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import scratch_path
 from .providers import Provider
 
 # Rows of one key that one join task may receive before the key is split.
 DEFAULT_ROWS_PER_SPLIT = 500_000
-# Upper bound on the broadcast set of split keys (~30 bytes per entry).
-DEFAULT_MAX_HOT_KEYS = 100_000
+# The split set is broadcast (~30 bytes an entry): keys are split from so many
+# rows on that no more than this many of them can exist.
+MAX_SPLIT_KEYS = 100_000
+# Identity of a row of a written table (hash of its file and row number).
+ROW = "_row"
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """A written (Parquet) table with the identity ``ROW`` of every row."""
+    df = spark.read.parquet(path)
+    return df.select(*df.columns, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(ROW))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` written into the shared folder once and read with ``ROW``.
+
+    Whatever made them (a scan with its classification, say) is not run
+    again by the key counts and the join back.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "rows", unique=True)
+    rows.write.parquet(path)
+    return read_numbered(spark, path)
 
 
 def key_counts(valid: DataFrame) -> DataFrame:
@@ -78,31 +102,27 @@ def unresolved_ids(keys: DataFrame, providers: list[Provider]) -> DataFrame:
 
 def attach(valid: DataFrame, resolved: DataFrame,
            rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-           max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
            counts: DataFrame | None = None) -> DataFrame:
     """Join each input row to its key's result, splitting hot keys.
 
-    ``resolved`` carries ``n`` (rows per key). A key with more than
-    ``rows_per_split`` rows gets ``ceil(n / rows_per_split)`` salts: its input
-    rows are spread over them by a hash of the whole row (deterministic under
-    task retries) and its single result row is copied once per salt. The
-    split set is the ``max_hot_keys`` largest such keys, a broadcast of
-    proven size; any other key has at most ``max(rows_per_split, N /
-    max_hot_keys)`` rows and takes the ordinary path with salt 0. No row is
-    dropped: every key is joined either way. ``counts`` (``key_counts``),
-    when given, feeds the split set directly instead of ``resolved``.
+    ``resolved`` carries ``n`` (rows per key). A key with more than ``limit``
+    rows gets ``ceil(n / limit)`` salts: its input rows are spread over them
+    by their ``ROW`` identity and its single result row is copied once per
+    salt. ``limit`` is ``rows_per_split``, or ``N / MAX_SPLIT_KEYS`` when that
+    is more, so fewer than MAX_SPLIT_KEYS keys can be above it: the split set
+    needs no cap. Every other key has at most ``limit`` rows. ``counts``
+    (``key_counts``), when given, feeds the split set directly instead of
+    ``resolved``. Rows without ``ROW`` are written once to get one.
     """
-    splits = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(rows_per_split))).cast("int")
-    hot = F.broadcast(
-        (counts if counts is not None else resolved).where(F.col("n") > rows_per_split)
-        .orderBy(F.col("n").desc(), F.col("isbn"))
-        .limit(max_hot_keys)
-        .select("isbn", splits.alias("_splits"))
-    )
-    row_cols = valid.columns
+    if ROW not in valid.columns:
+        valid = numbered(valid)
+    limit = max(rows_per_split, -(-valid.count() // MAX_SPLIT_KEYS))
+    splits = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    hot = F.broadcast((counts if counts is not None else resolved).where(F.col("n") > limit)
+                      .select("isbn", splits.alias("_splits")))
     left = (valid.join(hot, "isbn", "left")
-            .withColumn("_salt", F.pmod(F.xxhash64(*row_cols), F.coalesce(F.col("_splits"), F.lit(1))).cast("int"))
-            .drop("_splits"))
+            .withColumn("_salt", F.pmod(F.col(ROW), F.coalesce(F.col("_splits"), F.lit(1))).cast("int"))
+            .drop("_splits", ROW))
     right = (resolved.join(hot, "isbn", "left")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)))
              .drop("_splits", "n"))
@@ -110,15 +130,15 @@ def attach(valid: DataFrame, resolved: DataFrame,
 
 
 def resolve(valid: DataFrame, providers: list[Provider],
-            rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-            max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+            rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> DataFrame:
     """C1 core: one result row per valid input row.
 
     Output: the input columns + ``provider``, ``meta`` (STRUCT, NULL when
     unresolved) and ``error`` (NULL when resolved).
     """
+    valid = valid if ROW in valid.columns else numbered(valid)
     counts = key_counts(valid)
-    return attach(valid, resolve_keys(counts, providers), rows_per_split, max_hot_keys, counts)
+    return attach(valid, resolve_keys(counts, providers), rows_per_split, counts)
 
 
 def lookup_table(providers: list[Provider]) -> DataFrame:
@@ -138,15 +158,15 @@ def lookup_table(providers: list[Provider]) -> DataFrame:
     return best.select("isbn", F.col("w.provider").alias("provider"), F.col("w.meta").alias("meta"))
 
 
-def save_lookup(lookup: DataFrame, table: str, buckets: int) -> DataFrame:
-    """Write the lookup as a table bucketed and sorted by ``isbn``.
+def save_lookup(lookup: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Write the lookup as a table bucketed and sorted by ``isbn`` (below ``path``, if given).
 
     Joins against it then shuffle only the (small) key side: the lookup is
     read already partitioned by key, so a large lookup is not moved again
     by every batch that uses it.
     """
-    (lookup.write.mode("overwrite").bucketBy(buckets, "isbn").sortBy("isbn")
-     .format("parquet").saveAsTable(table))
+    writer = lookup.write.mode("overwrite").bucketBy(buckets, "isbn").sortBy("isbn").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return lookup.sparkSession.table(table)
 
 
@@ -157,8 +177,8 @@ def resolve_keys_with_lookup(keys: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def resolve_with_lookup(valid: DataFrame, lookup: DataFrame,
-                        rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-                        max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+                        rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> DataFrame:
     """``resolve`` against a prepared lookup table; same output columns."""
+    valid = valid if ROW in valid.columns else numbered(valid)
     counts = key_counts(valid)
-    return attach(valid, resolve_keys_with_lookup(counts, lookup), rows_per_split, max_hot_keys, counts)
+    return attach(valid, resolve_keys_with_lookup(counts, lookup), rows_per_split, counts)

@@ -41,11 +41,11 @@ def write_grid(rows: DataFrame, target: str, mode: str = "overwrite", fmt: str =
                as_table: bool = False) -> None:
     """K4 (mode='overwrite') / K5 (mode='append') / K6 (create if missing).
 
-    Rows are written in ``pos`` order when the column is present. Appending
-    adds rows after the existing ones; the header is schema, never repeated
-    as data.
+    Exactly the 9 grid columns are written. A ``pos`` column only orders the
+    rows: part files concatenate in its order. Appending adds rows after the
+    existing ones; the header is schema, never repeated as data.
     """
-    out = P.in_order(rows) if "pos" in rows.columns else rows
+    out = P.in_order(rows).select(*fixed.GRID_HEADER) if "pos" in rows.columns else rows.select(*fixed.GRID_HEADER)
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = (writer.option("header", True).option("escape", '"')
@@ -80,25 +80,26 @@ def preview_rows(rows: DataFrame) -> DataFrame:
 
 
 def preview_report(rows: DataFrame, spreadsheet_id: str | None = None, output_range: str = "",
-                   create_tab: str = "") -> list[str]:
+                   create_tab: str = "", data_rows: int | None = None) -> list[str]:
     """K7 dry-run text: total grid rows (data + header), first rows, remainder.
 
     With ``spreadsheet_id`` the text carries the tool's full frame (title,
-    target, optional new tab, closing note). The driver receives one count
-    and at most PREVIEW_ROWS - 1 rows.
+    target, optional new tab, closing note). ``data_rows`` is the number of
+    rows when the caller has it already (a job's summary); else it is
+    counted. The driver receives at most PREVIEW_ROWS - 1 rows.
     """
-    total = rows.count() + 1
+    total = (rows.count() if data_rows is None else data_rows) + 1
     head = [list(fixed.GRID_HEADER)] + [
         [r[c] for c in fixed.GRID_HEADER] for r in preview_rows(rows).collect()
     ]
-    body = [f"Would write {total} rows:", ""]
-    body += [f"Row {i + 1}: [{' '.join(str(v) for v in row)}]" for i, row in enumerate(head)]
+    body = [fixed.PREVIEW_TOTAL % total, ""]
+    body += [fixed.PREVIEW_ROW % (i + 1, " ".join(str(v) for v in row)) for i, row in enumerate(head)]
     if total > len(head):
-        body.append(f"... and {total - len(head)} more rows")
+        body.append(fixed.PREVIEW_MORE % (total - len(head)))
     if spreadsheet_id is None:
         return body
-    frame = [fixed.PREVIEW_TITLE, "=" * len(fixed.PREVIEW_TITLE), f"Spreadsheet ID: {spreadsheet_id}",
-             f"Output Range: {output_range}"]
+    frame = [fixed.PREVIEW_TITLE, "=" * len(fixed.PREVIEW_TITLE), fixed.PREVIEW_TARGET % spreadsheet_id,
+             fixed.PREVIEW_RANGE % output_range]
     if create_tab:
-        frame.append(f"Would create new tab: {create_tab}")
+        frame.append(fixed.PREVIEW_NEW_TAB % create_tab)
     return frame + [""] + body + ["", fixed.PREVIEW_NOTE]

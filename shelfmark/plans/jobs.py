@@ -17,18 +17,15 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 from ..operators.providers import Provider
-from ..operators.resolve import (DEFAULT_MAX_HOT_KEYS, DEFAULT_ROWS_PER_SPLIT, attach, key_counts, resolve_keys,
+from ..operators.resolve import (DEFAULT_ROWS_PER_SPLIT, ROW, attach, key_counts, read_numbered, resolve_keys,
                                  resolve_keys_with_lookup)
 from ..operators.summary import summary_distinct, summary_rows
-from ..operators.validate import classify, rejected_ids, require_rows, valid_ids
-from ..session import configure, scratch_path
+from ..operators.validate import classify, rejected_ids, valid_ids
+from ..session import remove_path, scratch_path
 from . import grid as G
 from . import report as P
 
 FORMATS = ("text", "json", "csv")
-# The key table is broadcast to the join back only below both bounds.
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 256 << 20
 
 
 @dataclass
@@ -40,52 +37,42 @@ class JobResult:
     work_dir: str
     input_counts: dict        # A3: rows_read, rows_valid (observed while writing)
 
-
-def _fits_broadcast(keys: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    """Measured, not estimated: rows and JSON bytes of the written key table."""
-    r = keys.agg(F.count(F.lit(1)).alias("rows"),
-                 F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns)))), F.lit(0)).alias("bytes")).first()
-    return r["rows"] <= max_rows and r["bytes"] <= max_bytes
+    def close(self) -> None:
+        """Remove the job's working tables; its frames can't be read after that."""
+        remove_path(self.results.sparkSession, self.work_dir)
 
 
 def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] | None = None, raw: str = "raw",
-                rows_per_split: int = DEFAULT_ROWS_PER_SPLIT, max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
-                require_input: bool = False, lookup: DataFrame | None = None,
-                broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> JobResult:
+                rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
+                require_input: bool = False, lookup: DataFrame | None = None) -> JobResult:
     """C1 core: classify once (written), then resolve, keyed summaries.
 
-    The resolved key table is written, then measured: below the broadcast
-    bounds it is broadcast to the join back (no shuffle of the input);
-    beyond them the salted shuffle join (``attach``) splits hot keys.
+    The classified and the resolved key table are written; the join back
+    splits hot keys, and adaptive execution broadcasts the key table when
+    its measured size allows. ``JobResult.close`` removes both tables.
 
     Pass ``lookup`` (from ``resolve.lookup_table``, written once) to skip
     parsing the provider snapshots; otherwise the provider chain is joined.
     """
-    configure(spark)
     work = scratch_path(spark, "jobs", "resolve", unique=True)
     seen = Observation("input_counts")
     (classify(ids, raw)
      .observe(seen, F.count(F.lit(1)).alias("rows_read"),
               F.count_if(F.col("v.type") != fixed.TYPE_INVALID).alias("rows_valid"))
      .write.parquet(f"{work}/classified"))
-    classified = spark.read.parquet(f"{work}/classified")
-    if require_input:
-        require_rows(classified, fixed.MSG_NO_INPUT)
+    read = dict(seen.get)
+    if require_input and not read["rows_read"]:
+        raise ValueError(fixed.MSG_NO_INPUT)
+    if require_input and not read["rows_valid"]:
+        raise ValueError(fixed.MSG_NO_VALID)
+    classified = read_numbered(spark, f"{work}/classified")
     valid = valid_ids(classified)
-    if require_input:
-        require_rows(valid, fixed.MSG_NO_VALID)
     counts = key_counts(valid)
     keys = resolve_keys_with_lookup(counts, lookup) if lookup is not None else resolve_keys(counts, providers)
     keys.write.parquet(f"{work}/keys")
     keys = spark.read.parquet(f"{work}/keys")
-    if _fits_broadcast(keys, broadcast_max_rows, broadcast_max_bytes):
-        # Small key table (size measured above): no shuffle of the input at all.
-        results = valid.join(F.broadcast(keys.drop("n")), "isbn", "left")
-    else:
-        results = attach(valid, keys, rows_per_split, max_hot_keys)
-    return JobResult(results, rejected_ids(classified), summary_rows(keys), summary_distinct(keys), work,
-                     dict(seen.get))
+    results = attach(valid, keys, rows_per_split)
+    return JobResult(results, rejected_ids(classified).drop(ROW), summary_rows(keys), summary_distinct(keys), work, read)
 
 
 def write_report(job: JobResult, out: str, fmt: str = "csv") -> None:
@@ -98,7 +85,7 @@ def write_report(job: JobResult, out: str, fmt: str = "csv") -> None:
     elif fmt == "csv":
         P.write_csv(P.csv_rows(job.results), f"{out}/results")
     else:
-        raise ValueError(f"unsupported format: {fmt} (one of {', '.join(FORMATS)})")
+        raise ValueError(fixed.MSG_FORMAT % (fmt, ", ".join(FORMATS)))
     job.rejected.write.mode("overwrite").parquet(f"{out}/rejected")
 
 
@@ -107,6 +94,7 @@ def write_sheet(job: JobResult, target: str, mode: str = "overwrite", fmt: str =
     """C2 sink: grid rows to a path or table; a dry run only previews."""
     rows = G.sheet_rows(job.results)
     if dry_run:
-        return G.preview_report(rows, spreadsheet_id=target)
+        total = job.summary.first()["total"]
+        return G.preview_report(rows, spreadsheet_id=target, data_rows=total)
     G.write_grid(rows, target, mode=mode, fmt=fmt, as_table=as_table)
     return None

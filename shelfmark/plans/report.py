@@ -105,11 +105,13 @@ def json_lines(entries: DataFrame, keep=("pos",)) -> DataFrame:
 def in_order(df: DataFrame, order: str = "pos") -> DataFrame:
     """Global sort on ``order`` for ordered sinks (range-partitioned).
 
-    A hash of the whole row breaks ties, so even a position value shared by
-    a large group of rows is spread over several range partitions; the hash
-    is deterministic, so a retried task sends every row to the same place.
+    A hash of the row breaks ties, so a position value shared by a large
+    group of different rows is spread over several range partitions; the
+    hash is deterministic, so a retried task sends every row to the same
+    place. MAP columns, which have no hash, stay out of it.
     """
-    return df.orderBy(F.col(order), F.xxhash64(*df.columns))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.orderBy(F.col(order), F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
 
 
 def _ordered(df: DataFrame, order: str | None) -> DataFrame:
@@ -128,10 +130,10 @@ def write_csv(rows: DataFrame, path: str, order: str | None = "pos", mode: str =
 
 
 def read_csv_rows(spark, path: str) -> DataFrame:
-    """Read back a CSV written by ``write_csv`` (all columns STRING)."""
+    """Read back a CSV written by ``write_csv`` (all columns STRING, empty stays empty)."""
     return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("emptyValue", "").csv(path))
+            .option("emptyValue", "").csv(path).na.fill(""))
 
 
 def write_text(blocks: DataFrame, path: str, order: str | None = "pos", mode: str = "overwrite") -> None:

@@ -20,12 +20,27 @@ JOB_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply JOB_CONF to a running session (SQL settings only)."""
+    """Apply JOB_CONF to a running session (SQL settings only).
+
+    Callers do this once; operators never change a session's settings.
+    """
     for k, v in JOB_CONF.items():
         spark.conf.set(k, v)
     return spark
 
 
+def require_conf(spark: SparkSession, key: str) -> None:
+    """Tell the caller when a setting that an operator relies on is missing."""
+    if spark.conf.get(key, None) != JOB_CONF[key]:
+        raise ValueError(f"{key} has to be {JOB_CONF[key]}: call shelfmark.session.configure(spark) first")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a working folder, in whatever file system holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "shelfmark") -> SparkSession:
     """A local session for tests and benches (UI off)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -44,8 +59,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a fresh local folder is
-    set, so ``checkpoint()`` and derived tables have somewhere to go.
+    Only a local session (driver and executors in one process) that names
+    none gets a fresh local folder. On a cluster a folder of one machine
+    would lose rows, so there a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -54,6 +70,9 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # no SparkContext handle (remote session)
             d = None
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         try:
             spark.sparkContext.setCheckpointDir(d)

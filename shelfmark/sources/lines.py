@@ -37,12 +37,14 @@ def read_id_lines(spark: SparkSession, path: str) -> DataFrame:
 def as_text(df: DataFrame, c: str):
     """Identifier text of column ``c``: strings as they are; integers in
     decimal; fractional numbers through DECIMAL(20,0) so 9.780134190440E12
-    reads 9780134190440 (a lost leading zero cannot be recovered)."""
+    reads 9780134190440 (a lost leading zero cannot be recovered). A number
+    that is out of that range, or none, keeps its own text and is rejected
+    later as no identifier."""
     kind = df.schema[c].dataType
     if isinstance(kind, T.StringType):
         return F.col(c)
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.col(c).cast("decimal(20,0)").cast("string")
+        return F.coalesce(F.col(c).try_cast("decimal(20,0)").cast("string"), F.col(c).cast("string"))
     return F.col(c).cast("string")
 
 

@@ -2,22 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from .._util import with_once
-from ..functions.fields import is_sheet_header
+from ..functions.fields import is_sheet_header, range_error
 from ..functions.isbn import trim_space
 
 
-def read_grid_export(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a grid export: ``(row, c0)``; extra columns are dropped by the
-    one-column schema, ragged rows give NULL."""
-    return (spark.read.schema("c0 STRING").option("header", False).option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(path)
-            .select(F.monotonically_increasing_id().alias("row"), "c0"))
+def _column_number(letters: str) -> int:
+    n = 0
+    for ch in letters.upper():
+        n = n * 26 + ord(ch) - ord("A") + 1
+    return n - 1
+
+
+def parse_range(spark: SparkSession, a1: str) -> tuple[int, int, int | None]:
+    """(column from 0, first row, last row or None) of an A1 range that P10 accepts.
+
+    ``Sheet1!C2:C``, ``A2:A100``, ``B:B`` or ``Tab!B1`` (one cell). Only the
+    first column counts, as the scan reads the first cell of every row.
+    """
+    wrong = spark.range(1).select(range_error(F.lit(a1)).alias("e")).first()["e"]
+    cells = re.fullmatch(r"\$?([A-Za-z]{1,3})\$?(\d*)(:\$?[A-Za-z]{1,3}\$?(\d*))?", a1.rpartition("!")[2].strip()) if not wrong else None
+    if cells is None:
+        raise ValueError(wrong or fixed.MSG_RANGE_FORMAT % a1)
+    first = int(cells[2] or 1)
+    last = int(cells[4]) if cells[4] else first if cells[2] and not cells[3] else None
+    return _column_number(cells[1]), first, last
+
+
+def read_grid_export(spark: SparkSession, path: str, a1: str | None = None) -> DataFrame:
+    """Rows of a grid export (CSV): ``(row, c0)``, blank rows included.
+
+    ``row`` counts from 1 over all files in the order of their names; with a
+    range, the rows and the column it names. Ragged rows give NULL. A quoted
+    cell may hold line breaks: a line continues the row before it while the
+    number of quotes so far in its file is odd. That needs a file's lines in
+    order, so one task numbers one file (a multi-line CSV can't be cut at any
+    byte anyway); many files are numbered in parallel.
+    """
+    column, first, last = parse_range(spark, a1) if a1 is not None else (0, 1, None)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.translate("value", '"', "")))
+    in_file = Window.partitionBy("file").orderBy("block", "at")
+    before = F.coalesce(F.sum("quotes").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("starts", (before % 2 == 0).cast("int"))
+    lines = lines.withColumn("record", F.sum("starts").over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    records = lines.groupBy("file", "record").agg(F.array_join(whole.getField("value"), "\n").alias("text"))
+    # One row a file: where its rows begin.
+    sizes = records.groupBy("file").agg(F.max("record").alias("n"))
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    cells = F.from_csv(F.regexp_replace("text", "\r$", ""), ", ".join(f"c{i} string" for i in range(column + 1)),
+                       {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    out = records.join(starts, "file").select((F.col("base") + F.col("record")).alias("row"), cells.getField(f"c{column}").alias("c0"))
+    out = out.where(F.col("row") >= first) if first > 1 else out
+    return out.where(F.col("row") <= last) if last is not None else out
 
 
 def sheet_column_ids(grid: DataFrame, cell: str = "c0", row: str = "row") -> DataFrame:
@@ -30,15 +77,15 @@ def sheet_column_ids(grid: DataFrame, cell: str = "c0", row: str = "row") -> Dat
         .select("pos", "raw").where(F.col("raw") != "")
 
 
-def read_sheet_column(spark: SparkSession, path: str, require: bool = False) -> DataFrame:
+def read_sheet_column(spark: SparkSession, path: str, require: bool = False, a1: str | None = None) -> DataFrame:
     """S4 over a grid export; ``require`` fails on an empty range or when
     nothing is left after cleaning (P8, the tool's messages)."""
-    grid = read_grid_export(spark, path)
+    grid = read_grid_export(spark, path, a1)
     if require and grid.isEmpty():
-        raise ValueError(fixed.MSG_NO_DATA % path)
+        raise ValueError(fixed.MSG_NO_DATA % (a1 or path))
     ids = sheet_column_ids(grid)
     if require and ids.isEmpty():
-        raise ValueError(fixed.MSG_NO_IDS % path)
+        raise ValueError(fixed.MSG_NO_IDS % (a1 or path))
     return ids
 
 

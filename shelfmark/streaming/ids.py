@@ -3,10 +3,13 @@
 Identifiers arrive as text files in a folder. Cleaning and classification
 are the batch column expressions; resolution runs per micro-batch through
 ``foreachBatch`` with the batch operator itself (``resolve_with_lookup`` on
-a lookup table materialised once), so stream and batch give identical rows and a
-hot key in a micro-batch is split the same way. Each micro-batch writes to
-its own ``epoch=<id>`` folder with overwrite, so a replayed batch after a
-failure replaces its output instead of duplicating it.
+a lookup table bucketed by key), so stream and batch give identical rows. A
+micro-batch is first written classified to the shared folder: its rows get
+their identity there, by which a hot key is split as in a batch job. The
+lookup is read already partitioned, so a micro-batch shuffles its own few
+keys and not the lookup. Each micro-batch writes to its own ``epoch=<id>``
+folder with overwrite, so a replayed batch after a failure replaces its
+output instead of duplicating it.
 
 No state, no watermark: every row is independent of the others.
 """
@@ -17,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.resolve import resolve_with_lookup
+from ..operators.resolve import ROW, read_numbered, resolve_with_lookup
 from ..operators.validate import classify, rejected_ids, valid_ids
+from ..session import remove_path, scratch_path
 from ..sources.lines import clean_id_lines
 
 
@@ -58,23 +62,24 @@ def resolved_stream(spark: SparkSession, folder: str, lookup: DataFrame) -> Data
     return joined.withColumn("error", F.when(F.col("provider").isNull(), F.lit(fixed.MSG_UNRESOLVED)))
 
 
-def resolve_stream(spark: SparkSession, folder: str, lookup_path: str, out: str, rejects: str,
+def resolve_stream(spark: SparkSession, folder: str, lookup_table: str, out: str, rejects: str,
                    checkpoint: str, project=None, max_files_per_trigger: int | None = None,
                    interval: str | None = None) -> StreamingQuery:
     """Streamed ids -> classify -> resolve per micro-batch -> parquet.
 
-    ``project`` maps the result rows to the sink's columns (e.g. CSV rows).
+    ``lookup_table`` names a table written by ``save_lookup``. ``project``
+    maps the result rows to the sink's columns (e.g. CSV rows).
     """
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        classified = classify(batch).persist()
-        try:
-            lookup = batch.sparkSession.read.parquet(lookup_path)
-            res = resolve_with_lookup(valid_ids(classified), lookup)
-            res = project(res) if project else res
-            res.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
-            rejected_ids(classified).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch_id}")
-        finally:
-            classified.unpersist()
+        session = batch.sparkSession
+        work = scratch_path(session, "stream", "batch", unique=True)
+        classify(batch).write.parquet(work)
+        classified = read_numbered(session, work)
+        res = resolve_with_lookup(valid_ids(classified), session.table(lookup_table))
+        res = project(res) if project else res
+        res.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
+        rejected_ids(classified).drop(ROW).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch_id}")
+        remove_path(session, work)
 
     writer = (read_id_stream(spark, folder, max_files_per_trigger).writeStream
               .foreachBatch(write_batch).option("checkpointLocation", checkpoint))

@@ -3,13 +3,17 @@
 import contextlib
 import datetime as dt
 import io
+import os
 
 from pyspark.sql import functions as F
 
+from shelfmark import fixed
 from shelfmark.operators import resolve as R
 from shelfmark.operators.providers import default_providers
 from shelfmark.operators.summary import summary_distinct, summary_rows
 from shelfmark.operators.validate import valid_ids
+from shelfmark.plans import grid as G
+from shelfmark.plans.report import in_order
 
 TS = dt.datetime(2025, 1, 1)
 SNAP = "isbn STRING, status_code INT, body STRING, fetched_at TIMESTAMP"
@@ -52,7 +56,7 @@ def test_hot_key_split_matches_plain_join(spark):
     valid = _valid(spark, hot)
     provs = _providers(spark)
     resolved = R.resolve_keys(R.key_counts(valid), provs)
-    split = R.attach(valid, resolved, rows_per_split=100, max_hot_keys=1)
+    split = R.attach(valid, resolved, rows_per_split=100)
     plain = R.attach(valid, resolved, rows_per_split=10**9)
     cols = ["pos", "isbn", "provider", "error"]
     assert sorted(split.select(*cols).collect()) == sorted(plain.select(*cols).collect())
@@ -62,7 +66,7 @@ def test_hot_key_split_matches_plain_join(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        parts = (R.attach(valid, resolved, rows_per_split=100, max_hot_keys=1)
+        parts = (R.attach(valid, resolved, rows_per_split=100)
                  .where(F.col("isbn") == "9780134190440")
                  .select(F.spark_partition_id().alias("p")).distinct().count())
         plain_parts = (R.attach(valid, resolved, rows_per_split=10**9)
@@ -136,17 +140,70 @@ def test_job_writes_reports(spark, tmp_dir):
     via_lookup = run_resolve(spark, ids, lookup=R.lookup_table(_providers(spark)))
     cols = ["pos", "isbn", "provider", "error"]
     assert sorted(via_lookup.results.select(*cols).collect()) == sorted(job.results.select(*cols).collect())
-    # beyond the broadcast bound the salted shuffle join gives the same rows
-    salted = run_resolve(spark, ids, _providers(spark), broadcast_max_rows=0)
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        salted.results.explain()
-    assert "_salt" in buf.getvalue()
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        job.results.explain()
-    assert "_salt" not in buf.getvalue() and "BroadcastHashJoin" in buf.getvalue()
+    # split keys give the same rows
+    salted = run_resolve(spark, ids, _providers(spark), rows_per_split=1)
     assert sorted(salted.results.select(*cols).collect()) == sorted(job.results.select(*cols).collect())
+    # the grid holds exactly the header's columns, in input order
+    target = os.path.join(tmp_dir, "grid")
+    write_sheet(job, target, fmt="csv")
+    text = "".join(open(os.path.join(target, f), encoding="utf-8").read()
+                   for f in sorted(os.listdir(target)) if f.startswith("part-"))
+    lines = [x for x in text.splitlines() if not x.startswith("ISBN-13,")]
+    assert text.splitlines()[0] == ",".join(fixed.GRID_HEADER) and len(lines) == 4
+    shown = [r["ISBN-13"] for r in G.sheet_rows(job.results).orderBy("pos").collect()]
+    assert [x.split(",")[0] for x in lines] == shown
+    work = job.work_dir
+    job.close()
+    assert not os.path.exists(work)
+
+
+def test_identical_rows_spread_over_tasks(spark):
+    """Rows equal in every column: only their place in the written table tells them apart."""
+    key = "9780134190440"
+    valid = spark.createDataFrame([(key,)] * 5000, "isbn STRING").repartition(4)
+    keys = R.resolve_keys(R.key_counts(valid), _providers(spark))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = R.attach(valid, keys, rows_per_split=500).select("isbn", F.spark_partition_id().alias("p"))
+        per = {r.p: r["count"] for r in out.groupBy("p").count().collect()}
+        once = R.attach(valid, keys, rows_per_split=10**9).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(per.values()) == 5000 and len(per) > 1 and max(per.values()) < 4000 and once == 1
+
+
+def test_rows_with_a_map_column(spark):
+    valid = spark.createDataFrame([("9780134190440", {"a": 1})] * 30 + [("0596520689", None)] * 3, "isbn STRING, m MAP<STRING, INT>")
+    keys = R.resolve_keys(R.key_counts(valid), _providers(spark))
+    got = R.attach(valid, keys, rows_per_split=5)
+    assert got.count() == 33 and got.where("m['a'] = 1").count() == 30
+    assert in_order(valid.withColumn("pos", F.lit(1))).count() == 33
+
+
+def test_split_set_is_small_without_a_cap(spark, monkeypatch):
+    """Keys are split from N / MAX_SPLIT_KEYS rows on, so fewer than that many can be."""
+    monkeypatch.setattr(R, "MAX_SPLIT_KEYS", 3)
+    values = [f"9780134190440{i}" for i in range(10)]
+    valid = spark.createDataFrame([(v,) for v in values for _ in range(20)], "isbn STRING")
+    keys = R.resolve_keys(R.key_counts(valid), _providers(spark))
+    assert R.attach(valid, keys, rows_per_split=1).count() == 200
+
+
+def test_latest_response_has_one_answer_on_ties(spark):
+    from shelfmark.operators.providers import latest_response, parse_provider_a
+
+    rows = [("9780134190440", 200, '{"ISBN:9780134190440":{"title":"x"}}', TS), ("9780134190440", 404, "gone", TS),
+            ("9780134190440", 200, '{"ISBN:9780134190440":{"title":"y"}}', TS),
+            ("0596520689", 200, '{"ISBN:0596520689":{"title":"a"}}', None), ("0596520689", 200, '{"ISBN:0596520689":{"title":"b"}}', None)]
+    seen = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, SNAP).coalesce(1)
+        seen.add(tuple(sorted((r.isbn, r.hit, r.meta.title if r.meta else None) for r in latest_response(parse_provider_a(df)).collect())))
+    assert len(seen) == 1 and ("9780134190440", False, None) in next(iter(seen))   # the higher status code
 
 
 def test_three_provider_chain_by_priority(spark):

@@ -3,7 +3,9 @@ when none is set (no SparkContext handle needed)."""
 
 import os
 
-from shelfmark.session import parallelism, shared_dir
+import pytest
+
+from shelfmark.session import parallelism, require_conf, shared_dir
 
 
 class _Conf:
@@ -34,9 +36,20 @@ def test_session_setting_wins():
 
 
 def test_local_folder_only_when_unset():
-    s = _RemoteSession({"spark.sql.shuffle.partitions": "64"})
+    s = _RemoteSession({"spark.sql.shuffle.partitions": "64", "spark.master": "local[2]"})
     d = shared_dir(s)
     assert os.path.isdir(d) and d.startswith("/tmp/run-")
     assert s.conf.get("spark.checkpoint.dir") == d        # reused by later calls
     assert shared_dir(s) == d
     assert parallelism(s) == 64
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://head:7077", "local-cluster[3,2,3000]", ""])
+def test_no_local_folder_on_a_cluster(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_RemoteSession({"spark.master": master} if master else {}))
+
+
+def test_operators_ask_for_settings():
+    with pytest.raises(ValueError, match="configure"):
+        require_conf(_RemoteSession({}), "spark.sql.variant.allowDuplicateKeys")

@@ -55,10 +55,10 @@ def test_csv_rows_and_writer(spark, tmp_dir):
     assert [tuple(r) for r in back] == [
         ("9780134190440", "978-0134190440", "The Go Programming Language",
          "Alan A. A. Donovan; Brian W. Kernighan", "Addison-Wesley", "2015-11-16", "400",
-         "Programming; Computer Science", "success", None),
-        ("0596520689", "0596520689", None, None, None, None, None, None, "error",
+         "Programming; Computer Science", "success", ""),
+        ("0596520689", "0596520689", "", "", "", "", "", "", "error",
          "failed to resolve ISBN from all APIs"),
-        ("043942089X", "043942089X", 'Say "hi", ok', None, None, None, None, None, "success", None),
+        ("043942089X", "043942089X", 'Say "hi", ok', "", "", "", "", "", "success", ""),
     ]
     text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.startswith("part-"))
     assert '"Say ""hi"", ok"' in text                       # RFC 4180 quote doubling
@@ -184,3 +184,39 @@ def test_sheet_guards(spark, tmp_dir):
     with pytest.raises(ValueError, match="no valid ISBNs found in range"):
         read_sheet_column(spark, path, require=True)
     assert read_sheet_column(spark, path).count() == 0
+
+
+def test_grid_export_keeps_rows_whole(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "grid")
+    os.makedirs(path)
+    with open(os.path.join(path, "a.csv"), "w") as f:
+        f.write('Title,ISBN,ISBN\n\n"A ""book"", with\na break",9780134190440,0596520689\r\n\nx,"9780132350884\n",\n')
+    with open(os.path.join(path, "b.csv"), "w") as f:
+        f.write(",043942089X\n")
+    grid = read_grid_export(spark, path)
+    assert [(r.row, r.c0) for r in grid.orderBy("row").collect()] == [
+        (1, "Title"), (2, None), (3, 'A "book", with\na break'), (4, None), (5, "x"), (6, None)]
+    assert sheet_row_count(grid).first().rows == 6
+    col_b = read_grid_export(spark, path, "Sheet1!B2:B")
+    assert [(r.row, r.c0) for r in col_b.orderBy("row").collect()] == [
+        (2, None), (3, "9780134190440"), (4, None), (5, "9780132350884\n"), (6, "043942089X")]
+    assert [r.raw for r in read_sheet_column(spark, path, a1="C:C").orderBy("pos").collect()] == ["0596520689"]
+    assert [r.row for r in read_grid_export(spark, path, "B3:B4").orderBy("row").collect()] == [3, 4]
+    assert [r.c0 for r in read_grid_export(spark, path, "Tab!B6").collect()] == ["043942089X"]
+
+
+def test_grid_export_rejects_unusable_ranges(spark, tmp_dir):
+    import pytest
+
+    for bad in ("", "A2", "Sheet1!", "1:2", "A2:B:C"):
+        with pytest.raises(ValueError, match="range"):
+            read_grid_export(spark, tmp_dir, bad)
+
+
+def test_numbers_out_of_range_become_rejects(spark):
+    from shelfmark.operators.validate import rejected_ids, valid_ids
+    from shelfmark.sources.lines import ids_from_column
+
+    ids = ids_from_column(spark.createDataFrame([(1, 1e25), (2, float("nan")), (3, 9780134190440.0), (4, None)], "k INT, d DOUBLE"), "d", pos="k")
+    assert [r.pos for r in valid_ids(ids).collect()] == [3]
+    assert sorted(r.pos for r in rejected_ids(ids).collect()) == [1, 2]

@@ -2,7 +2,7 @@
 
 import os
 
-from shelfmark.operators.resolve import lookup_table
+from shelfmark.operators.resolve import lookup_table, save_lookup
 from shelfmark.streaming.ids import resolve_stream
 from test_resolve import _providers
 
@@ -15,8 +15,8 @@ def _write(folder, name, lines):
 def test_restart_and_incremental(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     os.makedirs(src)
-    lookup = os.path.join(tmp_dir, "lookup")
-    lookup_table(_providers(spark)).write.parquet(lookup)
+    lookup = "stream_lookup_restart"
+    save_lookup(lookup_table(_providers(spark)), lookup, 4, path=os.path.join(tmp_dir, "lookup"))
     out, rej, ck = (os.path.join(tmp_dir, d) for d in ("out", "rej", "ck"))
 
     def run():
@@ -41,15 +41,13 @@ def test_native_stream_static_join_equals_foreach_batch(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     os.makedirs(src)
     _write(src, "a.txt", ["978-0134190440", "bad", "0-596-52068-9", "9780132350884", "9780134190440"])
-    lookup_path = os.path.join(tmp_dir, "lookup")
-    lookup_table(_providers(spark)).write.parquet(lookup_path)
-    lookup = spark.read.parquet(lookup_path)
+    lookup = save_lookup(lookup_table(_providers(spark)), "stream_lookup_native", 4, path=os.path.join(tmp_dir, "lookup"))
     native = os.path.join(tmp_dir, "native")
     (resolved_stream(spark, src, lookup).select("isbn", "provider", "error").writeStream.format("parquet")
      .option("path", native).option("checkpointLocation", native + "-ck").trigger(availableNow=True)
      .start().awaitTermination())
     out = os.path.join(tmp_dir, "fb")
-    resolve_stream(spark, src, lookup_path, out, out + "-rej", out + "-ck").awaitTermination()
+    resolve_stream(spark, src, "stream_lookup_native", out, out + "-rej", out + "-ck").awaitTermination()
     cols = ["isbn", "provider", "error"]
     assert sorted(spark.read.parquet(native).select(*cols).collect()) == \
         sorted(spark.read.parquet(out).select(*cols).collect())

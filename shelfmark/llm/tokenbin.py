@@ -30,7 +30,6 @@ left behind.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,6 +37,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +57,8 @@ TOP, FLOOR = 48, 32                    # the range stays in [2**32, 2**48), word
 
 #: Entries of a worker's caches: blank-separated units, and one of two generations of words.
 UNITS_KEPT, WORDS_KEPT = 250_000, 250_000
+#: Words that the library is given at once, and documents that are tokenized together.
+JOINED, TEXTS = 2000, 2048
 
 
 # ---- The model ------------------------------------------------------------
@@ -169,14 +171,13 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     sizes = np.array([len(blocks[i]) for i in order])
     steps = int(sizes[0])
-    ids = np.zeros((steps, len(order)), np.int64)
+    ids = np.zeros((steps, len(order)), np.uint32)
     for j, i in enumerate(order):
         ids[:len(blocks[i]), j] = blocks[i]
-    klass, rest, low_bits = classes_of(ids)
     n = len(order)
     m = Mixer(n, bits)
     low, span = np.zeros(n, np.int64), np.full(n, (1 << TOP) - 1, np.int64)
-    out = np.zeros((n, steps * 3 + 8), np.uint16)
+    out = np.zeros((n, steps * 2 * -(-bits // 16) + 16), np.uint16)
     end = np.zeros(n, np.int64)
     top, floor = np.int64(1) << TOP, np.int64(1) << FLOOR
 
@@ -207,9 +208,12 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         if now < live:
             live = now
             m.narrow(live)
-        if t and t % RENEW == 0:
-            m.renew(False)
-        x, k, r = ids[t, :live], klass[t, :live], rest[t, :live]
+        if t % RENEW == 0:
+            if t:
+                m.renew(False)
+            some = ids[t:t + RENEW, :live].astype(np.int64)
+            klass, rest, low_bits = classes_of(some)
+        x, k, r, tail = (v[t % RENEW, :live] for v in (some, klass, rest, low_bits))
         lo, sp = low[:live], span[:live]
         candidate, p = m.predict()
         hit = candidate == x
@@ -225,7 +229,7 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
             part = np.minimum(r, 12)
             r = r - part
             sp >>= part
-            lo += sp * ((low_bits[t, :live] >> r) & ((1 << part) - 1))
+            lo += sp * ((tail >> r) & ((1 << part) - 1))
             settle(lo, sp)
         m.learn(x, hit, k)
     for _ in range(TOP // 16):
@@ -256,17 +260,18 @@ def decode_blocks(packed: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]
     sizes = np.array([packed[i][1] for i in order])
     bits, steps, n = packed[0][0], int(sizes[0]), len(order)
     width = max(len(b[3]) for b in packed) // 2 + 64
-    words = np.zeros((n, width), np.int64)
+    words = np.zeros((n, width), np.uint16)
     for j, i in enumerate(order):
         data = packed[i][3]
         data += b"\0" * (len(data) % 2)
         words[j, :len(data) // 2] = np.frombuffer(data, "<u2")
     m = Mixer(n, bits)
     span, floor = np.full(n, (1 << TOP) - 1, np.int64), np.int64(1) << FLOOR
-    code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
+    first = words[:, :3].astype(np.int64)
+    code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
     at = np.full(n, 3, np.int64)
     words, place = words.ravel(), np.arange(n) * width
-    out = np.zeros((steps, n), np.int64)
+    out = np.zeros((steps, n), np.uint32)
 
     def settle(co: np.ndarray, sp: np.ndarray) -> None:
         small = np.flatnonzero(sp < floor)
@@ -323,7 +328,8 @@ class Tokens:
     """Ids of whole texts by the tokenizers library, asked once for each recent word.
 
     With a tokenizer that drops white space, the ids of a text are those of its
-    blank-separated words one after the other.
+    blank-separated units one after the other. Units are split and numbered as
+    Arrow arrays; only the distinct ones of a batch are looked at one by one.
     """
 
     def __init__(self, text: str):
@@ -336,42 +342,64 @@ class Tokens:
         self.units: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        # Characters that str.split and the library's pattern may take differently.
-        self.odd = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
     def _words(self, unit: str) -> tuple[str, ...]:
         """A unit as words the library is asked for: letters, in lower case, apart from a mark at their end."""
         if unit.isascii():
             if unit.isalpha():
                 return (unit.lower(),)
-            if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
+            if unit and unit[-1] in ".,;:!?" and unit[:-1].isalpha():
                 return unit[:-1].lower(), unit[-1]
         elif unit[-1] in ".,;:!?" and unit[:-1].isalpha() and unit[:-1].lower().isalpha():
             return unit[:-1], unit[-1]   # the library's lower case differs from str.lower on some letters
         return (unit,)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        plain = [None if self.odd.search(t) else t.split() for t in texts]
+    def _ask(self, words: list[str]) -> None:
+        """Ids of words that are not known yet; plain letters many at a time, which the library does faster."""
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        for a in range(0, len(plain), JOINED):
+            part = plain[a:a + JOINED]
+            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            cut = np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)).tolist() + [len(e.ids)]
+            if len(cut) != len(part) + 1:
+                raise ValueError("the tokenizer does not keep words apart")
+            ids = e.ids
+            for w, x, y in zip(part, cut, cut[1:]):
+                self.known[w] = tuple(ids[x:y])
+        rest = [w for w in words if not (w.isascii() and w.isalpha())]
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[w] = tuple(e.ids)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, laid end to end, number of ids of each)."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
         units = self.units
         if len(units) > UNITS_KEPT:
             units = self.units = {}
         if len(self.known) > WORDS_KEPT:
             self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = {u: self._words(u) for u in {u for us in plain if us for u in us} if u not in units}
-        asked = []
+        here = coded.dictionary.to_pylist()
+        new = {u: self._words(u) for u in here if u not in units}
+        known, old, asked = self.known, self.old, []
         for w in {w for ws in new.values() for w in ws}:
             if w not in known:
                 if w in old:
                     known[w] = old[w]
                 else:
                     asked.append(w)
-        for w, e in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False)):
-            known[w] = tuple(e.ids)
+        self._ask(asked)
         for u, ws in new.items():
             units[u] = known[ws[0]] if len(ws) == 1 else known[ws[0]] + known[ws[1]]
-        return [list(chain.from_iterable(map(units.__getitem__, us))) if us is not None
-                else self.library.encode(t, add_special_tokens=False).ids for t, us in zip(texts, plain)]
+        lists = [units[u] for u in here]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy()
+        own = sizes[code]
+        at = np.arange(int(own.sum())) + np.repeat(starts[code] - (np.cumsum(own) - own), own)
+        ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
+        return flat[at], np.diff(ends)
 
 
 def _tokens(text: str) -> Tokens:
@@ -434,13 +462,14 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col:
             if batch.num_rows:
                 part, id_type = batch.column(0)[0].as_py(), batch.schema.field(1).type
             ids = batch.column(1).to_pylist()
-            for a in range(0, batch.num_rows, 128):
-                texts = [t or "" for t in batch.column(2).slice(a, 128).to_pylist()]
-                for doc, got in zip(ids[a:a + 128], tokens.encode(texts)):
-                    got.append(end_id)
+            for a in range(0, batch.num_rows, TEXTS):
+                flat, sizes = tokens.encode(batch.column(2).slice(a, TEXTS).fill_null(""))
+                flat = np.insert(flat, np.cumsum(sizes), end_id)
+                ends = np.cumsum(sizes + 1)
+                for doc, x, y in zip(ids[a:a + TEXTS], ends - sizes - 1, ends):
                     own_ids.append(doc)
-                    own.append(np.array(got, np.int64))
-                    size += len(got)
+                    own.append(flat[x:y])
+                    size += int(y - x)
                     if size >= RECORD_IDS:
                         held += -(-size // BLOCK)
                         size = 0

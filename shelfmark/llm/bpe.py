@@ -33,7 +33,7 @@ from shelfmark.llm.common import pick, worker_state
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of one generation of a worker's caches (two generations are held).
-UNITS_KEPT, PIECES_KEPT = 100_000, 300_000
+UNITS_KEPT, PIECES_KEPT = 100_000, 200_000
 ROWS_OUT = 256
 
 
@@ -186,7 +186,7 @@ def vocabulary_text(path: str) -> str:
 
 
 def _vocabulary(text: str) -> Vocabulary:
-    state = worker_state()
+    state = worker_state("bpe")
     key = ("bpe", hash(text))
     if key not in state:
         state[key] = Vocabulary(text)

@@ -67,6 +67,13 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as this Python worker (parsed models, caches)."""
-    return vars(sys).setdefault("_shelfmark_llm_state", {})
+def worker_state(owner: str) -> dict:
+    """A dict that lives as long as this Python worker (parsed models, caches).
+
+    A worker keeps the state of one operator: it goes when another asks.
+    """
+    state = vars(sys).setdefault("_shelfmark_llm_state", {})
+    if state.get("owner") != owner:
+        state.clear()
+        state["owner"] = owner
+    return state

@@ -290,7 +290,7 @@ class Scorer:
 
 
 def _scorer(shared) -> Scorer:
-    state, model = worker_state(), shared.value
+    state, model = worker_state("langid"), shared.value
     if state.get("crf_of") != model.key:
         state["crf_of"], state["crf"] = model.key, Scorer(model)
     return state["crf"]

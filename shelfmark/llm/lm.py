@@ -75,7 +75,7 @@ def _select_table() -> np.ndarray:
 
 
 def _tables() -> np.ndarray:
-    state = worker_state()
+    state = worker_state("lm")
     if "select16" not in state:
         state["select16"] = _select_table()
     return state["select16"]
@@ -294,7 +294,7 @@ class Trie:
 
 
 def _trie(model: Model) -> Trie:
-    state = worker_state()
+    state = worker_state("lm")
     if state.get("trie_of") != (model.key, model.order):
         state["trie_of"], state["trie"] = (model.key, model.order), Trie(model)
     return state["trie"]

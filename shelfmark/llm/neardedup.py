@@ -120,7 +120,7 @@ def may_link(x: str, y: str, percent: int) -> Column:
 
 
 def _circulant(bands: int) -> Circulant:
-    state = worker_state()
+    state = worker_state("neardedup")
     if ("circulant", bands) not in state:
         state["circulant", bands] = Circulant(bands)
     return state["circulant", bands]

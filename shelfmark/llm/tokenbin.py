@@ -403,7 +403,7 @@ class Tokens:
 
 
 def _tokens(text: str) -> Tokens:
-    state = worker_state()
+    state = worker_state("tokenbin")
     key = ("tokens", hash(text))
     if key not in state:
         state[key] = Tokens(text)

@@ -167,7 +167,7 @@ class Scorer:
 
 
 def _scorer(model: Model) -> Scorer:
-    state = worker_state()
+    state = worker_state("toxicity")
     if state.get("toxic_of") != model.key:
         state["toxic_of"], state["toxic"] = model.key, Scorer(model)
     return state["toxic"]

@@ -3,7 +3,9 @@
 Prints one JSON line. Each query runs to completion through the ``noop``
 sink (full execution, nothing collected on the driver). Derived inputs are
 materialised first and not timed; each query runs twice and the warm
-(second) time is reported, with the cold total alongside.
+(second) time is reported, with the cold total alongside. The throughput
+figure is that of ``end_to_end``: raw identifiers and raw provider responses
+to CSV rows, the making of the lookup table included.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from shelfmark.operators.validate import classify, rejected_ids, valid_ids  # no
 from shelfmark.plans import grid as G  # noqa: E402
 from shelfmark.plans import report as P  # noqa: E402
 from shelfmark.plans.registry import QUERIES, _lookup, _providers  # noqa: E402
-from shelfmark.session import local_session  # noqa: E402
+from shelfmark.session import local_session, scratch_path  # noqa: E402
 
 
 def main() -> None:
@@ -50,7 +52,13 @@ def main() -> None:
     def resolved():
         return R.resolve_with_lookup(valid_large(), lookup)
 
+    def end_to_end():
+        path = scratch_path(spark, "bench", "lookup", unique=True)
+        R.lookup_table(_providers(spark, sf_dir)).write.parquet(path)
+        run(P.csv_rows(R.resolve_with_lookup(valid_large(), spark.read.parquet(path))))
+
     headline = {
+        "end_to_end": end_to_end,
         "classify_ids": lambda: run(classify(large).select("pos", "v.*")),
         "rejected_ids": lambda: run(rejected_ids(large)),
         "provider_a_parse": lambda: run(providers[0].latest()),
@@ -81,7 +89,7 @@ def main() -> None:
             t0 = time.perf_counter()
             fn()
             runs.append(time.perf_counter() - t0)
-        cold[name], times[name] = round(runs[0], 3), round(min(runs), 3)
+        cold[name], times[name] = round(runs[0], 3), round(runs[1], 3)
 
     total = round(sum(times.values()), 3)
     print(json.dumps({
@@ -92,7 +100,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cold_total": round(sum(cold.values()), 3),
         "input_rows": n_large,
-        "resolve_ids_per_sec": round(n_large / times["csv_rows"], 1) if times["csv_rows"] else None,
+        "end_to_end_ids_per_sec": round(n_large / times["end_to_end"], 1),
         "cpus": cpus,
     }))
     spark.stop()

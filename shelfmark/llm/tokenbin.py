@@ -47,7 +47,7 @@ BLOCK = 4096
 RENEW = 256
 #: Ids after which a record is closed (at the end of a document), and blocks coded side by side.
 RECORD_IDS = 16 * BLOCK
-SIDE_BY_SIDE = 2048
+SIDE_BY_SIDE = 1024
 
 MAGIC = b"SMID"
 HEADER = "<4sBIII"                     # magic, bits of an id, ids, payload bytes, crc32 of the ids
@@ -56,9 +56,9 @@ MANTISSA = 5
 TOP, FLOOR = 48, 32                    # the range stays in [2**32, 2**48), words of 16 bits leave it
 
 #: Entries of a worker's caches: blank-separated units, and one of two generations of words.
-UNITS_KEPT, WORDS_KEPT = 250_000, 250_000
+UNITS_KEPT, WORDS_KEPT = 150_000, 120_000
 #: Words that the library is given at once, and documents that are tokenized together.
-JOINED, TEXTS = 2000, 2048
+JOINED, TEXTS = 2000, 1024
 
 
 # ---- The model ------------------------------------------------------------
@@ -94,74 +94,87 @@ def class_table(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Mixer:
-    """The state of the models of ``n`` blocks, advanced one id of each at a time."""
+    """The state of the models of ``n`` blocks, advanced one id of each at a time.
+
+    A prediction is kept as ``id * 4 + confidence``; tables of all blocks lie
+    end to end, so that a step is a few gathers and scatters.
+    """
 
     def __init__(self, n: int, bits: int):
         self.first, self.rest = class_table(bits)
         k = len(self.first)
         self.k, self.n = k, n
-        self.id1, self.id2 = np.zeros(n * SLOTS1, np.int64), np.zeros(n * SLOTS2, np.int64)
-        self.sure1, self.sure2 = np.zeros(n * SLOTS1, np.int8), np.zeros(n * SLOTS2, np.int8)
+        self.guess1, self.guess2 = np.zeros(n * SLOTS1, np.int64), np.zeros(n * SLOTS2, np.int64)
         self.by_sure, self.by_id = np.full(n * 32, 1 << 14, np.int64), np.full(n * 64, 1 << 14, np.int64)
         self.w = np.full((2, n), 40000, np.int64)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.row = np.arange(n)
-        self.counts = np.zeros((n, k), np.int64)
-        self.seen = 0
+        self.row1, self.row2, self.row32, self.row64 = (self.row * x for x in (SLOTS1, SLOTS2, 32, 64))
+        self.row_k, self.row_cum, self.row_slot = (self.row * x for x in (k, k + 1, 4096))
+        self.counts = np.zeros(n * k, np.int64)
         self.renew(False)
 
     def narrow(self, n: int) -> None:
         """Only the first n blocks go on."""
         self.n = n
-        self.last, self.before, self.w, self.row = self.last[:n], self.before[:n], self.w[:, :n], self.row[:n]
-        self.counts, self.cum = self.counts[:n], self.cum[:n]
+        self.last, self.before, self.w = self.last[:n], self.before[:n], self.w[:, :n]
+        for name in ("row", "row1", "row2", "row32", "row64", "row_k", "row_cum", "row_slot"):
+            setattr(self, name, getattr(self, name)[:n])
 
     def renew(self, slots: bool) -> None:
         """Class frequencies (of 4096 in all) from the counts so far."""
-        total = self.counts.sum(axis=1, keepdims=True)
-        freq = 1 + self.counts * (4096 - self.k) // np.maximum(total, 1)
+        counts = self.counts[:self.n * self.k].reshape(self.n, self.k)
+        total = counts.sum(axis=1, keepdims=True)
+        freq = 1 + counts * (4096 - self.k) // np.maximum(total, 1)
         left = 4096 - freq.sum(axis=1)
         none = total[:, 0] == 0
         share, over = (4096 - self.k) // self.k, (4096 - self.k) % self.k
         freq[none] += share
         freq[none, :over] += 1
         left[none] = 0
-        freq[self.row, self.counts.argmax(axis=1)] += left
-        self.cum = np.zeros((self.n, self.k + 1), np.int64)
-        np.cumsum(freq, axis=1, out=self.cum[:, 1:])
+        freq[self.row, counts.argmax(axis=1)] += left
+        cum = np.zeros((self.n, self.k + 1), np.int64)
+        np.cumsum(freq, axis=1, out=cum[:, 1:])
+        self.cum = cum.ravel()
         if slots:
             self.slots = np.repeat(np.tile(np.arange(self.k, dtype=np.int16), self.n), freq.ravel())
 
+    def interval(self, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, frequency) of each block's class."""
+        at = self.row_cum + klass
+        start = self.cum.take(at)
+        return start, self.cum.take(at + 1) - start
+
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(candidate, 12-bit chance that it is right)."""
-        self.at1 = self.row * SLOTS1 + ((self.last * 40503 >> 7) & (SLOTS1 - 1))
-        self.at2 = self.row * SLOTS2 + ((self.last * 40503 + self.before * 30011 >> 6) & (SLOTS2 - 1))
-        self.one, self.two = self.id1[self.at1], self.id2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
+        mixed = self.last * 40503
+        self.at1 = self.row1 + ((mixed >> 7) & (SLOTS1 - 1))
+        self.at2 = self.row2 + ((mixed + self.before * 30011 >> 6) & (SLOTS2 - 1))
+        one, two = self.guess1.take(self.at1), self.guess2.take(self.at2)
+        self.c1, self.c2 = one & 3, two & 3
+        self.one, self.two = one >> 2, two >> 2
         candidate = np.where(self.c2 > 0, self.two, self.one)
-        self.a = self.row * 32 + (self.c2 * np.int8(4) + self.c1) + 16 * (self.one == self.two)
-        self.b = self.row * 64 + (candidate & 63)
-        self.pa, self.pb = self.by_sure[self.a], self.by_id[self.b]
-        self.sa, self.sb = STRETCH[self.pa >> 4], STRETCH[self.pb >> 4]
+        self.a = self.row32 + (self.c2 << 2) + self.c1 + ((self.one == self.two).astype(np.int64) << 4)
+        self.b = self.row64 + (candidate & 63)
+        self.pa, self.pb = self.by_sure.take(self.a), self.by_id.take(self.b)
+        self.sa, self.sb = STRETCH.take(self.pa >> 4), STRETCH.take(self.pb >> 4)
         x = (self.w[0] * self.sa + self.w[1] * self.sb) >> 16
-        self.p = SQUASH[np.minimum(np.maximum(x, -2048), 2047) + 2048]
+        self.p = SQUASH.take(np.minimum(np.maximum(x, -2048), 2047) + 2048)
         return candidate, self.p
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, klass: np.ndarray) -> None:
-        y = hit.astype(np.int64)
-        err = ((y << 12) - self.p) * 7
+        y = hit.astype(np.int64) << 12
+        err = (y - self.p) * 7
         self.w[0] += (self.sa * err) >> 14
         self.w[1] += (self.sb * err) >> 14
-        y <<= 16
+        y <<= 4
         self.by_sure[self.a] = np.minimum(self.pa + ((y - self.pa) >> 5), 65519)
         self.by_id[self.b] = np.minimum(self.pb + ((y - self.pb) >> 5), 65519)
-        self.sure1[self.at1] = np.where(self.one == ids, np.minimum(self.c1 + 1, 3), 1)
-        self.sure2[self.at2] = np.where(self.two == ids, np.minimum(self.c2 + 1, 3), 1)
-        self.id1[self.at1] = ids
-        self.id2[self.at2] = ids
-        self.counts[self.row, klass] += 1
+        new = ids << 2
+        self.guess1[self.at1] = new + np.where(self.one == ids, np.minimum(self.c1 + 1, 3), 1)
+        self.guess2[self.at2] = new + np.where(self.two == ids, np.minimum(self.c2 + 1, 3), 1)
+        self.counts[self.row_k + klass] += 1
         self.before, self.last = self.last, ids
-        self.seen += 1
 
 
 # ---- The coder ------------------------------------------------------------
@@ -220,9 +233,9 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         bound = (sp >> 12) * p
         # A miss is followed by the class and the remaining bits; a hit by nothing.
         unit = (sp - bound) >> 12
-        start = m.cum[m.row, k]
+        start, freq = m.interval(k)
         lo += np.where(hit, 0, bound + unit * start)
-        sp[:] = np.where(hit, bound, unit * (m.cum[m.row, k + 1] - start))
+        sp[:] = np.where(hit, bound, unit * freq)
         settle(lo, sp)
         r = np.where(hit, 0, r)
         while r.any():   # 12 bits at once
@@ -295,12 +308,12 @@ def decode_blocks(packed: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]
         hit = co < bound
         unit = (sp - bound) >> 12
         slot = np.where(hit, 0, np.minimum((co - bound) // unit, 4095))
-        k = m.slots[m.row * 4096 + slot].astype(np.int64)
-        start = m.cum[m.row, k]
+        k = m.slots.take(m.row_slot + slot).astype(np.int64)
+        start, freq = m.interval(k)
         co -= np.where(hit, 0, bound + unit * start)
-        sp[:] = np.where(hit, bound, unit * (m.cum[m.row, k + 1] - start))
+        sp[:] = np.where(hit, bound, unit * freq)
         settle(co, sp)
-        r = np.where(hit, 0, m.rest[k])
+        r = np.where(hit, 0, m.rest.take(k))
         bits_read = np.zeros(live, np.int64)
         while r.any():
             part = np.minimum(r, 12)
@@ -310,7 +323,7 @@ def decode_blocks(packed: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]
             co -= sp * got
             bits_read |= got << r
             settle(co, sp)
-        x = np.where(hit, candidate, m.first[k] + bits_read)
+        x = np.where(hit, candidate, m.first.take(k) + bits_read)
         out[t, :live] = x
         m.learn(x, hit, np.where(hit, classes_of(x)[0], k) if hit.any() else k)
     result: list[np.ndarray] = [np.empty(0)] * n

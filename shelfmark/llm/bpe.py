@@ -234,6 +234,23 @@ def decode_documents(coded: DataFrame, vocab_path: str, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): every whole text encoded, and its ids decoded, in one pass over the table."""
+    vocab = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocab_path))
+    rows = pick(docs, doc_id=id_col, text=text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(vocab.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(at, ROWS_OUT)
+                ids = _id_arrays([v.encode(t or "") for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, v.decode_all(ids)], names=["doc_id", "ids", "decoded"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+
+
 def ids_digest(ids: Column) -> Column:
     """Lower-case hex SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, chat, decontam, langid, linededup, lm, neardedup, quality, tokenbin, toxicity
@@ -13,21 +13,26 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _held_out(n: int) -> Column:
+    """Rows that nothing is learned from (a row without an id is not held out)."""
+    return F.coalesce(residue(F.col("doc_id"), n) == 2, F.lit(False))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = residue(F.col("doc_id"), 4) == 2
+    held_out = _held_out(4)
     model = langid.train(docs, learn=~held_out)
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = residue(F.col("doc_id"), 7) == 2
-    model = lm.build(docs.filter(~held_out | F.col("doc_id").isNull()))
+    held_out = _held_out(7)
+    model = lm.build(docs.filter(~held_out))
     return lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -49,7 +54,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = residue(F.col("doc_id"), 4) == 2
+    held_out = _held_out(4)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out)
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
@@ -69,8 +74,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
-    both = bpe.decode_documents(coded, BYTE_BPE)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
                        F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))

@@ -40,6 +40,8 @@ def test_small_caches_change_nothing(library, monkeypatch):
 def test_tables(spark, library):
     data = C.rows() + [(700 + i, t, "en", "s", 1) for i, t in enumerate(ODD)]
     both = bpe.decode_documents(bpe.encode_documents(C.frame(spark, data), PATH), PATH)
+    once = bpe.round_trip(C.frame(spark, data), PATH)
+    assert sorted(map(str, once.collect())) == sorted(map(str, both.collect())) and bpe.round_trip(C.empty(spark), PATH).count() == 0
     got = both.select("doc_id", "ids", "decoded", bpe.ids_digest(F.col("ids")).alias("digest")).collect()
     want = []
     for r in data:

@@ -61,7 +61,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.ids_crc32(tokenbin.write_and_read(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
+    return tokenbin.read_digests(spark, tokenbin.written(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ MANTISSA = 5
 TOP, FLOOR = 48, 32                    # the range stays in [2**32, 2**48), words of 16 bits leave it
 
 #: Entries of a worker's caches: blank-separated units, and one of two generations of words.
-UNITS_KEPT, WORDS_KEPT = 150_000, 120_000
+UNITS_KEPT, WORDS_KEPT = 120_000, 100_000
 #: Words that the library is given at once, and documents that are tokenized together.
 JOINED, TEXTS = 2000, 1024
 
@@ -352,6 +352,7 @@ class Tokens:
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
+        self.same = list(range(self.library.get_vocab_size()))   # one int object for each id
         self.units: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -376,12 +377,12 @@ class Tokens:
             cut = np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)).tolist() + [len(e.ids)]
             if len(cut) != len(part) + 1:
                 raise ValueError("the tokenizer does not keep words apart")
-            ids = e.ids
+            ids = list(map(self.same.__getitem__, e.ids))
             for w, x, y in zip(part, cut, cut[1:]):
                 self.known[w] = tuple(ids[x:y])
         rest = [w for w in words if not (w.isascii() and w.isalpha())]
         for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[w] = tuple(e.ids)
+            self.known[w] = tuple(map(self.same.__getitem__, e.ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, laid end to end, number of ids of each)."""
@@ -497,68 +498,78 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col:
     ordered.mapInArrow(run, RECORDS.format(kind=kind)).write.parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """(doc_id, start, ids) of every document in the files; start counts the ids of all documents before."""
+def _placed(spark, path: str) -> DataFrame:
+    """The records of the files, with the number of ids before each."""
     files = spark.read.parquet(path)
     parts = files.select("part", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     # One row for each file part: a running sum over them is small whatever the files hold.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = files.join(bases, "part").select((F.col("base") + F.col("first")).alias("start"), "doc_ids", "sizes", "blocks")
-    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    return files.join(bases, "part").select((F.col("base") + F.col("first")).alias("start"), "doc_ids", "sizes", "blocks")
+
+
+def _records(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+    """(doc_ids, start, where each document's ids end, ids) of every record, many blocks decoded at once."""
+    a = 0
+    while a < batch.num_rows:
+        found, owner = [], []
+        b = a
+        while b < batch.num_rows and len(found) < SIDE_BY_SIDE:
+            blocks = split_blocks(batch.column(3)[b].as_py())
+            found += blocks
+            owner.append(len(blocks))
+            b += 1
+        ids: list = [None] * len(found)
+        for bits in {x[0] for x in found}:
+            at = [i for i, x in enumerate(found) if x[0] == bits]
+            for i, x in zip(at, decode_blocks([found[i] for i in at])):
+                ids[i] = x
+        done = 0
+        for r, n in zip(range(a, b), owner):
+            flat = np.concatenate(ids[done:done + n])
+            done += n
+            ends = np.concatenate([[0], np.cumsum(batch.column(2)[r].values.to_numpy())])
+            if ends[-1] != len(flat):
+                raise ValueError("a record's documents and blocks differ in length")
+            yield batch.column(1)[r].values, batch.column(0)[r].as_py(), ends, flat
+        a = b
+
+
+def read(spark, path: str) -> DataFrame:
+    """(doc_id, start, ids) of every document in the files; start counts the ids of all documents before."""
+    placed = _placed(spark, path)
+    kind = placed.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = 0
-            while a < batch.num_rows:
-                found, owner = [], []
-                b = a
-                while b < batch.num_rows and len(found) < SIDE_BY_SIDE:
-                    blocks = split_blocks(batch.column(3)[b].as_py())
-                    found += blocks
-                    owner.append(len(blocks))
-                    b += 1
-                ids: list = [None] * len(found)
-                for bits in {x[0] for x in found}:
-                    at = [i for i, x in enumerate(found) if x[0] == bits]
-                    for i, x in zip(at, decode_blocks([found[i] for i in at])):
-                        ids[i] = x
-                done = 0
-                for r, n in zip(range(a, b), owner):
-                    sizes = np.array(batch.column(2)[r].as_py())
-                    flat = np.concatenate(ids[done:done + n])
-                    done += n
-                    ends = np.concatenate([[0], np.cumsum(sizes)])
-                    if ends[-1] != len(flat):
-                        raise ValueError("a record's documents and blocks differ in length")
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(1)[r].values, pa.array(batch.column(0)[r].as_py() + ends[:-1], pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64)))],
-                        names=["doc_id", "start", "ids"])
-                a = b
+            for docs, start, ends, flat in _records(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [docs, pa.array(start + ends[:-1], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64)))],
+                    names=["doc_id", "start", "ids"])
 
     return placed.mapInArrow(run, f"doc_id {kind}, start bigint, ids array<bigint>")
 
 
-def ids_crc32(found: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): crc32 over the ids as little-endian 32-bit integers."""
-    kind = found.schema["doc_id"].dataType.simpleString()
+def read_digests(spark, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files: what ``read`` gives, ids
+    as the crc32 of them as little-endian 32-bit integers."""
+    placed = _placed(spark, path)
+    kind = placed.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
-                                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for docs, start, ends, flat in _records(batch):
+                crc = [zlib.crc32(flat[x:y]) for x, y in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [docs, pa.array(start + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return found.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files below the shared folder and read them back."""
+def written(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write the files below the shared folder; their path."""
     path = scratch(docs.sparkSession, "token-ids")
     write(docs, tokenizer_path, end_id, path, id_col, text_col)
-    return read(docs.sparkSession, path)
+    return path

@@ -225,11 +225,11 @@ def _json_line() -> str:
         "CASE WHEN isbn_10 <> '' THEN ',' || " + s("isbn_10", "isbn_10") + " ELSE '' END || "
         "CASE WHEN isbn_13 <> '' THEN ',' || " + s("isbn_13", "isbn_13") + " ELSE '' END || "
         "',' || " + s("title", "title") + " || "
-        "CASE WHEN authors IS NOT NULL THEN ',\"authors\":' || authors ELSE '' END || "
+        "',\"authors\":' || coalesce(authors, 'null') || "
         "',' || " + s("publisher", "publisher") + " || "
         "',' || " + s("publication_date", "publication_date") + " || "
         "',\"pages\":' || CAST(pages AS VARCHAR) || "
-        "CASE WHEN categories IS NOT NULL THEN ',\"categories\":' || categories ELSE '' END"
+        "',\"categories\":' || coalesce(categories, 'null')"
     )
     ok = (f"'{{\"isbn\":\"' || isbn || '\",\"status\":\"{fixed.STATUS_SUCCESS}\",\"data\":{{' || "
           f"{data} || '}}}}'")

@@ -96,8 +96,14 @@ def json_entries(results: DataFrame, keep=("pos",)) -> DataFrame:
 
 
 def json_lines(entries: DataFrame, keep=("pos",)) -> DataFrame:
-    """The JSON Lines text of each entry (null members omitted)."""
-    body = F.to_json(F.struct("isbn", "status", "data", "error"))
+    """The JSON Lines text of each entry.
+
+    An unknown list is written as ``null``; empty identifiers, and ``data`` or
+    ``error`` where there is none, are left out. Quotes inside values are
+    escaped, so the members taken out here can't be part of a value.
+    """
+    body = F.regexp_replace(F.to_json(F.struct("isbn", "status", "data", "error"), {"ignoreNullFields": "false"}),
+                            r'"isbn_1[03]":null,|,"(?:data|error)":null', "")
     return entries.select(*[c for c in keep if c in entries.columns], F.col("isbn"), F.col("status"),
                           body.alias("line"))
 
@@ -144,9 +150,10 @@ def write_text(blocks: DataFrame, path: str, order: str | None = "pos", mode: st
 
 
 def write_json(entries: DataFrame, path: str, order: str | None = "pos", mode: str = "overwrite") -> None:
-    """JSON Lines, one entry per line; null members are omitted."""
-    cols = [c for c in ("pos",) if c in entries.columns] + ["isbn", "status", "data", "error"]
-    _ordered(entries.select(*cols), order).write.mode(mode).option("ignoreNullFields", True).json(path)
+    """JSON Lines, one entry per line (the text of ``json_lines``)."""
+    lines = json_lines(entries)
+    cols = [c for c in ("pos",) if c in lines.columns]
+    _ordered(lines.select(*cols, F.col("line").alias("value")), order).write.mode(mode).text(path)
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:

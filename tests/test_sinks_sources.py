@@ -71,7 +71,7 @@ def test_json_lines(spark, tmp_dir):
     assert "isbn_10" not in ok["data"] and ok["data"]["pages"] == 400
     assert lines["0596520689"] == {"isbn": "0596520689", "status": "error",
                                    "error": "failed to resolve ISBN from all APIs"}
-    assert lines["043942089X"]["data"]["authors"] == [] and "categories" not in lines["043942089X"]["data"]
+    assert lines["043942089X"]["data"]["authors"] == [] and lines["043942089X"]["data"]["categories"] is None
     out = os.path.join(tmp_dir, "json")
     P.write_json(P.json_entries(_results(spark)), out)
     assert spark.read.json(out).count() == 3
@@ -220,3 +220,12 @@ def test_numbers_out_of_range_become_rejects(spark):
     ids = ids_from_column(spark.createDataFrame([(1, 1e25), (2, float("nan")), (3, 9780134190440.0), (4, None)], "k INT, d DOUBLE"), "d", pos="k")
     assert [r.pos for r in valid_ids(ids).collect()] == [3]
     assert sorted(r.pos for r in rejected_ids(ids).collect()) == [1, 2]
+
+
+def test_json_members_inside_values_stay(spark):
+    odd = 'x,"error":null "isbn_10":null, ,"data":null'
+    df = spark.createDataFrame([(1, "9780134190440", "provider_a", ("", "", odd, None, "", "", 0, None), None),
+                                (2, "0596520689", None, None, odd)], RESULT_DDL)
+    got = [json.loads(r.line) for r in P.json_lines(P.json_entries(df)).orderBy("pos").collect()]
+    assert got[0]["data"]["title"] == odd and got[1]["error"] == odd and got[0]["data"]["authors"] is None
+    assert "isbn_10" not in got[0]["data"] and "error" not in got[0] and "data" not in got[1]

@@ -73,8 +73,7 @@ def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
         if len(word) >= n:
             out.append(zlib.crc32(b"p" + word[:n].encode()) % SPACE)
             out.append(zlib.crc32(b"s" + word[-n:].encode()) % SPACE)
-    data = word
-    out += [zlib.crc32(b"g" + data[i:i + 3].encode()) % SPACE for i in range(len(data) - 2)]
+    out += [zlib.crc32(b"g" + word[i:i + 3].encode()) % SPACE for i in range(len(word) - 2)]
     return out
 
 

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import pick, scratch, stored, worker_state
@@ -49,9 +49,10 @@ from shelfmark.llm.common import pick, scratch, stored, worker_state
 ORDER = 2
 MIN_COUNT = 2
 DISCOUNT = 0.5
-#: Training tokens a shard is made for.
+#: Training tokens a shard is made for, and tokens gathered before a task combines and
+#: sends them: sized for workers of a few hundred MB, to be raised together with memory
+#: when a corpus would need more shards than there are tokens in a flush.
 SHARD_TOKENS = 4_000_000
-#: Tokens gathered before a task combines and sends them.
 FLUSH_TOKENS = 2_000_000
 SCORE_TOKENS = 250_000
 #: The end of a text is a token of its own; no word can hold a blank.
@@ -422,7 +423,6 @@ def build(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, text_
     def write_tokens(key, table):
         keys, counts = _gathered(table)
         shard = key[0].as_py()
-        # Hashes relative to the shard's range stay below 2**64 in any case; the whole range is the universe.
         _save(model.level(1), shard, _named("keys", pack(keys, 1 << 64)) | {"count": counts.astype(np.int64)})
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 

@@ -38,8 +38,9 @@ from shelfmark.llm.common import pick, stored, words
 MIN_EXACT = 5
 MIN_NEAR = 10
 PARTS = 8
-#: Up to so many rows (of about 50 bytes) the places of the lines to fetch are broadcast, beyond them joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Up to so many documents (about 50 bytes each) with so many line numbers in all, the lines to
+#: fetch or to cut are broadcast to the documents; beyond that both are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_LINES = 200_000, 1_000_000
 
 
 def _key() -> list[Column]:
@@ -125,6 +126,12 @@ def one_edit(a: Column, b: Column) -> Column:
             .otherwise(False))
 
 
+def _small(places: DataFrame, numbers: str) -> DataFrame:
+    """``places`` (one row a document, with line numbers), marked for broadcast if its counted size is within the bounds."""
+    rows, lines = places.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
+    return F.broadcast(places) if rows <= BROADCAST_ROWS and lines <= BROADCAST_LINES else places
+
+
 def near_duplicates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, near_at): lines that have an earlier verified neighbour, with the earliest one's place."""
     halves = distinct.select("k1", F.explode("halves").alias("half"))
@@ -133,9 +140,7 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col:
     # The words of the wanted lines, from the documents that hold their first occurrences.
     places = (wanted.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk"))
               .agg(F.collect_set("at.line_no").alias("nos")))
-    places = stored(places, "line-places")
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    places = _small(stored(places, "line-places"), "nos")
     texts = (pick(docs, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull())
              .withColumn("tk", F.xxhash64("text")))
     there = texts.alias("t").join(places.alias("p"), (F.col("t.tk") == F.col("p.tk")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")))
@@ -191,6 +196,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cut = (line_dedup(docs, id_col, text_col).filter(~F.col("kept"))
            .groupBy("doc_id", "tk").agg(F.collect_set("line_no").alias("gone"))
            .select(F.col("doc_id").alias("_cut_id"), F.col("tk").alias("_cut_tk"), F.col("gone").alias("_cut_gone")))
+    cut = _small(stored(cut, "cut-lines"), "_cut_gone")
     text = F.col(f"`{text_col}`")
     df = docs.join(cut, (F.xxhash64(text) == F.col("_cut_tk")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_cut_id")), "left")
     df = with_once(df, F.when(F.col("_cut_gone").isNotNull(), F.split(text, "\n")), "_cut_lines")

@@ -1,6 +1,7 @@
 import re
 
 import llm_cases as C
+import pytest
 
 from shelfmark.llm import linededup as L
 
@@ -37,7 +38,9 @@ def lines():
     return out + [(1000 + i, e) for i, e in enumerate(family)]
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("bound", [L.BROADCAST_ROWS, 0])
+def test_equals_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", bound)
     data = lines() + [(5000 + i, t) for i, (d, t) in enumerate(C.texts_of(C.rows())) if d is not None]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in L.line_dedup(df).collect()}
@@ -66,7 +69,9 @@ def test_cases(spark):
     assert L.line_dedup(C.empty(spark)).count() == 0
 
 
-def test_documents_without_their_duplicates(spark):
+@pytest.mark.parametrize("bound", [L.BROADCAST_ROWS, 0])
+def test_documents_without_their_duplicates(spark, monkeypatch, bound):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", bound)
     data = [(1, "one two three four five\nshort\nsix seven eight nine ten", "en", "s", 1), (2, "short\none two three four five\nnew words come in here", "en", "s", 1),
             (3, "one two three four five\n \nsix seven eight nine ten", "en", "s", 1), (4, None, None, None, None), (5, "", "en", "s", 0)]
     left = L.without_duplicates(C.frame(spark, data))

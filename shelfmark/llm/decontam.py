@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick
+from shelfmark.llm.common import pick, slices
 
 TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -275,7 +275,7 @@ def _ask(docs: DataFrame, index: Index, threshold: float, least: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             for start, texts in _grouped(batch.column(2).to_pylist()):
                 if not any(texts) or not ix.ids:
                     continue
@@ -320,7 +320,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 rows = batch.column(at_text).to_pylist()
                 for start, texts in _grouped(rows):
                     keep = np.ones(len(texts), bool)

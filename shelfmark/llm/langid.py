@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, worker_state
+from shelfmark.llm.common import pick, slices, worker_state
 
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -316,7 +316,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = _scorer(shared), shared.value.langs
-        for batch in batches:
+        for batch in slices(batches):
             for at, group in _grouped(batch.column(1).to_pylist()):
                 lang, score, sizes = [UNKNOWN] * len(group), np.zeros(len(group)), [len(g) for g in group]
                 switches = np.zeros(len(group), np.int64)
@@ -350,7 +350,7 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = _scorer(shared), shared.value.langs
-        for batch in batches:
+        for batch in slices(batches):
             for at, group in _grouped(batch.column(1).to_pylist()):
                 labels: list[list[str]] = [[UNKNOWN] * len(g) for g in group]
                 full = [i for i, g in enumerate(group) if g] if langs else []
@@ -375,7 +375,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = _scorer(shared), shared.value.langs
-        for batch in batches:
+        for batch in slices(batches):
             for at, group in _grouped(batch.column(at_text).to_pylist()):
                 keep = np.zeros(len(group), bool)
                 full = [i for i, g in enumerate(group) if g] if langs else []

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, stored, worker_state
+from shelfmark.llm.common import pick, slices, stored, worker_state
 
 UNIVERSE = 1 << 20
 ROWS = 5
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, size: int, bands: int, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circulant = _circulant(bands)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, keys, bits = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingles(text, size)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, worker_state
+from shelfmark.llm.common import pick, slices, worker_state
 
 WORD = re.compile(r"[^\W_]+")
 SIZES = (3, 4, 5, 6)
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             z = np.array([scorer.margin(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())],
                                              names=["doc_id", "score"])

@@ -33,7 +33,7 @@ from shelfmark.llm.common import pick, worker_state
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of one generation of a worker's caches (two generations are held).
-UNITS_KEPT, PIECES_KEPT = 80_000, 150_000
+UNITS_KEPT, PIECES_KEPT = 100_000, 250_000
 ROWS_OUT = 256
 
 

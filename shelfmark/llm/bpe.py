@@ -68,7 +68,7 @@ class Recent:
 class Vocabulary:
     """Parsed vocabulary with the encoder and decoder working on it."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, caches: tuple[int, int] | None = None):
         spec = json.loads(text)
         model = spec["model"]
         vocab = model["vocab"]
@@ -91,7 +91,7 @@ class Vocabulary:
             known = all(c in by_char for c in s)
             self.bytes_of[i] = bytes(by_char[c] for c in s) if known else s.encode("utf-8")
         self.strings = pa.array(self.bytes_of, pa.binary())
-        self.known_units, self.known_pieces = Recent(UNITS_KEPT), Recent(PIECES_KEPT)
+        self.known_units, self.known_pieces = map(Recent, caches or (UNITS_KEPT, PIECES_KEPT))
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -185,11 +185,11 @@ def vocabulary_text(path: str) -> str:
         return f.read()
 
 
-def _vocabulary(text: str) -> Vocabulary:
+def _vocabulary(text: str, caches: tuple[int, int] | None = None) -> Vocabulary:
     state = worker_state("bpe")
-    key = ("bpe", hash(text))
+    key = ("bpe", hash(text), caches)
     if key not in state:
-        state[key] = Vocabulary(text)
+        state[key] = Vocabulary(text, caches)
     return state[key]
 
 
@@ -234,13 +234,17 @@ def decode_documents(coded: DataFrame, vocab_path: str, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded): every whole text encoded, and its ids decoded, in one pass over the table."""
+def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
+               caches: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, ids, decoded): every whole text encoded, and its ids decoded, in one pass over the table.
+
+    ``caches`` are sizes in place of (UNITS_KEPT, PIECES_KEPT).
+    """
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocab_path))
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(vocab.value)
+        v = _vocabulary(vocab.value, caches)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)

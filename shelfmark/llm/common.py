@@ -84,5 +84,6 @@ def worker_state(owner: str) -> dict:
     state = vars(sys).setdefault("_shelfmark_llm_state", {})
     if state.get("owner") != owner:
         state.clear()
+        pa.default_memory_pool().release_unused()
         state["owner"] = owner
     return state

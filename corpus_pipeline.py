@@ -16,6 +16,8 @@ from shelfmark.llm.common import stored, table
 #: Mean posterior below which a document's language counts as not found.
 LEAST_SCORE = 0.3
 SHINGLE, PERCENT = 5, 80
+#: Smaller caches than by default: the workers' memory is shared with the other stages.
+CACHES = (50_000, 100_000)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -42,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the ids of what is left, and a digest of what they decode to."""
-    coded = bpe.round_trip(docs, VOCABULARY)
+    coded = bpe.round_trip(docs, VOCABULARY, caches=CACHES)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -15,16 +15,18 @@ posting lists finds all items above the threshold: the cursors stand in item
 order, the pivot is where the summed maxima reach the threshold, and a block
 whose maxima fall short is skipped whole.
 
-A retrieved item counts as leaked when enough of the five-word shingles of its
-question and of its answer are in the passage. Items that come as one text
-have their first two thirds as question and the rest as answer.
+A retrieved item counts as leaked when enough of its shingles are in the
+passage: of its question and of its answer, where it has an answer, else of
+the whole text. Shingles are five words long, in parts of fewer than 14 words
+so much shorter that one replaced word, wherever it stands, leaves half of them.
 
 The index goes to all tasks and holds at most ``SHARD_CHARS`` of item text; a
 larger benchmark is asked shard by shard, with term statistics of all of it.
 
 Defined cases: null or wordless documents have no passages and leak nothing;
-null or wordless items are in no document; items shorter than a shingle count
-when they occur as a whole; a document that leaks several items gets a row for
+null or wordless items are in no document; parts of fewer than five words count
+when they occur as a whole; an item with a null or wordless answer is one text
+(its answer overlap is null); a document that leaks several items gets a row for
 each, at its best passage (the earliest on ties); rows repeated with equal id
 give repeated rows; an empty table gives an empty result; other columns are
 left behind.
@@ -62,10 +64,16 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def shingle_size(n: int) -> int:
+    """Words of a shingle in a part of n words: a replaced word changes at most half of the part's shingles."""
+    return n if n < SHINGLE else min(SHINGLE, (n + 1) // 3)
+
+
 def shingle_set(words: list[str]) -> set[tuple[str, ...]]:
     if not words:
         return set()
-    return {tuple(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    size = shingle_size(len(words))
+    return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}
 
 
 def overlap(part: list[str], passage: list[str]) -> float:
@@ -95,19 +103,14 @@ class Index:
 
 def build(rows: list[tuple[int, str, str | None]], df: dict[str, int] | None = None, total: int | None = None,
           mean: float | None = None) -> Index:
-    """Index of (item_id, question or whole text, answer) rows.
+    """Index of (item_id, question or whole text, answer) rows; without an answer the text is one part.
 
     ``df``, ``total`` and ``mean`` are statistics of the whole benchmark when
     the rows are one shard of it.
     """
     parts = []
     for item, text, answer in rows:
-        q = tokens(text)
-        if answer is None:
-            cut = len(q) - len(q) // 3
-            q, a = q[:cut], q[cut:]
-        else:
-            a = tokens(answer)
+        q, a = tokens(text), tokens(answer)
         if q or a:
             parts.append((item, q, a))
     parts.sort(key=lambda x: x[0])
@@ -223,15 +226,15 @@ def _block_sums(index: Index, owner: np.ndarray, term: np.ndarray, n: int) -> np
     return sums
 
 
-def leaks(index: Index, words: list[str], passage: int, threshold: float, least: float) -> list[tuple[int, float, float, float]]:
-    """(item number, score, question overlap, answer overlap) of the items that a passage leaks."""
+def leaks(index: Index, words: list[str], passage: int, threshold: float, least: float) -> list[tuple[int, float, float, float | None]]:
+    """(item number, score, question or whole overlap, answer overlap) of the items that a passage leaks."""
     own = words[passage * index.segment:(passage + 2) * index.segment]
     terms = sorted({index.vocabulary[w] for w in own if w in index.vocabulary})
     out = []
     for item, score in wand(index, terms, threshold):
         q, a = overlap(index.questions[item], own), overlap(index.answers[item], own)
         if q >= least and a >= least:
-            out.append((item, score, q, a))
+            out.append((item, score, q, a if index.answers[item] else None))
     return out
 
 

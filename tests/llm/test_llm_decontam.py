@@ -75,6 +75,39 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(C.frame(spark, data), table).collect()} >= {(1000 + i, i) for i in range(20)}
 
 
+def test_truncated_and_edited_items_leak(spark):
+    rng = random.Random(6)
+    bench = [(i, C.prose(rng, n, lines=False), None) for i, n in enumerate([5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 38, 59])]
+    pieces, edited, less = [], [], []
+    for item, text, _ in bench:
+        w = text.split()
+        if len(w) >= 8:
+            pieces += [(item, w[:-(-len(w) * 85 // 100)]), (item, w[:-(-len(w) * 9 // 10)]), (item, w[len(w) * 15 // 100:])]
+        edited += [(item, w[:k] + ["changed"] + w[k + 1:]) for k in range(len(w))]
+        less += [(item, w[:len(w) // 3]), (item, w[-(len(w) // 3):])]
+    cases = pieces + edited + less
+    docs = spark.createDataFrame([(k, "zz yy xx. " * 20 + " ".join(w) + " vv uu" * 20) for k, (_, w) in enumerate(cases)], "doc_id bigint, text string")
+    table = spark.createDataFrame([(i, t) for i, t, _ in bench], "item_id bigint, text string")
+    # In short items one word can hold more than half of the weight: those are asked with a lower threshold.
+    found = D.find_leaks(docs, table, threshold=0.2).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    wanted = {(k, i) for k, (i, _) in enumerate(pieces + edited)}
+    assert wanted <= got and all(r["answer_overlap"] is None for r in found)
+    assert not {(k, i) for k, (i, _) in enumerate(cases) if k >= len(wanted)} & got
+    long = {i for i, t, _ in bench if len(t.split()) >= 14}
+    assert {(k, i) for k, i in wanted if i in long} <= {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, table).collect()}
+
+
+def test_real_answers_are_required_even_if_one_word_differs(spark):
+    docs = spark.createDataFrame([(1, "what is the tallest hill of the green land it is our old mount"), (2, "what is the tallest hill of the green land nobody knows"),
+                                  (3, "what is the tallest hill of our green land it is the old mount")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, "What is the tallest hill of the green land?", "It is the old mount."), (8, "What is the tallest hill of the green land?", None)],
+                                  "item_id bigint, text string, answer string")
+    found = D.find_leaks(docs, bench, answer_col="answer").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 7), (3, 7), (1, 8), (2, 8), (3, 8)}
+    assert {r["item_id"] for r in found if r["answer_overlap"] is None} == {8}
+
+
 def test_question_and_answer_columns(spark):
     docs = spark.createDataFrame([(1, "what is the tallest hill of the green land it is the old mount"), (2, "what is the tallest hill of the green land nobody knows")],
                                  "doc_id bigint, text string")

@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, and documents of which no line is left."""
-    left = linededup.without_duplicates(docs)
+    """Lines of any length that repeat an earlier line go, and documents of which no line is left."""
+    left = linededup.without_duplicates(docs, least=linededup.MIN_EXACT)
     return left.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

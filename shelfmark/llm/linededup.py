@@ -1,10 +1,10 @@
 """Line deduplication across documents by a deletion-neighbourhood join.
 
-A line is the sequence of its words. Lines of at least ``MIN_EXACT`` words are
-duplicates when their words are equal, lines of at least ``MIN_NEAR`` words
-also when one word edit (a word replaced, inserted or deleted) turns one into
-the other. A line goes when an earlier line is its duplicate; "earlier" is the
-order of (doc_id, fingerprint of the text, line number). Shorter lines stay.
+A line is the sequence of its words. Lines of any length are duplicates when
+their words are equal, lines of at least ``MIN_NEAR`` words also when one word
+edit (a word replaced, inserted or deleted) turns one into the other: from
+there on four of five words agree. A line goes when an earlier line is its
+duplicate; "earlier" is the order of (doc_id, fingerprint of the text, line number).
 
 Steps, all of them aggregations and equi-joins of built-in functions:
 
@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from shelfmark._util import with_once
 from shelfmark.llm.common import pick, stored, words
 
-MIN_EXACT = 5
-MIN_NEAR = 10
+#: Lines of fewer words get no row (a blank line has none).
+MIN_EXACT = 1
+MIN_NEAR = 5
+#: Shortest line that without_duplicates cuts, unless the caller names another.
+LEAST_CUT = 5
 PARTS = 8
 #: Up to so many documents (about 50 bytes each) with so many line numbers in all, the lines to
 #: fetch or to cut are broadcast to the documents; beyond that both are joined by a shuffle.
@@ -58,11 +61,11 @@ def _halves(n: Column) -> Column:
     return F.when(n >= MIN_NEAR, F.array_distinct(F.array(*both(long), *both(short)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line of at least MIN_EXACT words: its place, keys and half-line hashes, no text."""
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_EXACT) -> DataFrame:
+    """Every line of at least ``least`` words: its place, keys and half-line hashes, no text."""
     df = pick(docs, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull())
     df = df.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    df = with_once(df, words(F.col("line")), "w").filter(F.size("w") >= MIN_EXACT)
+    df = with_once(df, words(F.col("line")), "w").filter(F.size("w") >= least)
     return df.select(F.struct("doc_id", "tk", "line_no").alias("at"), *_key(), _halves(F.size("w")).alias("halves"))
 
 
@@ -171,9 +174,9 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col:
     return checked.groupBy("k1", "k2").agg(F.min("near_at").alias("near_at"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a line of at least MIN_EXACT words: its place, kept, and the place of the line it repeats."""
-    every = stored(line_table(docs, id_col, text_col), "lines")
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_EXACT) -> DataFrame:
+    """One row a line of at least ``least`` words: its place, kept, and the place of the line it repeats."""
+    every = stored(line_table(docs, id_col, text_col, least), "lines")
     distinct = stored(every.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("halves").alias("halves"),
                                                     F.count("*").alias("n")), "distinct-lines")
     near = near_duplicates(docs, distinct.filter(F.size("halves") > 0), id_col, text_col)
@@ -188,12 +191,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.line_no").alias("first_line_no")))
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with duplicate lines cut out; documents of which nothing is left go.
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CUT) -> DataFrame:
+    """The documents with duplicate lines of at least ``least`` words cut out; documents of which nothing is left go.
 
     All columns stay; documents that lose no line stay as they are.
     """
-    cut = (line_dedup(docs, id_col, text_col).filter(~F.col("kept"))
+    cut = (line_dedup(docs, id_col, text_col, least).filter(~F.col("kept"))
            .groupBy("doc_id", "tk").agg(F.collect_set("line_no").alias("gone"))
            .select(F.col("doc_id").alias("_cut_id"), F.col("tk").alias("_cut_tk"), F.col("gone").alias("_cut_gone")))
     cut = _small(stored(cut, "cut-lines"), "_cut_gone")

@@ -49,6 +49,29 @@ def test_equals_brute_force(spark, monkeypatch, bound):
     assert {(r["doc_id"], r["line_no"]) for r in L.line_dedup(df).filter("kept").collect()} == {p for p, q in want.items() if p == q}
 
 
+SHORT = [(1, "All rights reserved.\nLes.\n \nalpha beta gamma delta epsilon"), (2, "Les.\nall new here\nalpha beta gamma delta zeta"),
+         (3, "  Les. \nAll rights  reserved.\none two three four"), (4, "one two three five\nalpha beta gamma delta")]
+
+
+def test_lines_of_any_length(spark):
+    df = spark.createDataFrame(SHORT, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["line_no"]): ((r["first_doc_id"], r["first_line_no"]), r["kept"]) for r in L.line_dedup(df).collect()}
+    again = {(2, 0): (1, 1), (3, 0): (1, 1), (3, 1): (1, 0), (2, 2): (1, 3)}
+    places = {(i, n) for i, t in SHORT for n, x in enumerate(t.split("\n")) if x.strip()}
+    assert got == {p: (again.get(p, p), p not in again) for p in places}
+
+
+def test_pipeline_cuts_lines_of_any_length(spark):
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    import corpus_pipeline
+
+    left = corpus_pipeline.line_dedup(spark, C.frame(spark, [(i, t, "en", "s", len(t)) for i, t in SHORT]), "")
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {1: SHORT[0][1], 2: "all new here", 3: "one two three four", 4: SHORT[3][1]}
+
+
 def test_verified_edit_distance(spark):
     from pyspark.sql import functions as F
 

@@ -32,7 +32,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = _held_out(7)
-    model = lm.build(docs.filter(~held_out))
+    model = lm.build(docs.filter(~held_out), order=3, min_count=1)
     return lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -81,6 +81,19 @@ def test_scores_equal_a_plain_model(spark, order, monkeypatch):
             assert abs(own["score"] - sum(math.log10(p(h, i)) for i in range(len(h)))) < 0.02 * len(h)
 
 
+def test_query_scores_with_all_levels_and_single_ngrams(spark, tmp_path, monkeypatch):
+    from shelfmark.llm import queries
+
+    data = [r for r in C.rows(n=60) if r[0] not in (109, None)]
+    C.frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(lm, "MIN_COUNT", 1)      # of the reference
+    p, _, _, _ = reference([lm.token_hashes(r[1]) for r in data if zlib.crc32(str(r[0]).encode()) % 7 != 2], 3)
+    got = {r["doc_id"]: r["score"] for r in queries.op3_lm_scoring(spark, str(tmp_path)).collect()}
+    for r in data:
+        h = lm.token_hashes(r[1])
+        assert abs(got[r[0]] - sum(math.log10(p(h, i)) for i in range(len(h)))) < 0.02 * len(h)
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     model = lm.build(C.frame(spark), order=2)
     trie = lm.Trie(model)

@@ -7,7 +7,8 @@ by hash, so that a frequent context spreads over all shards. A shard is a few
 arrays in the shared folder, which scoring tasks map into memory:
 
 * the contexts, a monotone Elias-Fano sequence;
-* pointers to where each context's successors begin, another one;
+* pointers to where each context's successors begin, another one (to list the
+  successors of a context; scoring does without them);
 * the successors, made monotone by adding the context's place in the shard
   times the number of tokens. Looking up a successor is a successor search in
   this sequence, relative to the context;

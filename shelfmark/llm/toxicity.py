@@ -6,8 +6,9 @@ count. Each n-gram is scaled by its naive Bayes log-count ratio (how much more
 of it there is in documents of label 1 than of label 0), and a logistic
 regression is fitted on the scaled values.
 
-The fit uses a bounded sample of labelled documents (``FIT_ROWS`` rows with
-the smallest hash of their id, the first ``FIT_CHARS`` characters of each).
+The fit uses a sample of labelled documents (``FIT_ROWS`` rows with the smallest
+hash of their id). Tasks count the words of their whole texts, as n-grams follow
+from these; the driver sees each document's distinct words with their counts.
 N-grams in fewer than ``MIN_DOCS`` documents of the sample, or with a ratio
 below ``MIN_RATIO``, have no feature. Scoring reads every whole text.
 
@@ -37,7 +38,6 @@ from shelfmark.llm.common import pick, slices, worker_state
 WORD = re.compile(r"[^\W_]+")
 SIZES = (3, 4, 5, 6)
 FIT_ROWS = 3000
-FIT_CHARS = 20_000
 MIN_DOCS = 4
 MIN_RATIO = 0.7
 SMOOTH = 1.0
@@ -64,18 +64,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def document_ngrams(text: str | None, known: dict[str, int] | None = None) -> Counter:
-    """N-grams of a text with the number of words that have them (only those known, if given)."""
+def word_counts(text: str | None) -> Counter:
+    return Counter(WORD.findall(text.lower())) if text else Counter()
+
+
+def document_ngrams(text: str | dict[str, int] | None, known: dict[str, int] | None = None) -> Counter:
+    """N-grams of a text, or of its word counts, with the number of words that have them (only those known, if given)."""
     out: Counter = Counter()
-    for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
+    for w, n in (text if isinstance(text, dict) else word_counts(text)).items():
         for g in ngrams(w):
             if known is None or g in known:
                 out[g] += n
     return out
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Fit on (text, label) rows."""
+def fit(rows: list[tuple[str | dict[str, int], int]]) -> Model:
+    """Fit on (text or its word counts, label) rows."""
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -120,6 +124,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return Model({g: float(final[i]) for g, i in number.items() if abs(final[i]) > 1e-6}, float(b))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, words, n): the distinct words of whole texts, in order, with their counts."""
+    for batch in slices(batches, 64):
+        counts = [sorted(word_counts(text).items()) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.string())),
+             pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int64()))], names=["doc_id", "label", "words", "n"])
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
           label_id_col: str = "doc_id", label_col: str = "toxic") -> Model:
     """Fit on labelled documents where ``learn`` holds (a predicate over doc_id)."""
@@ -128,8 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
         named = named.filter(learn)
     chosen = named.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(FIT_ROWS)
     rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS).alias("text"), "label")
-    return fit([(r["text"], int(r["label"])) for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["text"], r["label"]))])
+    rows = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(_counted, f"doc_id {kind}, label int, words array<string>, n array<bigint>").collect()
+    return fit([(dict(zip(r["words"], r["n"])), r["label"]) for r in sorted(got)])
 
 
 class Scorer:

@@ -39,6 +39,14 @@ def test_ratio_scales_the_features():
     assert s.margin("awful") > s.margin("nice") and s.margin("awful bad") > 0 > s.margin("good fine")
 
 
+def test_fit_reads_whole_texts(spark):
+    clean = "fine nice " * 2500
+    docs = spark.createDataFrame([(i, clean + ("awful bad" if i % 3 == 0 else "good")) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    s = T.Scorer(T.train(docs, labels))
+    assert s.margin(clean + "awful bad") > s.margin(clean) > s.margin(clean + "good")
+
+
 def test_cases(spark, model):
     rows = T.score(C.frame(spark), model).collect()
     assert len(rows) == len(C.rows()) and all(0 <= r["score"] <= 1 for r in rows)

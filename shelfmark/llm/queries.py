@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, decontam, langid, linededup, lm, neardedup, quality, tokenbin, toxicity
-from shelfmark.llm.common import residue, table
+from shelfmark.llm import audit, bpe, chat, decontam, langid, linededup, lm, neardedup, quality, sharding, spelling, tokenbin, toxicity
+from shelfmark.llm.common import residue, scratch, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +82,39 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))
 
 
+SHARDS = 8
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written into shards, and their digests read back from there."""
+    path = scratch(spark, "shards")
+    schema = sharding.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS, path)
+    rows = sharding.with_shard(sharding.read_shards(spark, path, schema), SHARDS + 1, name="grown_shard")
+    text = F.col("text")
+    return rows.select("doc_id", sharding.text_size(text).alias("size"), sharding.text_crc(text).alias("text_crc32"),
+                       F.lit(sharding.LAW).alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def typos(doc_id: str):
+    """The contract's misspellings: a code point is gone from one in 97 (document, word) pairs."""
+    start = zlib.crc32(f"{doc_id}:".encode())
+
+    def word_of(run: str) -> str:
+        h = zlib.crc32(run.encode(), start)
+        at = h % len(run)
+        return run if h % 97 else run[:at] + run[at + 1:]
+
+    return word_of
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"), change=typos)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -91,10 +126,16 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_bpe": op10_bpe,
+    "op11_sharding": op11_sharding,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.SQL,
     "op5_chat_formatting": chat.SQL,
+    "op11_sharding": sharding.sql(SHARDS),
+    "op12_filter_audit": audit.SQL,
+    "op13_spelling_variants": spelling.sql(),
 }

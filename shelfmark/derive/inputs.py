@@ -258,7 +258,8 @@ def decorated_ids_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet_grid_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a grid export (CSV text, ids in column C): one decorated id per
     order, and at fixed keys header, punctuation-only and 'isbn 13' cells,
-    empty lines, and a quoted cell with a line break and a comma before it."""
+    empty lines, and before it a quoted cell with a line break and a comma, or
+    one that is not quoted and holds stray quotes."""
     r = raw_ids_expr(spark, sf_dir)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")
     g = r.join(o, "pos")
@@ -279,12 +280,27 @@ def sheet_grid_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 50 == 40, F.lit("isbn 13"))
     )
     second = F.when(k % 11 == 3, F.concat(F.lit('"status ""'), F.col("o_orderstatus"), F.lit('""\nof, the order"'))) \
-        .otherwise(F.col("o_orderstatus"))
+        .when(k % 13 == 6, F.concat(F.lit('5" of "'), F.col("o_orderstatus"))).otherwise(F.col("o_orderstatus"))
     lines = F.filter(F.array(F.when(k % 50 == 25, F.lit("")), F.concat(F.lit("x,y,"), extra),
                              F.concat(F.lit("order,"), second, F.lit(","), cell)), lambda x: x.isNotNull())
     return g.select(k.alias("pos"), F.posexplode(lines).alias("idx", "value"))
 
 
+# Exports that the orders are dealt to, one file each.
+EXPORTS = 24
+
+
+def sheet_exports_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``EXPORTS`` grid exports, ids in column A: order ``k`` is a row of export ``k % EXPORTS``; column B
+    holds its status with stray quotes, or quoted with a line break."""
+    r = raw_ids_expr(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), "o_orderstatus")
+    k = F.col("pos")
+    second = F.when(k % 5 == 1, F.concat(F.lit('"status\n""'), F.col("o_orderstatus"), F.lit('"""'))) \
+        .when(k % 7 == 2, F.concat(F.col("o_orderstatus"), F.lit('"'))).otherwise(F.col("o_orderstatus"))
+    return r.join(o, "pos").select("pos", (k % EXPORTS).cast("int").alias("export"), F.concat_ws(",", "raw", second).alias("value"))
+
+
 def job_manifest_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``job_manifest(job_id, sheet_ref, range)`` from ``pages``."""
     pg = table(spark, sf_dir, "pages")
@@ -321,6 +337,7 @@ _BUILDERS = {
     "snapshot_b": (snapshot_b_expr, "parquet", "isbn"),
     "id_lines": (id_lines_expr, "text", "pos"),
     "sheet_grid": (sheet_grid_expr, "text", "pos"),
+    "sheet_exports": (sheet_exports_expr, "exports", "pos"),
     "job_manifest": (job_manifest_expr, "parquet", "job_id"),
 }
 _LOCK = threading.RLock()  # re-entrant: a build may materialise its own inputs
@@ -373,8 +390,11 @@ def materialize(spark: SparkSession, sf_dir: str, name: str) -> str:
         if _complete(spark, path):
             return path
         build, fmt, key = _BUILDERS[name]
-        df = _layout(spark, build(spark, sf_dir), key)
-        if fmt == "text":
+        df = build(spark, sf_dir) if fmt == "exports" else _layout(spark, build(spark, sf_dir), key)
+        if fmt == "exports":   # a folder with one file for each export, as each is written by one task
+            (df.repartition(EXPORTS, "export").sortWithinPartitions("export", key).select("export", "value")
+             .write.mode("overwrite").option("lineSep", "\n").partitionBy("export").text(path))
+        elif fmt == "text":
             df.select("value").write.mode("overwrite").option("lineSep", "\n").text(path)
         else:
             df.write.mode("overwrite").parquet(path)

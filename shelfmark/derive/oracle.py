@@ -10,6 +10,7 @@ views (orders, part, lineitem, pages).
 from __future__ import annotations
 
 from .. import fixed
+from .inputs import EXPORTS
 
 # --- derivation --------------------------------------------------------------
 
@@ -306,6 +307,16 @@ def oracle_sql() -> dict[str, str]:
                                                      "FROM classified",
         "scan_id_lines": _lines_cte() + "SELECT raw FROM raw_ids",
         "stream_clean_ids": _lines_cte() + "SELECT raw FROM raw_ids",
+        "id_lines_in_order": _with(RAW_IDS) + (
+            "SELECT sum(CASE WHEN pos % 10 IN (0, 5, 7) THEN 2 ELSE 1 END) OVER (ORDER BY pos)::BIGINT - 1 AS pos, raw FROM raw_ids"),
+        "scan_sheet_manifest": _with(_MANIFEST, RAW_IDS, f"""rows AS (
+  SELECT pos % {EXPORTS} AS job, row_number() OVER (PARTITION BY pos % {EXPORTS} ORDER BY pos) AS row, raw,
+    CASE WHEN pos % 5 = 1 THEN 'status' || chr(10) || '"' || o_orderstatus || '"' WHEN pos % 7 = 2 THEN o_orderstatus || '"'
+      ELSE o_orderstatus END AS b
+  FROM raw_ids JOIN orders ON o_orderkey = pos)""") + (
+            "SELECT 'export=' || job::VARCHAR AS export, row, CASE job % 6 WHEN 5 THEN b ELSE raw END AS c0 "
+            "FROM rows JOIN manifest ON job_id = job WHERE CASE job % 6 WHEN 0 THEN row >= 2 WHEN 1 THEN row BETWEEN 2 AND job + 1 "
+            "WHEN 2 THEN true WHEN 5 THEN row = 1 ELSE false END"),
         "scan_id_literals": _with(RAW_IDS, DECORATED, CLASSIFIED.replace("FROM raw_ids)", "FROM decorated)"))
         + "SELECT pos, raw, type, error FROM classified",
         "scan_sheet_column": _with(RAW_IDS, _sheet_cells()) + "SELECT raw FROM sheet_ids WHERE raw <> ''",

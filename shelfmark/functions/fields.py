@@ -36,6 +36,27 @@ def range_error(c) -> Column:
     )
 
 
+def _column_index(letters: Column) -> Column:
+    """Column number from 0 of one to three letters; places that are missing count as '@', the character before 'A'."""
+    at = F.lpad(F.upper(letters), 3, "@")
+    return sum((F.ascii(F.substring(at, i + 1, 1)) - 64) * 26 ** (2 - i) for i in range(3)) - 1
+
+
+def range_cells(c) -> Column:
+    """STRUCT<column, first, last> of an A1 range: the column from 0 and the rows from 1 (``last`` NULL: to the end).
+
+    NULL where P10 finds an error or the cells can't be read. Only the first
+    column counts, as the scan reads the first cell of every row.
+    """
+    cells = F.trim(F.regexp_extract(col(c), r"([^!]*)$", 1))
+    pattern = r"^\$?([A-Za-z]{1,3})\$?(\d*)(:\$?[A-Za-z]{1,3}\$?(\d*))?$"
+    part = {k: F.regexp_extract(cells, pattern, k) for k in (1, 2, 3, 4)}
+    number = {k: part[k].try_cast("bigint") for k in (2, 4)}
+    last = F.coalesce(number[4], F.when(part[3] == "", number[2]))
+    found = F.struct(_column_index(part[1]).cast("int").alias("column"), F.coalesce(number[2], F.lit(1)).alias("first"), last.alias("last"))
+    return F.when(range_error(c).isNull() & cells.rlike(pattern), found)
+
+
 def join_list(c, sep: str) -> Column:
     """list joined by `sep`; a NULL list gives ''."""
     return F.coalesce(F.array_join(col(c), sep), F.lit(""))

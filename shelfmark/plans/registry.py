@@ -21,7 +21,7 @@ from ..operators.summary import summary_distinct, summary_rows
 from ..operators.validate import classify, input_counts, rejected_ids, valid_ids
 from ..session import configure, parallelism, scratch_path
 from ..sources.lines import ids_from_column, read_id_lines
-from ..sources.sheets import read_grid_export, sheet_column_ids, sheet_row_count
+from ..sources.sheets import read_grid_export, read_grid_manifest, sheet_column_ids, sheet_row_count
 from ..streaming.ids import clean_ids_to, resolve_stream
 from . import grid as G
 from . import report as P
@@ -116,7 +116,13 @@ def q_input_counts(spark, sf):
 
 def q_scan_id_lines(spark, sf):
     configure(spark)
-    return read_id_lines(spark, D.materialize(spark, sf, "id_lines")).select("raw")
+    return read_id_lines(spark, D.materialize(spark, sf, "id_lines"), in_order=False).select("raw")
+
+
+def q_id_lines_in_order(spark, sf):
+    """The cleaned lines with their numbers over all files."""
+    configure(spark)
+    return read_id_lines(spark, D.materialize(spark, sf, "id_lines")).select("pos", "raw")
 
 
 def q_scan_id_literals(spark, sf):
@@ -140,6 +146,14 @@ def q_sheet_row_count(spark, sf):
     return sheet_row_count(read_grid_export(spark, D.materialize(spark, sf, "sheet_grid"), SHEET_RANGE))
 
 
+def q_scan_sheet_manifest(spark, sf):
+    """S4/P10 over many exports: each is scanned by the range that the manifest gives for it."""
+    configure(spark)
+    manifest = D.load(spark, sf, "job_manifest").select(F.concat(F.lit("export="), F.col("job_id")).alias("export"), "range")
+    folder = F.element_at(F.split("file", "/"), -2)
+    return read_grid_manifest(spark, D.materialize(spark, sf, "sheet_exports"), manifest, folder)
+
+
 def _hits(provider_index: int):
     def q(spark, sf):
         p = _providers(spark, sf)[provider_index]
@@ -306,9 +320,11 @@ QUERIES: dict[str, Query] = {
     "isbn10_to_13": q_isbn10_to_13,
     "input_counts": q_input_counts,
     "scan_id_lines": q_scan_id_lines,
+    "id_lines_in_order": q_id_lines_in_order,
     "scan_id_literals": q_scan_id_literals,
     "scan_sheet_column": q_scan_sheet_column,
     "sheet_row_count": q_sheet_row_count,
+    "scan_sheet_manifest": q_scan_sheet_manifest,
     "provider_a_hits": _hits(0),
     "provider_b_hits": _hits(1),
     "extract_sheet_ids": q_extract_sheet_ids,

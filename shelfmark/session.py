@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -93,7 +96,32 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# The working paths of the scopes that this thread is in, innermost last.
+_SCOPES = threading.local()
+
+
 def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A path under the shared folder; ``unique`` adds a fresh suffix."""
     base = os.path.join(shared_dir(spark), "shelfmark", *parts)
-    return f"{base}-{uuid.uuid4().hex[:12]}" if unique else base
+    if not unique:
+        return base
+    path = f"{base}-{uuid.uuid4().hex[:12]}"
+    for paths in getattr(_SCOPES, "open", [])[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the working tables that operators write inside the ``with`` block when it ends.
+
+    Frames built inside read those tables: their results have to be written
+    or collected before the end.
+    """
+    stack = _SCOPES.__dict__.setdefault("open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            remove_path(spark, path)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from .._util import col, with_once
 from ..functions.isbn import trim_space
+from .blocks import numbered_lines
 
 
 def clean_id_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -22,15 +23,19 @@ def clean_id_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return trimmed.where((F.col("raw") != "") & ~F.col("raw").startswith("#"))
 
 
-def read_id_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, pos, raw)``; ``pos`` follows line order within a file.
+def read_id_lines(spark: SparkSession, path: str, in_order: bool = True) -> DataFrame:
+    """``(file, pos, raw)``; ``pos`` is the line's number over all files in name order.
 
-    ``pos`` is monotonically increasing within each file split (gap-free
-    numbering would need a global pass); it orders, it never joins.
+    The number counts blank and comment lines too, so it has gaps where these
+    were. The lines are written once for it (``sources/blocks.py``). Without
+    ``in_order`` nothing is written, and ``pos`` follows line order only
+    within a file split: enough where rows are counted or merely checked.
     """
-    lines = (spark.read.option("lineSep", "\n").text(path)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.monotonically_increasing_id().alias("pos"), "value"))
+    if in_order:
+        lines = numbered_lines(spark, path).withColumnRenamed("line", "pos")
+    else:
+        lines = (spark.read.option("lineSep", "\n").text(path)
+                 .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), "value"))
     return clean_id_lines(lines)
 
 

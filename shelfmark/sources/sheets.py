@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from .._util import with_once
-from ..functions.fields import is_sheet_header, range_error
+from ..functions.fields import is_sheet_header, range_cells
 from ..functions.isbn import trim_space
+from .blocks import BLOCK, block_lines, running_total, written
 
 
 def _column_number(letters: str) -> int:
@@ -20,53 +21,179 @@ def _column_number(letters: str) -> int:
     return n - 1
 
 
-def parse_range(spark: SparkSession, a1: str) -> tuple[int, int, int | None]:
+def parse_range(a1: str) -> tuple[int, int, int | None]:
     """(column from 0, first row, last row or None) of an A1 range that P10 accepts.
 
     ``Sheet1!C2:C``, ``A2:A100``, ``B:B`` or ``Tab!B1`` (one cell). Only the
     first column counts, as the scan reads the first cell of every row.
     """
-    wrong = spark.range(1).select(range_error(F.lit(a1)).alias("e")).first()["e"]
-    cells = re.fullmatch(r"\$?([A-Za-z]{1,3})\$?(\d*)(:\$?[A-Za-z]{1,3}\$?(\d*))?", a1.rpartition("!")[2].strip()) if not wrong else None
-    if cells is None:
-        raise ValueError(wrong or fixed.MSG_RANGE_FORMAT % a1)
+    if not a1:
+        raise ValueError(fixed.MSG_RANGE_EMPTY)
+    cells = re.fullmatch(r"\$?([A-Za-z]{1,3})\$?(\d*)(:\$?[A-Za-z]{1,3}\$?(\d*))?", a1.rpartition("!")[2].strip())
+    if cells is None or not (":" in a1 or "!" in a1):
+        raise ValueError(fixed.MSG_RANGE_FORMAT % a1)
     first = int(cells[2] or 1)
     last = int(cells[4]) if cells[4] else first if cells[2] and not cells[3] else None
     return _column_number(cells[1]), first, last
 
 
+# What a quote does to a row's state, and the text up to the next quote after it: the state before (at the start of a
+# cell, in a plain cell, in a quoted cell, after a quote in a quoted cell) gives one state for each kind of that text
+# (empty, ending with a comma, other). A quote inside a plain cell is a letter like any other.
+_START, _PLAIN, _QUOTED, _AFTER = range(4)
+_QUOTE_THEN = {
+    _START: (_QUOTED, _QUOTED, _QUOTED),
+    _PLAIN: (_PLAIN, _START, _PLAIN),
+    _QUOTED: (_AFTER, _START, _PLAIN),
+    _AFTER: (_QUOTED, _QUOTED, _QUOTED),
+}
+# What a line does to whether its row goes on (0: no open quoted cell, 1: one is open).
+_KEEPS, _TURNS, _ENDS, _OPENS = range(4)
+
+
+def _text_kind(text: Column) -> Column:
+    return F.when(text == "", 0).when(text.endswith(","), 1).otherwise(2)
+
+
+def line_effect(value: str = "value") -> Column:
+    """What a line does to the state of its row: the quote automaton run from both states that a line can begin in.
+
+    The pair of states is one number (4 times the one from outside a quoted
+    cell, plus the one from inside), so a line is walked once, quote by quote.
+    """
+    pairs = [4 * _QUOTE_THEN[a][k] + _QUOTE_THEN[b][k] for a in range(4) for b in range(4) for k in range(3)]
+    table = F.array(*[F.lit(p) for p in pairs])
+    parts = F.split(value, '"')
+    head = F.when((parts[0] == "") | parts[0].endswith(","), 4 * _START + _QUOTED).otherwise(4 * _PLAIN + _QUOTED)
+    end = F.aggregate(F.slice(parts, 2, F.size(parts) - 1), head, lambda s, x: F.get(table, s * 3 + _text_kind(x)))
+    out, inside = F.shiftright(end, 2) == _QUOTED, end.bitwiseAND(F.lit(3)) == _QUOTED
+    effect = F.when(out & inside, _OPENS).when(out, _TURNS).when(inside, _KEEPS).otherwise(_ENDS)
+    return F.when(F.contains(value, F.lit('"')), effect).otherwise(_KEEPS)
+
+
+def _states(lines: DataFrame, effect: str, order: list[str], part: list[str]) -> DataFrame:
+    """``lines`` with the state before each: ``open`` if it does not depend on how ``part`` begins, else ``open`` turned
+    by that beginning (``free``). Effects compose: the last one that sets the state counts, and the turns since."""
+    upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    sets = F.col(effect).isin(_ENDS, _OPENS)
+    turns = lines.withColumn("_turns", F.sum((F.col(effect) == _TURNS).cast("int")).over(upto))
+    last = F.last(F.when(sets, F.struct((F.col(effect) == _OPENS).cast("int").alias("open"), F.col("_turns").alias("turns"))), ignorenulls=True)
+    seen = turns.withColumn("_last", last.over(before)).withColumn("_before", F.coalesce(F.max("_turns").over(before), F.lit(0)))
+    value = (F.coalesce("_last.open", F.lit(0)) + F.col("_before") - F.coalesce("_last.turns", F.lit(0))) % 2
+    return seen.withColumn("open", value.cast("int")).withColumn("free", F.col("_last").isNull()).drop("_turns", "_last", "_before")
+
+
+def _after(effect: str, state: Column) -> Column:
+    e = F.col(effect)
+    return F.when(e == _KEEPS, state).when(e == _TURNS, 1 - state).when(e == _OPENS, 1).otherwise(0)
+
+
+def _block_table(lines: DataFrame) -> DataFrame:
+    """One row a block: ``start`` (its first line goes on with an open cell), ``base`` (rows of the file before it),
+    ``over`` (rows of all files before it), ``simple`` (each of its lines is a row). Only lines with quotes are looked at
+    in order, and without their text."""
+    blocks = lines.groupBy(*BLOCK).agg(F.min("at").alias("first"), F.max("at").alias("end"),
+                                       F.max(F.col("effect").isin(_TURNS, _OPENS).cast("int")).alias("opens"))
+    quoted = _states(lines.where(F.col("effect") != _KEEPS).select(*BLOCK, "at", "effect"), "effect", ["at"], BLOCK)
+    upcoming = F.lead("at").over(Window.partitionBy(*BLOCK).orderBy("at"))
+    runs = quoted.withColumn("after", _after("effect", F.col("open"))).withColumn("next", upcoming)
+    runs = runs.join(blocks.select(*BLOCK, "first", "end"), BLOCK)
+    # Lines up to the next quoted one begin in the state after this one.
+    long = F.coalesce("next", "end") - F.col("at")
+    loose = F.col("free") & F.col("effect").isin(_KEEPS, _TURNS)   # the state after it still depends on the block's start
+    sums = runs.groupBy(*BLOCK).agg(
+        F.min("at").alias("q"),
+        F.sum(F.when(~loose & (F.col("after") == 1), long).otherwise(0)).alias("inner"),
+        F.sum(F.when(loose & (F.col("after") == 1), long).otherwise(0)).alias("inner0"),
+        F.sum(F.when(loose & (F.col("after") == 0), long).otherwise(0)).alias("inner1"),
+        F.max_by(F.struct("after", loose.alias("loose")), "at").alias("last"))
+    b = blocks.join(sums, BLOCK, "left")
+    # Lines that go on with an open cell, if the block begins outside (0) or inside (1) one.
+    lead = F.coalesce("q", "end") - F.col("first") + 1
+    on = [F.coalesce(F.col("inner") + F.col("inner0"), F.lit(0)), F.coalesce(F.col("inner") + F.col("inner1"), F.lit(0)) + lead]
+    out = F.when(F.col("last").isNull(), _KEEPS).when(F.col("last.loose") & (F.col("last.after") == 0), _KEEPS) \
+        .when(F.col("last.loose"), _TURNS).when(F.col("last.after") == 1, _OPENS).otherwise(_ENDS)
+    b = _states(b.select(*BLOCK, "first", "end", "opens", *[c.alias(f"on{i}") for i, c in enumerate(on)], out.alias("effect")), "effect", ["block"], ["file"])
+    # A file begins outside, so the state is known everywhere.
+    b = b.withColumn("rows", F.col("end") - F.col("first") + 1 - F.when(F.col("open") == 1, F.col("on1")).otherwise(F.col("on0")))
+    return b.select(*BLOCK, "first", F.col("open").alias("start"), "rows", ((F.col("open") == 0) & (F.col("opens") == 0)).alias("simple"),
+                    running_total("rows", ["block"], ["file"]).alias("base"), running_total("rows", BLOCK).alias("over"))
+
+
+def read_grid_records(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of grid exports (CSV text): ``(file, row, number, text)``, blank rows included; ``row`` counts from 1 within
+    each file, ``number`` over all files in the order of their names.
+
+    A quoted cell may hold line breaks, so a line may go on with the row before
+    it. Whether it does follows from an automaton over the quotes: each line's
+    effect is known by itself, the effects of a block's lines are summed up,
+    and a running sum over the blocks (one row each) gives the state that each
+    begins in and its first row number. Blocks in which every line is a row
+    are numbered where they are; the others line by line, block by block; rows
+    of several lines are put together at the end. No task gets a whole file. A
+    quote inside a cell that is not quoted is a letter and costs no row; a
+    quoted cell that is never closed reaches to the end of its file.
+    """
+    lines = block_lines(spark, path, effect=line_effect())
+    blocks = written(_block_table(lines), "grid-blocks")
+    placed = lines.join(blocks, BLOCK).withColumn("shift", F.col("over") - F.col("base"))
+    simple = placed.where("simple").select("file", (F.col("base") + F.col("at") - F.col("first") + 1).alias("row"), "shift", F.col("value").alias("text"))
+    mixed = _states(placed.where("not simple").select(*BLOCK, "at", "value", "effect", "start", "base", "shift"), "effect", ["at"], BLOCK)
+    before = F.when(F.col("free") & (F.col("start") == 1), 1 - F.col("open")).otherwise(F.col("open"))
+    mixed = mixed.withColumn("before", before).withColumn("after", _after("effect", F.col("before")))
+    upto = Window.partitionBy(*BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mixed = mixed.withColumn("row", F.col("base") + F.sum(1 - F.col("before")).over(upto))
+    alone = (F.col("before") == 0) & (F.col("after") == 0)
+    single = mixed.where(alone).select("file", "row", "shift", F.col("value").alias("text"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    several = mixed.where(~alone).groupBy("file", "row", "shift").agg(F.array_join(parts.getField("value"), "\n").alias("text"))
+    rows = simple.unionByName(single).unionByName(several)
+    return rows.select("file", "row", (F.col("shift") + F.col("row")).alias("number"), "text")
+
+
+def _cells(text: str, columns: int) -> Column:
+    return F.from_csv(F.regexp_replace(text, "\r$", ""), ", ".join(f"c{i} string" for i in range(columns)),
+                      {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+
 def read_grid_export(spark: SparkSession, path: str, a1: str | None = None) -> DataFrame:
     """Rows of a grid export (CSV): ``(row, c0)``, blank rows included.
 
     ``row`` counts from 1 over all files in the order of their names; with a
-    range, the rows and the column it names. Ragged rows give NULL. A quoted
-    cell may hold line breaks: a line continues the row before it while the
-    number of quotes so far in its file is odd. That needs a file's lines in
-    order, so one task numbers one file (a multi-line CSV can't be cut at any
-    byte anyway); many files are numbered in parallel.
+    range, the rows and the column it names. Ragged rows give NULL.
     """
-    column, first, last = parse_range(spark, a1) if a1 is not None else (0, 1, None)
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    lines = lines.withColumn("quotes", F.length("value") - F.length(F.translate("value", '"', "")))
-    in_file = Window.partitionBy("file").orderBy("block", "at")
-    before = F.coalesce(F.sum("quotes").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("starts", (before % 2 == 0).cast("int"))
-    lines = lines.withColumn("record", F.sum("starts").over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
-    records = lines.groupBy("file", "record").agg(F.array_join(whole.getField("value"), "\n").alias("text"))
-    # One row a file: where its rows begin.
-    sizes = records.groupBy("file").agg(F.max("record").alias("n"))
-    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    cells = F.from_csv(F.regexp_replace("text", "\r$", ""), ", ".join(f"c{i} string" for i in range(column + 1)),
-                       {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-    out = records.join(starts, "file").select((F.col("base") + F.col("record")).alias("row"), cells.getField(f"c{column}").alias("c0"))
+    column, first, last = parse_range(a1) if a1 is not None else (0, 1, None)
+    out = read_grid_records(spark, path).select(F.col("number").alias("row"), _cells("text", column + 1).getField(f"c{column}").alias("c0"))
     out = out.where(F.col("row") >= first) if first > 1 else out
     return out.where(F.col("row") <= last) if last is not None else out
 
 
+def export_name(file: Column) -> Column:
+    """The file's name without its folders."""
+    return F.regexp_extract(file, r"([^/]*)$", 1)
+
+
+def read_grid_manifest(spark: SparkSession, path: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
+    """Rows of many grid exports, each with a range of its own: ``(export, row, c0)`` in one scan.
+
+    ``manifest`` has ``(export, range)``; an export is one file below ``path``,
+    and ``name`` says how its name follows from the column ``file`` (its last
+    part by default). An export with several ranges is given once for each;
+    exports without a usable range, and files that the manifest does not name,
+    give no rows (``range_error`` has the reasons). Row numbers are those of
+    the export's own file. The widest column asked for bounds what is parsed.
+    """
+    wanted = written(manifest.select("export", range_cells("range").alias("r")).where(F.col("r").isNotNull()), "manifest")
+    widest = wanted.agg(F.max("r.column")).first()[0]
+    cells = _cells("text", 1 if widest is None else widest + 1)
+    rows = read_grid_records(spark, path).withColumn("export", export_name(F.col("file")) if name is None else name)
+    last = F.coalesce("r.last", "row")
+    asked = rows.join(wanted, "export").where((F.col("row") >= F.col("r.first")) & (F.col("row") <= last))
+    values = F.array(*[cells.getField(f"c{i}") for i in range(0 if widest is None else widest + 1)])
+    return asked.select("export", "row", F.get(values, F.col("r.column")).alias("c0") if widest is not None else F.lit(None).cast("string").alias("c0"))
+
+
 def sheet_column_ids(grid: DataFrame, cell: str = "c0", row: str = "row") -> DataFrame:
     """First cell of each row, trimmed; blanks and header cells
     skipped (header test before stripping); spaces, '-' and '.' stripped;

@@ -18,7 +18,7 @@ of filters leaves, whatever the corpus.
 
 Defined cases: null text is the empty text (it fails the length filter only, or
 the copy filter if another empty text has a smaller id); a null source is the
-part ''; a row without an id is a copy of nothing, and nothing is a copy of it;
+part ''; a row without an id is a copy of nothing, nothing is a copy of it, and no label is its own;
 rows repeated with one id count each and are no copies of each other; a
 document with several label rows is good (toxic) if one of them says so; texts
 of any length are taken whole; an empty table gives an empty result; other

@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark._util import with_once
 from shelfmark.llm.common import stored
 
 #: Fixed values of the method's sequence: multiplier (as two halves) and the span of its upper 31 bits.
@@ -66,6 +65,14 @@ def _jumps(state: Column, shards: int, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), state, lambda s, _: F.when(s["j"] < shards, _next(s)).otherwise(s))
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def with_shard(df: DataFrame, shards: int, key: str = "doc_id", name: str = "shard") -> DataFrame:
     """``df`` with the shard (0 to shards - 1) of every row's key."""
     if shards < 1:
@@ -73,11 +80,13 @@ def with_shard(df: DataFrame, shards: int, key: str = "doc_id", name: str = "sha
     k, zero = F.col(f"`{key}`"), F.lit(0).cast("bigint")
     # Shard -1 jumps to 0 before the first draw, as every sequence begins.
     start = F.struct(F.lit(-1).cast("bigint").alias("b"), zero.alias("j"), _half(k, 1).alias("hi"), _half(k, 9).alias("lo"))
-    df = with_once(df, _jumps(start, shards, min(shards, JUMPS)), "_jump")
-    if shards > JUMPS:
-        more = F.when(F.col("_jump.j") < shards, _jumps(F.col("_jump"), shards, shards)).otherwise(F.col("_jump"))
-        df = with_once(df, more, "_more").drop("_jump").withColumnRenamed("_more", "_jump")
-    return df.withColumn(name, F.col("_jump.b").cast("int")).drop("_jump")
+    first, last = _free(df, "first_jumps"), _free(df, "last_jump")
+    own = [F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()]
+    df = df.select("*", F.explode(F.array(_jumps(start, shards, min(shards, JUMPS)))).alias(first))
+    state = F.col(first)
+    more = F.when(state["j"] < shards, _jumps(state, shards, shards)).otherwise(state) if shards > JUMPS else state
+    df = df.select("*", F.explode(F.array(more)).alias(last))
+    return df.select(*own, F.col(last)["b"].cast("int").alias(name))
 
 
 def moves(df: DataFrame, shards: int, more: int, key: str = "doc_id") -> DataFrame:
@@ -108,18 +117,18 @@ def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id"
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All written columns, ``shard`` and ``slot`` (its place in the shard, from 0 without a gap)."""
-    file = F.col("_metadata.file_name")
     rows = spark.read.schema(schema).parquet(path)
-    rows = rows.select(*rows.columns, file.alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    block = F.floor(F.col("_at") / F.lit(BLOCK)).alias("_block")
-    counts = rows.groupBy("shard", "_file", block).agg(F.count("*").alias("n"))
+    file, at, block, base = (_free(rows, c) for c in ("file", "at", "block", "base"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in schema.names], F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
+    rows = rows.withColumn(block, F.floor(F.col(at) / F.lit(BLOCK)))
+    key = ["shard", file, block]
     # One row a file (and block): the place of a file is that of the task that wrote it.
-    part, piece = (F.regexp_extract("_file", p, 1).cast("bigint") for p in (r"^part-(\d+)", r"\.?c(\d+)\."))
-    ahead = Window.partitionBy("shard").orderBy(part, piece, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(counts.select("shard", "_file", "_block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_base")), "shard-files")
-    at = rows.withColumn("_block", block).join(bases, ["shard", "_file", "_block"])
-    slot = F.col("_base") + F.col("_at") - F.col("_block") * BLOCK
-    return at.select(*schema.names, slot.cast("bigint").alias("slot"))
+    part, piece = (F.regexp_extract(file, p, 1).cast("bigint") for p in (r"^part-(\d+)", r"\.?c(\d+)\."))
+    ahead = Window.partitionBy("shard").orderBy(part, piece, block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key).agg(F.count("*").alias(base))
+    bases = stored(counts.select(*key, F.coalesce(F.sum(base).over(ahead), F.lit(0)).alias(base)), "shard-files")
+    slot = F.col(base) + F.col(at) - F.col(block) * BLOCK
+    return rows.join(bases, key).select(*[F.col(f"`{c}`") for c in schema.names], slot.cast("bigint").alias("slot"))
 
 
 def manifest(shards: DataFrame, text_col: str = "text") -> DataFrame:

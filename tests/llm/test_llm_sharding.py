@@ -1,0 +1,108 @@
+import zlib
+from collections import Counter
+
+import duckdb
+import llm_cases as C
+import pandas as pd
+from pyspark.sql import functions as F
+
+from shelfmark.llm import sharding
+from shelfmark.llm.common import scratch
+
+
+def jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def seed(doc_id):
+    import hashlib
+    return int(hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()[:16], 16)
+
+
+def shards_of(spark, docs, shards):
+    path = scratch(spark, "shards-test")
+    return sharding.read_shards(spark, path, sharding.write_shards(docs, shards, path))
+
+
+def test_equal_to_the_sequence_itself(spark):
+    ids = spark.range(3000).withColumnRenamed("id", "doc_id")
+    for shards in (1, 2, 8, 9, 70, 1000):
+        got = {r["doc_id"]: r["shard"] for r in sharding.with_shard(ids, shards).collect()}
+        assert got == {k: jump(seed(k), shards) for k in range(3000)}
+
+
+def test_more_jumps_than_the_first_round(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "JUMPS", 2)
+    ids = spark.range(2000).withColumnRenamed("id", "doc_id")
+    got = {r["doc_id"]: r["shard"] for r in sharding.with_shard(ids, 50).collect()}
+    assert got == {k: jump(seed(k), 50) for k in range(2000)}
+
+
+def test_rows_move_into_new_shards_only(spark):
+    ids = spark.range(9000).withColumnRenamed("id", "doc_id")
+    moved = sharding.moves(ids, 8, 9).collect()
+    assert all(r["grown_shard"] == 8 for r in moved)
+    assert abs(len(moved) / 9000 - 1 / 9) < 0.02
+    assert all(r["grown_shard"] >= 8 for r in sharding.moves(ids, 8, 11).collect())
+
+
+def test_whole_rows_with_gapless_slots(spark):
+    data = C.rows() * 2
+    rows = shards_of(spark, C.frame(spark, data), 8).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["w"]) for r in rows) == Counter((d[0], d[1], d[2], "clash") for d in data)
+    by = {}
+    for r in rows:
+        assert r["shard"] == jump(seed(r["doc_id"]), 8)
+        by.setdefault(r["shard"], {})[r["slot"]] = (r["doc_id"] is not None, r["doc_id"], zlib.crc32((r["text"] or "").encode()))
+    for shard in by.values():
+        assert sorted(shard) == list(range(len(shard)))
+        assert [shard[k] for k in sorted(shard)] == sorted(shard.values(), key=lambda x: (x[0], x[1] or 0, x[2]))
+
+
+def test_hot_id_is_spread_over_files(spark):
+    docs = spark.range(40000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
+    path = scratch(spark, "shards-test")
+    schema = sharding.write_shards(docs, 8, path)
+    rows = sharding.read_shards(spark, path, schema)
+    assert rows.select("shard").distinct().count() == 1
+    assert sorted(r["slot"] for r in rows.collect()) == list(range(40000))
+
+
+def test_blocks_of_a_file(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 7)
+    rows = shards_of(spark, C.frame(spark), 3).collect()
+    for shard in {r["shard"] for r in rows}:
+        own = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert own == list(range(len(own)))
+
+
+def test_clashing_columns_and_manifest(spark):
+    docs = C.frame(spark).withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y")).withColumn("File", F.lit("z")).withColumn("first_jumps", F.lit("z"))
+    rows = shards_of(spark, docs, 4)
+    assert rows.schema["shard"].dataType.simpleString() == "int" and rows.schema["slot"].dataType.simpleString() == "bigint"
+    found = {r["shard"]: (r["rows"], r["bytes"]) for r in sharding.manifest(rows).collect()}
+    want = {}
+    for d in C.rows():
+        k = jump(seed(d[0]), 4)
+        n, b = want.get(k, (0, 0))
+        want[k] = (n + 1, b + len((d[1] or "").encode()) + 1)
+    assert found == want
+
+
+def test_sql_gives_the_same(spark):
+    data = C.rows()
+    rows = shards_of(spark, C.frame(spark, data).select("doc_id", "text"), 8)
+    rows = sharding.with_shard(rows, 9, name="grown_shard")
+    got = rows.select("doc_id", sharding.text_size(F.col("text")), sharding.text_crc(F.col("text")), F.lit("key"), "shard", "slot", "grown_shard").collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([d[0] for d in data], "Int64"), "text": [d[1] for d in data]}))
+    assert Counter(map(tuple, got)) == Counter(con.execute(sharding.sql(8)).fetchall())
+
+
+def test_empty_table(spark):
+    assert shards_of(spark, C.empty(spark), 8).count() == 0

@@ -109,6 +109,11 @@ def raw_ids_skewed_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
                      _shaped(book, (F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("raw"))
 
 
+def id_lines_skewed_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skewed ids as text lines."""
+    return raw_ids_skewed_expr(spark, sf_dir).select("pos", F.col("raw").alias("value"))
+
+
 # Book that all rows of the identical input refer to.
 SAME_BOOK = 1
 
@@ -336,6 +341,7 @@ _BUILDERS = {
     "snapshot_a": (snapshot_a_expr, "parquet", "isbn"),
     "snapshot_b": (snapshot_b_expr, "parquet", "isbn"),
     "id_lines": (id_lines_expr, "text", "pos"),
+    "id_lines_skewed": (id_lines_skewed_expr, "text", "pos"),
     "sheet_grid": (sheet_grid_expr, "text", "pos"),
     "sheet_exports": (sheet_exports_expr, "exports", "pos"),
     "job_manifest": (job_manifest_expr, "parquet", "job_id"),

@@ -350,7 +350,14 @@ def oracle_sql() -> dict[str, str]:
                                f"ELSE '{fixed.STATUS_ERROR}' END AS status, {_json_line()} AS line FROM results",
         "preview_rows": base + f"SELECT {_grid_cols()} FROM results ORDER BY pos LIMIT {fixed.PREVIEW_ROWS - 1}",
         "sheet_append": base + f"SELECT {_grid_cols(prefix_pos=False)} FROM results UNION ALL SELECT {_grid_cols(prefix_pos=False)} FROM results",
+        "sheet_append_jobs": base + f"SELECT {_grid_cols(prefix_pos=False)} FROM results UNION ALL SELECT {_grid_cols(prefix_pos=False)} FROM results",
         "stream_resolve": base + f"SELECT {_csv_cols(prefix_pos=False)} FROM results",
+        "stream_summary": base + (
+            "SELECT (SELECT count(*) FROM raw_ids) AS rows_read, count(*) AS rows_valid, count(*) AS total, "
+            "count(*) FILTER (WHERE error IS NULL) AS successful, count(*) FILTER (WHERE error IS NOT NULL) AS failed, "
+            "count(*) - count(DISTINCT isbn) FILTER (WHERE error IS NOT NULL) AS successful_keys, "
+            "count(DISTINCT isbn) FILTER (WHERE error IS NOT NULL) AS failed_keys FROM results"),
+        "stream_join_hot": _base(RAW_IDS_SKEWED) + "SELECT isbn, provider, title, error FROM results",
         "sheet_round_trip": _sheet_base() + f"SELECT {_grid_cols(prefix_pos=False)} FROM results",
         "resolve_identical_rows": _base(RAW_IDS_IDENTICAL) + "SELECT raw, isbn, provider, title, error FROM results",
         "resolve_skewed": _base(RAW_IDS_SKEWED) + "SELECT pos, isbn, provider, title, error FROM results",

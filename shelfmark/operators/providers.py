@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import json as J
 from ..session import require_conf
+from .keyfilter import only_keys
 
 META_FIELDS = (
     "isbn_10", "isbn_13", "title", "authors", "publisher",
@@ -224,12 +225,14 @@ class Provider:
     snapshot: DataFrame
     parse: Callable[[DataFrame], DataFrame]
 
-    def latest(self) -> DataFrame:
-        return latest_response(self.parse(self.snapshot))
+    def latest(self, keys: DataFrame | None = None, n: int = 0) -> DataFrame:
+        """The latest responses; with ``keys`` (a ``key_filter`` made for ``n`` keys) hardly any for other keys, and
+        what is left out is not parsed."""
+        return latest_response(self.parse(only_keys(self.snapshot, keys, n)))
 
-    def hits(self) -> DataFrame:
+    def hits(self, keys: DataFrame | None = None, n: int = 0) -> DataFrame:
         """Keys whose latest response is a hit, with their metadata."""
-        return self.latest().where("hit").select("isbn", "meta")
+        return self.latest(keys, n).where("hit").select("isbn", "meta")
 
 
 def default_providers(snapshot_a: DataFrame, snapshot_b: DataFrame) -> list[Provider]:

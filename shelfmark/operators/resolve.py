@@ -1,28 +1,31 @@
 """Resolve valid keys against the provider chain.
 
-Plan shape (one Spark job, no driver round trips):
+Plan shape:
 
 1. ``key_counts``: distinct keys with their multiplicity ``n``; a hash
    aggregate with a map-side partial step, so a key holding a third of all
-   rows is collapsed per task before the shuffle.
+   rows is collapsed per task before the shuffle. ``counted`` writes them
+   (a narrow table) and sees whether there is a hot key at all.
 2. ``resolve_keys``: the distinct keys left-joined to each provider's latest
    hit. Both sides are hash-partitioned by ``isbn`` (aggregate outputs), so
    the chain of sort-merge joins adds no exchange; small snapshots become
    broadcasts through Spark's size-checked auto-broadcast.
 3. ``attach``: every input row gets its key's result (duplicates keep one
-   row each). This is the only shuffle of the full input; hot keys are split
-   over several salts so no task receives a whole hot group. The salt comes
-   from the row's place in a written table, so rows with equal values spread
-   too, and a repeated task gives every row the same salt again.
+   row each). This is the only shuffle of the full input. If there are hot
+   keys, they are split over several salts so no task receives a whole hot
+   group. The salt comes from the row's place in a written table, so rows
+   with equal values spread too, and a repeated task gives every row the same
+   salt again. Without hot keys the rows are not written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..session import scratch_path
+from .keyfilter import key_filter
 from .providers import Provider
 
 # Rows of one key that one join task may receive before the key is split.
@@ -84,6 +87,35 @@ def resolve_keys(keys: DataFrame, providers: list[Provider]) -> DataFrame:
     )
 
 
+def resolve_keys_in_turn(keys: DataFrame, providers: list[Provider]) -> DataFrame:
+    """``resolve_keys``, one provider after the other: each is asked only for the keys that those before it miss.
+
+    What a provider answers is written (compact, one row a key). A Bloom
+    filter of the keys still open is applied to the next provider's snapshot
+    before its responses are parsed, the exact join behind it; so where the
+    first provider answers nine keys of ten, the second parses about a tenth.
+    Above MAX_KEYS open keys there is no filter, and all are parsed.
+    """
+    spark = keys.sparkSession
+    left, parts, asked, n = keys, [], None, 0
+    ordered = _ordered(providers)
+    for i, p in enumerate(ordered):
+        found = left.join(p.hits(asked, n).withColumnRenamed("meta", "_m"), "isbn", "left")
+        found = found.select(*keys.columns, F.when(F.col("_m").isNotNull(), F.lit(p.name)).alias("provider"), F.col("_m").alias("meta"))
+        if i + 1 < len(ordered):
+            path, seen = scratch_path(spark, "turn", unique=True), Observation()
+            found.observe(seen, F.count_if(F.col("provider").isNull()).alias("open")).write.parquet(path)
+            found, n = spark.read.schema(found.schema).parquet(path), seen.get["open"] or 0
+            left = found.where(F.col("provider").isNull()).select(*keys.columns)
+            asked = key_filter(left, n)
+            found = found.where(F.col("provider").isNotNull())
+        parts.append(found)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("error", F.when(F.col("provider").isNull(), F.lit(fixed.MSG_UNRESOLVED)))
+
+
 def fallback_keys(keys: DataFrame, providers: list[Provider]) -> DataFrame:
     """J2 input: keys the first provider does not answer (left anti join)."""
     first = _ordered(providers)[0]
@@ -100,9 +132,19 @@ def unresolved_ids(keys: DataFrame, providers: list[Provider]) -> DataFrame:
     return resolve_keys(keys, providers).where(F.col("error").isNotNull()).select("isbn", "error")
 
 
+def counted(valid: DataFrame) -> tuple[DataFrame, int, int]:
+    """``key_counts`` written once, the number of rows and the most that one key has (observed while writing)."""
+    spark = valid.sparkSession
+    path, seen = scratch_path(spark, "keys", unique=True), Observation()
+    counts = key_counts(valid)
+    counts.observe(seen, F.sum("n").alias("total"), F.max("n").alias("most")).write.parquet(path)
+    found = seen.get
+    return spark.read.schema(counts.schema).parquet(path), found["total"] or 0, found["most"] or 0
+
+
 def attach(valid: DataFrame, resolved: DataFrame,
            rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-           counts: DataFrame | None = None) -> DataFrame:
+           counts: DataFrame | None = None, total: int | None = None, most: int | None = None) -> DataFrame:
     """Join each input row to its key's result, splitting hot keys.
 
     ``resolved`` carries ``n`` (rows per key). A key with more than ``limit``
@@ -110,16 +152,23 @@ def attach(valid: DataFrame, resolved: DataFrame,
     by their ``ROW`` identity and its single result row is copied once per
     salt. ``limit`` is ``rows_per_split``, or ``N / MAX_SPLIT_KEYS`` when that
     is more, so fewer than MAX_SPLIT_KEYS keys can be above it: the split set
-    needs no cap. Every other key has at most ``limit`` rows. ``counts``
-    (``key_counts``), when given, feeds the split set directly instead of
-    ``resolved``. Rows without ``ROW`` are written once to get one.
+    needs no cap. Every other key has at most ``limit`` rows. If no key is
+    above it, a plain join does. ``counts`` (``key_counts``), when given,
+    feeds the split set directly instead of ``resolved``; ``total`` and
+    ``most`` are the sum and the largest of its counts, if the caller has
+    them. Rows without ``ROW`` are written once to get one if they need it.
     """
+    counts = counts if counts is not None else resolved
+    if total is None or most is None:
+        seen = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+        total, most = seen["total"] or 0, seen["most"] or 0
+    limit = max(rows_per_split, -(-total // MAX_SPLIT_KEYS))
+    if most <= limit:
+        return valid.drop(ROW).join(resolved.drop("n"), "isbn", "left")
     if ROW not in valid.columns:
         valid = numbered(valid)
-    limit = max(rows_per_split, -(-valid.count() // MAX_SPLIT_KEYS))
     splits = F.ceil(F.col("n") / F.lit(limit)).cast("int")
-    hot = F.broadcast((counts if counts is not None else resolved).where(F.col("n") > limit)
-                      .select("isbn", splits.alias("_splits")))
+    hot = F.broadcast(counts.where(F.col("n") > limit).select("isbn", splits.alias("_splits")))
     left = (valid.join(hot, "isbn", "left")
             .withColumn("_salt", F.pmod(F.col(ROW), F.coalesce(F.col("_splits"), F.lit(1))).cast("int"))
             .drop("_splits", ROW))
@@ -136,9 +185,19 @@ def resolve(valid: DataFrame, providers: list[Provider],
     Output: the input columns + ``provider``, ``meta`` (STRUCT, NULL when
     unresolved) and ``error`` (NULL when resolved).
     """
-    valid = valid if ROW in valid.columns else numbered(valid)
-    counts = key_counts(valid)
-    return attach(valid, resolve_keys(counts, providers), rows_per_split, counts)
+    counts, total, most = counted(valid)
+    return attach(valid, resolve_keys_in_turn(counts, providers), rows_per_split, counts, total, most)
+
+
+def first_results(valid: DataFrame, rows: int, lookup: DataFrame) -> DataFrame:
+    """The results of the first ``rows`` valid rows by ``pos``: a top-k before any join.
+
+    At most ``rows`` keys are looked up, so they are what a join broadcasts.
+    """
+    top = valid.orderBy("pos").limit(rows)
+    keys = F.broadcast(top.select("isbn").distinct())
+    hits = lookup.select("isbn", "provider", "meta").join(keys, "isbn", "left_semi")
+    return resolve_keys_with_lookup(top, hits)
 
 
 def lookup_table(providers: list[Provider]) -> DataFrame:
@@ -179,6 +238,5 @@ def resolve_keys_with_lookup(keys: DataFrame, lookup: DataFrame) -> DataFrame:
 def resolve_with_lookup(valid: DataFrame, lookup: DataFrame,
                         rows_per_split: int = DEFAULT_ROWS_PER_SPLIT) -> DataFrame:
     """``resolve`` against a prepared lookup table; same output columns."""
-    valid = valid if ROW in valid.columns else numbered(valid)
-    counts = key_counts(valid)
-    return attach(valid, resolve_keys_with_lookup(counts, lookup), rows_per_split, counts)
+    counts, total, most = counted(valid)
+    return attach(valid, resolve_keys_with_lookup(counts, lookup), rows_per_split, counts, total, most)

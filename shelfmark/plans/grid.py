@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.fields import isbn13_or_key, join_list, pages_text
+from ..operators.resolve import first_results
 from . import report as P
 
 
@@ -37,46 +38,71 @@ def sheet_rows(results: DataFrame, keep=("pos",)) -> DataFrame:
     )
 
 
+JOB = "job"
+
+
 def write_grid(rows: DataFrame, target: str, mode: str = "overwrite", fmt: str = "parquet",
-               as_table: bool = False) -> None:
+               as_table: bool = False, job: str | None = None) -> None:
     """K4 (mode='overwrite') / K5 (mode='append') / K6 (create if missing).
 
     Exactly the 9 grid columns are written. A ``pos`` column only orders the
     rows: part files concatenate in its order. Appending adds rows after the
     existing ones; the header is schema, never repeated as data.
+
+    With ``job``, an append is done once however often the job runs: its rows
+    are the target's partition of that name, which a repeated run stages and
+    exchanges for its own on commit (dynamic partition overwrite), and a run
+    that fails leaves as it was. A target is appended to with job names from
+    its first write on, or without.
     """
     out = P.in_order(rows).select(*fixed.GRID_HEADER) if "pos" in rows.columns else rows.select(*fixed.GRID_HEADER)
-    writer = out.write.mode(mode).format(fmt)
+    if job is not None:
+        out, keys = out.withColumn(JOB, F.lit(job)), {"partitionBy": [JOB]}
+    else:
+        keys = {}
+    spark = rows.sparkSession
+    new = as_table and not spark.catalog.tableExists(target)
+    again = job is not None and mode == "append"
+    writer = out.write.mode("overwrite" if again or new else mode).format(fmt)
+    if again:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = (writer.option("header", True).option("escape", '"')
                   .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-    if as_table:
-        spark = rows.sparkSession
-        if mode == "append" and not spark.catalog.tableExists(target):
-            writer = out.write.mode("overwrite").format(fmt)
-        writer.saveAsTable(target)
+    if as_table and again and not new:
+        writer.insertInto(target)
+    elif as_table:
+        writer.saveAsTable(target, **keys)
     else:
-        writer.save(target)
+        writer.save(target, **keys)
 
 
 def read_grid(spark: SparkSession, target: str, fmt: str = "parquet", as_table: bool = False) -> DataFrame:
+    """The 9 grid columns of a target, whichever jobs appended them."""
     if as_table:
-        return spark.table(target)
-    if fmt == "csv":
+        found = spark.table(target)
+    elif fmt == "csv":
         # A grid cell is never NULL: an empty cell reads back as ''.
-        return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-                .csv(target).na.fill(""))
-    return spark.read.format(fmt).load(target)
+        found = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+                 .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                 .csv(target).na.fill(""))
+    else:
+        found = spark.read.format(fmt).load(target)
+    return found.select(*[F.col(f"`{c}`") for c in fixed.GRID_HEADER])
 
 
-def preview_rows(rows: DataFrame) -> DataFrame:
-    """K7 data rows shown by a dry run: the first ones by ``pos``.
+# The preview shows PREVIEW_ROWS grid rows, the header among them.
+PREVIEW_DATA = fixed.PREVIEW_ROWS - 1
 
-    The preview shows PREVIEW_ROWS grid rows including the header, so this
-    is a top-k of PREVIEW_ROWS - 1 data rows (TakeOrderedAndProject).
-    """
-    return rows.orderBy("pos").limit(fixed.PREVIEW_ROWS - 1)
+
+def preview_rows(valid: DataFrame, lookup: DataFrame) -> DataFrame:
+    """K7 data rows shown by a dry run: the first valid rows by ``pos``, and no other, are resolved."""
+    return sheet_rows(first_results(valid, PREVIEW_DATA, lookup))
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """K7 rows of a grid that is there already (TakeOrderedAndProject)."""
+    return rows.orderBy("pos").limit(PREVIEW_DATA)
 
 
 def preview_report(rows: DataFrame, spreadsheet_id: str | None = None, output_range: str = "",
@@ -90,7 +116,7 @@ def preview_report(rows: DataFrame, spreadsheet_id: str | None = None, output_ra
     """
     total = (rows.count() if data_rows is None else data_rows) + 1
     head = [list(fixed.GRID_HEADER)] + [
-        [r[c] for c in fixed.GRID_HEADER] for r in preview_rows(rows).collect()
+        [r[c] for c in fixed.GRID_HEADER] for r in first_rows(rows).collect()
     ]
     body = [fixed.PREVIEW_TOTAL % total, ""]
     body += [fixed.PREVIEW_ROW % (i + 1, " ".join(str(v) for v in row)) for i, row in enumerate(head)]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 from ..operators.providers import Provider
-from ..operators.resolve import (DEFAULT_ROWS_PER_SPLIT, ROW, attach, key_counts, read_numbered, resolve_keys,
+from ..operators.resolve import (DEFAULT_ROWS_PER_SPLIT, ROW, attach, key_counts, read_numbered, resolve_keys_in_turn,
                                  resolve_keys_with_lookup)
 from ..operators.summary import summary_distinct, summary_rows
 from ..operators.validate import classify, rejected_ids, valid_ids
@@ -36,6 +36,8 @@ class JobResult:
     summary_keys: DataFrame   # A2 totals (distinct failed keys)
     work_dir: str
     input_counts: dict        # A3: rows_read, rows_valid (observed while writing)
+    valid: DataFrame          # the classified valid rows
+    keys: DataFrame           # their distinct keys with counts, provider, meta and error
 
     def close(self) -> None:
         """Remove the job's working tables; its frames can't be read after that."""
@@ -68,11 +70,13 @@ def run_resolve(spark: SparkSession, ids: DataFrame, providers: list[Provider] |
     classified = read_numbered(spark, f"{work}/classified")
     valid = valid_ids(classified)
     counts = key_counts(valid)
-    keys = resolve_keys_with_lookup(counts, lookup) if lookup is not None else resolve_keys(counts, providers)
-    keys.write.parquet(f"{work}/keys")
+    keys = resolve_keys_with_lookup(counts, lookup) if lookup is not None else resolve_keys_in_turn(counts, providers)
+    most = Observation("most_rows")
+    keys.observe(most, F.max("n").alias("n")).write.parquet(f"{work}/keys")
     keys = spark.read.parquet(f"{work}/keys")
-    results = attach(valid, keys, rows_per_split)
-    return JobResult(results, rejected_ids(classified).drop(ROW), summary_rows(keys), summary_distinct(keys), work, read)
+    results = attach(valid, keys, rows_per_split, total=read["rows_valid"], most=most.get["n"] or 0)
+    return JobResult(results, rejected_ids(classified).drop(ROW), summary_rows(keys), summary_distinct(keys), work, read,
+                     valid.drop(ROW), keys)
 
 
 def write_report(job: JobResult, out: str, fmt: str = "csv") -> None:
@@ -90,11 +94,13 @@ def write_report(job: JobResult, out: str, fmt: str = "csv") -> None:
 
 
 def write_sheet(job: JobResult, target: str, mode: str = "overwrite", fmt: str = "parquet",
-                as_table: bool = False, dry_run: bool = False) -> list[str] | None:
-    """C2 sink: grid rows to a path or table; a dry run only previews."""
-    rows = G.sheet_rows(job.results)
+                as_table: bool = False, dry_run: bool = False, job_name: str | None = None) -> list[str] | None:
+    """C2 sink: grid rows to a path or table; a dry run only previews.
+
+    With ``job_name``, appending the same job again replaces its rows.
+    """
     if dry_run:
-        total = job.summary.first()["total"]
-        return G.preview_report(rows, spreadsheet_id=target, data_rows=total)
-    G.write_grid(rows, target, mode=mode, fmt=fmt, as_table=as_table)
+        rows = G.preview_rows(job.valid, job.keys)
+        return G.preview_report(rows, spreadsheet_id=target, data_rows=job.input_counts["rows_valid"])
+    G.write_grid(G.sheet_rows(job.results), target, mode=mode, fmt=fmt, as_table=as_table, job=job_name)
     return None

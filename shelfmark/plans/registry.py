@@ -22,7 +22,7 @@ from ..operators.validate import classify, input_counts, rejected_ids, valid_ids
 from ..session import configure, parallelism, scratch_path
 from ..sources.lines import ids_from_column, read_id_lines
 from ..sources.sheets import read_grid_export, read_grid_manifest, sheet_column_ids, sheet_row_count
-from ..streaming.ids import clean_ids_to, resolve_stream
+from ..streaming.ids import clean_ids_to, hot_keys, resolve_stream, resolved_stream, stream_summary
 from . import grid as G
 from . import report as P
 
@@ -225,7 +225,7 @@ def q_json_entries(spark, sf):
 
 
 def q_preview_rows(spark, sf):
-    return G.preview_rows(G.sheet_rows(_results(spark, sf)))
+    return G.preview_rows(_valid(spark, sf), _lookup(spark, sf))
 
 
 def q_sheet_append(spark, sf):
@@ -236,6 +236,15 @@ def q_sheet_append(spark, sf):
     return G.read_grid(spark, target)
 
 
+def q_sheet_append_jobs(spark, sf):
+    """K5 with job names: one job appends twice, as after a failure, and another once."""
+    rows = G.sheet_rows(_results(spark, sf))
+    target = scratch_path(spark, "grid", "append-jobs", unique=True)
+    for job in ("monday", "monday", "tuesday"):
+        G.write_grid(rows, target, mode="append", job=job)
+    return G.read_grid(spark, target)
+
+
 def q_sheet_round_trip(spark, sf):
     """Grid export -> cell cleaning -> classify -> resolve -> grid write."""
     configure(spark)
@@ -270,15 +279,42 @@ def _bucketed_lookup(spark, sf):
     return name
 
 
-def q_stream_resolve(spark, sf):
+def _streamed(spark, sf, summary=None):
+    """All id lines streamed in STREAM_BATCHES micro-batches; the folder of the result rows."""
     configure(spark)
     folder = D.materialize(spark, sf, "id_lines")
     out = scratch_path(spark, "stream", "resolve", unique=True)
     files = len(spark.read.text(folder).inputFiles())
     q = resolve_stream(spark, folder, _bucketed_lookup(spark, sf), out + "/data", out + "/rejects", out + "/checkpoint",
-                       project=lambda r: P.csv_rows(r, keep=()), max_files_per_trigger=max(1, -(-files // STREAM_BATCHES)))
+                       project=lambda r: P.csv_rows(r, keep=()), max_files_per_trigger=max(1, -(-files // STREAM_BATCHES)),
+                       summary=summary)
+    q.awaitTermination()
+    return out + "/data"
+
+
+def q_stream_resolve(spark, sf):
+    return spark.read.parquet(_streamed(spark, sf)).drop("epoch")
+
+
+def q_stream_summary(spark, sf):
+    """A1-A4 of the streamed run, merged from its epochs."""
+    summary = scratch_path(spark, "stream", "summary", unique=True)
+    _streamed(spark, sf, summary)
+    return stream_summary(spark, summary)
+
+
+def q_stream_join_hot(spark, sf):
+    """C3 as one streaming plan over the skewed ids: a hot key's rows are dealt to several salts."""
+    configure(spark)
+    folder = D.materialize(spark, sf, "id_lines_skewed")
+    hot = hot_keys(R.key_counts(valid_ids(D.load(spark, sf, "raw_ids_skewed"))), SKEWED_ROWS_PER_SPLIT)
+    out = scratch_path(spark, "stream", "join", unique=True)
+    rows = resolved_stream(spark, folder, _lookup(spark, sf), hot)
+    rows = rows.select("isbn", "provider", F.col("meta.title").alias("title"), "error")
+    q = (rows.writeStream.format("parquet").option("path", out + "/data").option("checkpointLocation", out + "/checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out + "/data").drop("epoch")
+    return spark.read.schema(rows.schema).parquet(out + "/data")
 
 
 # --- volume ------------------------------------------------------------------
@@ -342,9 +378,12 @@ QUERIES: dict[str, Query] = {
     "json_entries": q_json_entries,
     "preview_rows": q_preview_rows,
     "sheet_append": q_sheet_append,
+    "sheet_append_jobs": q_sheet_append_jobs,
     "sheet_round_trip": q_sheet_round_trip,
     "stream_clean_ids": q_stream_clean_ids,
     "stream_resolve": q_stream_resolve,
+    "stream_summary": q_stream_summary,
+    "stream_join_hot": q_stream_join_hot,
     "resolve_skewed": q_resolve_skewed,
     "resolve_identical_rows": q_resolve_identical_rows,
     "bench_classify_large": q_bench_classify_large,

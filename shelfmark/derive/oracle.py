@@ -334,6 +334,8 @@ def oracle_sql() -> dict[str, str]:
         "resolve_chain": base + f"SELECT {res_cols} FROM results",
         "fallback_keys": base + "SELECT k.isbn FROM keys k WHERE NOT EXISTS "
                                 "(SELECT 1 FROM exp_a a WHERE a.isbn = k.isbn)",
+        "lookup_upkeep": _with(EXPECTED) + (
+            f"SELECT {prov_cols} FROM exp_a UNION ALL SELECT {prov_cols} FROM exp_b b WHERE NOT EXISTS (SELECT 1 FROM exp_a a WHERE a.isbn = b.isbn)"),
         "unresolved_ids": base + "SELECT isbn, error FROM best WHERE error IS NOT NULL",
         "resolved_ids": base + "SELECT isbn, provider FROM best WHERE error IS NULL",
         "summary_rows": base + "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, "

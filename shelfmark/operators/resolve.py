@@ -213,6 +213,11 @@ def lookup_table(providers: list[Provider]) -> DataFrame:
     for rank, p in enumerate(_ordered(providers)):
         h = p.hits().select("isbn", F.lit(rank).alias("rank"), F.lit(p.name).alias("provider"), "meta")
         hits = h if hits is None else hits.unionByName(h)
+    return priority_pick(hits)
+
+
+def priority_pick(hits: DataFrame) -> DataFrame:
+    """``(isbn, provider, meta)``: of each key's hits the one with the smallest ``rank``."""
     best = hits.groupBy("isbn").agg(F.min_by(F.struct("provider", "meta"), F.col("rank")).alias("w"))
     return best.select("isbn", F.col("w.provider").alias("provider"), F.col("w.meta").alias("meta"))
 

@@ -18,6 +18,7 @@ from ..functions.isbn import isbn10_to_13, is_isbn10, is_isbn13, normalize_id
 from ..operators import resolve as R
 from ..operators.providers import default_providers
 from ..operators.summary import summary_distinct, summary_rows
+from ..operators.upkeep import lookup_from_responses, merge_responses, save_responses
 from ..operators.validate import classify, input_counts, rejected_ids, valid_ids
 from ..session import configure, parallelism, scratch_path
 from ..sources.lines import ids_from_column, read_id_lines
@@ -190,6 +191,21 @@ def q_fallback_keys(spark, sf):
     return R.fallback_keys(R.key_counts(_valid(spark, sf)), _providers(spark, sf)).select("isbn")
 
 
+# Folders of the response store that the registered merge works on.
+STORE_BUCKETS = 16
+
+
+def q_lookup_upkeep(spark, sf):
+    """A store made from three quarters of the responses; then others, some of them the same ones, are merged."""
+    configure(spark)
+    snapshots = D.load(spark, sf, "snapshot_a"), D.load(spark, sf, "snapshot_b")
+    part = F.crc32("isbn") % 4
+    path = scratch_path(spark, "responses", "store", unique=True)
+    save_responses(default_providers(*[s.where(part != 1) for s in snapshots]), path, STORE_BUCKETS)
+    merge_responses(spark, default_providers(*[s.where(part.isin(1, 2)) for s in snapshots]), path, STORE_BUCKETS)
+    return lookup_from_responses(spark, path).select("isbn", "provider", *_flat_meta())
+
+
 def q_unresolved_ids(spark, sf):
     return R.unresolved_ids(R.key_counts(_valid(spark, sf)), _providers(spark, sf))
 
@@ -368,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "resolve": q_resolve,
     "resolve_chain": q_resolve_chain,
     "fallback_keys": q_fallback_keys,
+    "lookup_upkeep": q_lookup_upkeep,
     "unresolved_ids": q_unresolved_ids,
     "resolved_ids": q_resolved_ids,
     "summary_rows": q_summary_rows,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
 from .._util import with_once
 from ..functions.fields import is_sheet_header, range_cells
 from ..functions.isbn import trim_space
-from .blocks import BLOCK, block_lines, running_total, written
+from .blocks import block_lines, written
 
 
 def _column_number(letters: str) -> int:
@@ -51,10 +51,6 @@ _QUOTE_THEN = {
 _KEEPS, _TURNS, _ENDS, _OPENS = range(4)
 
 
-def _text_kind(text: Column) -> Column:
-    return F.when(text == "", 0).when(text.endswith(","), 1).otherwise(2)
-
-
 def line_effect(value: str = "value") -> Column:
     """What a line does to the state of its row: the quote automaton run from both states that a line can begin in.
 
@@ -62,63 +58,90 @@ def line_effect(value: str = "value") -> Column:
     cell, plus the one from inside), so a line is walked once, quote by quote.
     """
     pairs = [4 * _QUOTE_THEN[a][k] + _QUOTE_THEN[b][k] for a in range(4) for b in range(4) for k in range(3)]
-    table = F.array(*[F.lit(p) for p in pairs])
-    parts = F.split(value, '"')
-    head = F.when((parts[0] == "") | parts[0].endswith(","), 4 * _START + _QUOTED).otherwise(4 * _PLAIN + _QUOTED)
-    end = F.aggregate(F.slice(parts, 2, F.size(parts) - 1), head, lambda s, x: F.get(table, s * 3 + _text_kind(x)))
-    out, inside = F.shiftright(end, 2) == _QUOTED, end.bitwiseAND(F.lit(3)) == _QUOTED
-    effect = F.when(out & inside, _OPENS).when(out, _TURNS).when(inside, _KEEPS).otherwise(_ENDS)
-    return F.when(F.contains(value, F.lit('"')), effect).otherwise(_KEEPS)
-
-
-def _states(lines: DataFrame, effect: str, order: list[str], part: list[str]) -> DataFrame:
-    """``lines`` with the state before each: ``open`` if it does not depend on how ``part`` begins, else ``open`` turned
-    by that beginning (``free``). Effects compose: the last one that sets the state counts, and the turns since."""
-    upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    sets = F.col(effect).isin(_ENDS, _OPENS)
-    turns = lines.withColumn("_turns", F.sum((F.col(effect) == _TURNS).cast("int")).over(upto))
-    last = F.last(F.when(sets, F.struct((F.col(effect) == _OPENS).cast("int").alias("open"), F.col("_turns").alias("turns"))), ignorenulls=True)
-    seen = turns.withColumn("_last", last.over(before)).withColumn("_before", F.coalesce(F.max("_turns").over(before), F.lit(0)))
-    value = (F.coalesce("_last.open", F.lit(0)) + F.col("_before") - F.coalesce("_last.turns", F.lit(0))) % 2
-    return seen.withColumn("open", value.cast("int")).withColumn("free", F.col("_last").isNull()).drop("_turns", "_last", "_before")
-
-
-def _after(effect: str, state: Column) -> Column:
-    e = F.col(effect)
-    return F.when(e == _KEEPS, state).when(e == _TURNS, 1 - state).when(e == _OPENS, 1).otherwise(0)
-
-
-def _block_table(lines: DataFrame) -> DataFrame:
-    """One row a block: ``start`` (its first line goes on with an open cell), ``base`` (rows of the file before it),
-    ``over`` (rows of all files before it), ``simple`` (each of its lines is a row). Only lines with quotes are looked at
-    in order, and without their text."""
-    blocks = lines.groupBy(*BLOCK).agg(F.min("at").alias("first"), F.max("at").alias("end"),
-                                       F.max(F.col("effect").isin(_TURNS, _OPENS).cast("int")).alias("opens"))
-    quoted = _states(lines.where(F.col("effect") != _KEEPS).select(*BLOCK, "at", "effect"), "effect", ["at"], BLOCK)
-    upcoming = F.lead("at").over(Window.partitionBy(*BLOCK).orderBy("at"))
-    runs = quoted.withColumn("after", _after("effect", F.col("open"))).withColumn("next", upcoming)
-    runs = runs.join(blocks.select(*BLOCK, "first", "end"), BLOCK)
-    # Lines up to the next quoted one begin in the state after this one.
-    long = F.coalesce("next", "end") - F.col("at")
-    loose = F.col("free") & F.col("effect").isin(_KEEPS, _TURNS)   # the state after it still depends on the block's start
-    sums = runs.groupBy(*BLOCK).agg(
-        F.min("at").alias("q"),
-        F.sum(F.when(~loose & (F.col("after") == 1), long).otherwise(0)).alias("inner"),
-        F.sum(F.when(loose & (F.col("after") == 1), long).otherwise(0)).alias("inner0"),
-        F.sum(F.when(loose & (F.col("after") == 0), long).otherwise(0)).alias("inner1"),
-        F.max_by(F.struct("after", loose.alias("loose")), "at").alias("last"))
-    b = blocks.join(sums, BLOCK, "left")
-    # Lines that go on with an open cell, if the block begins outside (0) or inside (1) one.
-    lead = F.coalesce("q", "end") - F.col("first") + 1
-    on = [F.coalesce(F.col("inner") + F.col("inner0"), F.lit(0)), F.coalesce(F.col("inner") + F.col("inner1"), F.lit(0)) + lead]
-    out = F.when(F.col("last").isNull(), _KEEPS).when(F.col("last.loose") & (F.col("last.after") == 0), _KEEPS) \
-        .when(F.col("last.loose"), _TURNS).when(F.col("last.after") == 1, _OPENS).otherwise(_ENDS)
-    b = _states(b.select(*BLOCK, "first", "end", "opens", *[c.alias(f"on{i}") for i, c in enumerate(on)], out.alias("effect")), "effect", ["block"], ["file"])
-    # A file begins outside, so the state is known everywhere.
-    b = b.withColumn("rows", F.col("end") - F.col("first") + 1 - F.when(F.col("open") == 1, F.col("on1")).otherwise(F.col("on0")))
-    return b.select(*BLOCK, "first", F.col("open").alias("start"), "rows", ((F.col("open") == 0) & (F.col("opens") == 0)).alias("simple"),
-                    running_total("rows", ["block"], ["file"]).alias("base"), running_total("rows", BLOCK).alias("over"))
+    return F.expr(f"""
+      CASE WHEN contains({value}, '"') THEN
+        element_at(array({_EFFECT_OF}), aggregate(
+          slice(split({value}, '"'), 2, length({value}) + 1),
+          IF(split({value}, '"')[0] = '' OR endswith(split({value}, '"')[0], ','), {4 * _START + _QUOTED}, {4 * _PLAIN + _QUOTED}),
+          (s, x) -> element_at(array({", ".join(map(str, pairs))}), 3 * s + CASE WHEN x = '' THEN 1 WHEN endswith(x, ',') THEN 2 ELSE 3 END)) + 1)
+      ELSE {_KEEPS} END""")
+
+
+# The effect of a pair of end states, by its number.
+_EFFECT_OF = ", ".join(str((_OPENS if inside else _TURNS) if out else (_KEEPS if inside else _ENDS))
+                       for out in (a == _QUOTED for a in range(4)) for inside in (b == _QUOTED for b in range(4)))
+
+# State after a line that begins in state {0}.
+_AFTER_SQL = f"CASE effect WHEN {_KEEPS} THEN {{0}} WHEN {_TURNS} THEN 1 - {{0}} WHEN {_OPENS} THEN 1 ELSE 0 END"
+
+
+def _with_states(source: str, window: str) -> str:
+    """SQL for ``source`` with the state before each row in the order of ``window``: ``open`` if it does not depend on
+    how the window's part begins, else ``open`` turned by that beginning (``free``). Effects compose: the last that
+    sets the state counts (it and the turns up to it are one number, ``held``), and the turns since."""
+    upto = f"({window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"({window} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""(
+      SELECT * EXCEPT (turns, held, turned), held IS NULL AS free,
+        int((coalesce(held, 0) % 2 + turned - coalesce(held, 0) DIV 2) % 2) AS open
+      FROM (SELECT *, coalesce(max(turns) OVER {before}, 0) AS turned,
+                   last(CASE WHEN effect IN ({_ENDS}, {_OPENS}) THEN 2 * turns + int(effect = {_OPENS}) END, true) OVER {before} AS held
+            FROM (SELECT *, sum(int(effect = {_TURNS})) OVER {upto} AS turns FROM {source})))"""
+
+
+# One row a block. Only lines with quotes are looked at in order, and without their text. Lines that go on with an open
+# cell, if the block begins outside (on0) or inside (on1) one, are those before the first quoted line and that line,
+# those between quoted lines, and those after the last one: lines up to the next quoted one begin in the state after
+# this one. A file begins outside whatever the file before it ends with, so the state is known everywhere.
+_BLOCKS_SQL = f"""
+WITH runs AS (
+  SELECT *, lead(at) OVER (PARTITION BY file, block ORDER BY at) - at AS long,
+    {_AFTER_SQL.format("open")} AS after, free AND effect = {_TURNS} AS loose
+  FROM {_with_states(f"(SELECT file, block, at, effect FROM {{lines}} WHERE effect <> {_KEEPS})", "PARTITION BY file, block ORDER BY at")}),
+sums AS (
+  SELECT file, block, min(at) AS q, max(at) AS z, max(CASE WHEN long IS NULL THEN after + 2 * int(loose) END) AS last,
+    coalesce(sum(CASE WHEN NOT loose AND after = 1 THEN long END), 0) AS inner,
+    coalesce(sum(CASE WHEN loose AND after = 1 THEN long END), 0) AS inner0,
+    coalesce(sum(CASE WHEN loose AND after = 0 THEN long END), 0) AS inner1
+  FROM runs GROUP BY file, block),
+blocks AS (
+  SELECT file, block, min(at) AS first, max(at) AS end, max(int(effect IN ({_TURNS}, {_OPENS}))) AS opens
+  FROM {{lines}} GROUP BY file, block),
+effects AS (
+  SELECT file, block, first, end, opens,
+    coalesce(inner + inner0 + last % 2 * (end - z), 0) AS on0,
+    coalesce(inner + inner1 + IF(last >= 2, 1 - last % 2, last % 2) * (end - z), 0) + coalesce(q, end) - first + 1 AS on1,
+    CASE WHEN lead(file) OVER (ORDER BY file, block) <> file THEN {_ENDS}
+         WHEN last IS NULL OR last = 2 THEN {_KEEPS} WHEN last = 3 THEN {_TURNS} WHEN last = 1 THEN {_OPENS} ELSE {_ENDS} END AS effect
+  FROM blocks LEFT JOIN sums USING (file, block)),
+placed AS (
+  SELECT *, coalesce(sum(end - first + 1 - IF(open = 1, on1, on0))
+                     OVER (ORDER BY file, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over
+  FROM {_with_states("effects", "ORDER BY file, block")}),
+shifted AS (
+  SELECT *, max(IF(begins, over, NULL)) OVER (ORDER BY file, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shift
+  FROM (SELECT *, coalesce(lag(file) OVER (ORDER BY file, block) <> file, true) AS begins FROM placed))
+SELECT file, block, first, open AS start, open = 0 AND opens = 0 AS simple, over - shift AS base, shift FROM shifted
+"""
+
+# Every line of a block that is not simple, with its row in the file, and the states before and after it.
+_MIXED_SQL = f"""
+SELECT file, block, at, value, shift, before, {_AFTER_SQL.format("before")} AS after,
+  base + sum(1 - before) OVER (PARTITION BY file, block ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS row
+FROM (SELECT *, IF(free AND start = 1, 1 - open, open) AS before
+      FROM {_with_states("(SELECT * FROM {lines} JOIN {blocks} USING (file, block) WHERE NOT simple)", "PARTITION BY file, block ORDER BY at")})
+"""
+
+_RECORDS_SQL = f"""
+WITH mixed AS ({_MIXED_SQL}),
+several AS (
+  SELECT file, row, shift, sort_array(collect_list(struct(block, at, value))) AS parts
+  FROM mixed WHERE before = 1 OR after = 1 GROUP BY file, row, shift)
+SELECT file, row, shift + row AS number, text FROM (
+  SELECT file, base + at - first + 1 AS row, shift, value AS text FROM {{lines}} JOIN {{blocks}} USING (file, block) WHERE simple
+  UNION ALL SELECT file, row, shift, value FROM mixed WHERE before = 0 AND after = 0
+  UNION ALL SELECT file, row, shift, array_join(parts.value, '\\n') FROM several)
+"""
 
 
 def read_grid_records(spark: SparkSession, path: str) -> DataFrame:
@@ -136,20 +159,8 @@ def read_grid_records(spark: SparkSession, path: str) -> DataFrame:
     quoted cell that is never closed reaches to the end of its file.
     """
     lines = block_lines(spark, path, effect=line_effect())
-    blocks = written(_block_table(lines), "grid-blocks")
-    placed = lines.join(blocks, BLOCK).withColumn("shift", F.col("over") - F.col("base"))
-    simple = placed.where("simple").select("file", (F.col("base") + F.col("at") - F.col("first") + 1).alias("row"), "shift", F.col("value").alias("text"))
-    mixed = _states(placed.where("not simple").select(*BLOCK, "at", "value", "effect", "start", "base", "shift"), "effect", ["at"], BLOCK)
-    before = F.when(F.col("free") & (F.col("start") == 1), 1 - F.col("open")).otherwise(F.col("open"))
-    mixed = mixed.withColumn("before", before).withColumn("after", _after("effect", F.col("before")))
-    upto = Window.partitionBy(*BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mixed = mixed.withColumn("row", F.col("base") + F.sum(1 - F.col("before")).over(upto))
-    alone = (F.col("before") == 0) & (F.col("after") == 0)
-    single = mixed.where(alone).select("file", "row", "shift", F.col("value").alias("text"))
-    parts = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
-    several = mixed.where(~alone).groupBy("file", "row", "shift").agg(F.array_join(parts.getField("value"), "\n").alias("text"))
-    rows = simple.unionByName(single).unionByName(several)
-    return rows.select("file", "row", (F.col("shift") + F.col("row")).alias("number"), "text")
+    blocks = written(spark.sql(_BLOCKS_SQL, lines=lines), "grid-blocks")
+    return spark.sql(_RECORDS_SQL, lines=lines, blocks=blocks)
 
 
 def _cells(text: str, columns: int) -> Column:

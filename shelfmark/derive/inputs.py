@@ -16,11 +16,10 @@ import hashlib
 import os
 import threading
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import path_exists, scratch_path
 
 def _code_tag() -> str:
     """Hash of the package source: any change to a derivation rule or to the
@@ -413,12 +412,8 @@ def _marker(path: str) -> str:
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    """True if ``path`` was written completely (its marker table exists)."""
-    try:
-        spark.read.parquet(_marker(path))
-        return True
-    except AnalysisException:
-        return False
+    """True if ``path`` was written completely (its marker table is there, and complete)."""
+    return path_exists(spark, _marker(path) + "/_SUCCESS")
 
 
 def _mark_complete(spark: SparkSession, path: str) -> None:

@@ -44,6 +44,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, in whatever file system holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "shelfmark") -> SparkSession:
     """A local session for tests and benches (UI off)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -52,6 +52,40 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("\\b"), F.lit("\\"))
 
 
+#: Events of a turn are at most so many; the next turn's message comes after them.
+EVENTS = 8
+
+
+def as_log(turns: DataFrame) -> DataFrame:
+    """The log of events that writing the rows (conv_id, turn, role, text) in the order of ``turn`` leaves behind.
+
+    Every fourth turn of a conversation is sent as a whole; one comes in two
+    pieces, one is typed, goes on and is edited, one is answered, regenerated
+    (what was answered goes with it) and streamed anew. Folding the log gives
+    the rows back. Rows with equal turns follow in the order of role and text.
+    """
+    rows = pick(turns, conv_id="conv_id", turn="turn", role="role", text="text")
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("role", F.coalesce("role", F.lit("")))
+    place = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    rows = rows.withColumn("n", F.row_number().over(place).cast("bigint"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring("text", F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+
+    def event(at: int, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    none = F.lit("")
+    events = (F.when(F.col("n") % 4 == 0, F.array(event(0, "message", F.col("text"))))
+              .when(F.col("n") % 4 == 1, F.array(event(0, "message", head), event(1, "delta", tail)))
+              .when(F.col("n") % 4 == 2, F.array(event(0, "message", tail), event(1, "delta", head), event(2, "edit", F.col("text"))))
+              .otherwise(F.array(event(0, "message", tail), event(1, "message", head), event(2, "regenerate", none),
+                                 event(3, "delta", head), event(4, "delta", tail))))
+    log = rows.select("conv_id", "n", "role", F.explode(events).alias("e"))
+    started = F.col("e.kind") == "message"
+    return log.select("conv_id", (F.col("n") * EVENTS + F.col("e.at")).alias("seq"), "e.kind",
+                      F.when(~started, F.col("n") * EVENTS).alias("target"), F.when(started, F.col("role")).alias("role"), "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, seq, role, text) of the messages that stand at the end of the log."""
     log = pick(events, conv_id="conv_id", seq="seq", kind="kind", target="target", role="role", text="text")

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +88,16 @@ def worker_state(owner: str) -> dict:
         pa.default_memory_pool().release_unused()
         state["owner"] = owner
     return state
+
+
+def shipped(spark: SparkSession, model: object) -> Broadcast[bytes]:
+    """A broadcast of ``model`` with its class by value, so that workers need no copy of this package to read it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(shared: Broadcast[bytes]):
+    """The model of a ``shipped`` broadcast; a worker makes it once and keeps the last one."""
+    state, data = vars(sys).setdefault("_shelfmark_llm_received", {}), shared.value
+    if state.get("data") is not data:
+        state["data"], state["model"] = data, cloudpickle.loads(data)
+    return state["model"]

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, slices
+from shelfmark.llm.common import pick, received, shipped, slices, stored
 
 TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -102,11 +102,11 @@ class Index:
 
 
 def build(rows: list[tuple[int, str, str | None]], df: dict[str, int] | None = None, total: int | None = None,
-          mean: float | None = None) -> Index:
+          mean: float | None = None, longest: int = 0) -> Index:
     """Index of (item_id, question or whole text, answer) rows; without an answer the text is one part.
 
-    ``df``, ``total`` and ``mean`` are statistics of the whole benchmark when
-    the rows are one shard of it.
+    ``df``, ``total``, ``mean`` and ``longest`` are statistics of the whole
+    benchmark when the rows are one shard of it.
     """
     parts = []
     for item, text, answer in rows:
@@ -135,7 +135,7 @@ def build(rows: list[tuple[int, str, str | None]], df: dict[str, int] | None = N
         most[k] = weights[-1].max()
         np.maximum.at(block_most[k], items[-1] // size, weights[-1].astype(np.float32))
     return Index([x[0] for x in parts], [x[1] for x in parts], [x[2] for x in parts], vocabulary, items, weights,
-                 most, block_most, size, max([LEAST_SEGMENT, *lengths]))
+                 most, block_most, size, max([LEAST_SEGMENT, longest, *lengths]))
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -249,16 +249,23 @@ def _shards(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str |
     if n == 1:
         yield build([tuple(r) for r in rows.collect()])
         return
-    term = F.regexp_extract_all(F.lower(F.concat_ws(" ", "text", "answer")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    every = rows.select("item_id", term.alias("t"))
-    total, mean = every.filter(F.size("t") > 0).agg(F.count("*"), F.avg(F.size("t"))).first()
-    df = every.select(F.explode(F.array_distinct("t")).alias("t")).groupBy("t").count()
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [tokens(t) + tokens(a) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in own], pa.int64()), pa.array([sorted(set(t)) for t in own], pa.list_(pa.string()))],
+                                             names=["shard", "n", "t"])
+
+    # The terms that the shards' own indexes count, so a shard scores as the whole benchmark would.
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    every = stored(rows.select("shard", "text", "answer").mapInArrow(terms, "shard int, n bigint, t array<string>").filter("n > 0"), "benchmark-terms")
+    total, mean, longest = every.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    df = stored(every.select(F.explode("t").alias("t")).groupBy("t").count(), "benchmark-df")
     for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        got = [tuple(r) for r in part.collect()]
-        own = part.select(F.explode(F.array_distinct(term)).alias("t")).distinct()
-        stats = defaultdict(lambda: 1, {r["t"]: r["count"] for r in df.join(own, "t").collect()})
-        yield build(got, stats, total, mean)
+        got = [(r["item_id"], r["text"], r["answer"]) for r in rows.filter(F.col("shard") == k).collect()]
+        own = every.filter(F.col("shard") == k).select(F.explode("t").alias("t")).distinct()
+        stats = {r["t"]: r["count"] for r in df.join(own, "t").collect()}
+        yield build(got, stats, total, mean, longest or 0)
 
 
 def _grouped(rows: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
@@ -274,10 +281,10 @@ def _grouped(rows: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
 
 
 def _ask(docs: DataFrame, index: Index, threshold: float, least: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = shipped(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = received(shared)
         for batch in slices(batches):
             for start, texts in _grouped(batch.column(2).to_pylist()):
                 if not any(texts) or not ix.ids:
@@ -319,10 +326,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """The documents, all columns as they are, that leak no test item (of any shard)."""
     at_text = docs.columns.index(text_col)
     for index in _shards(benchmark, item_col, item_text_col, answer_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = shipped(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ix = shared.value
+            ix = received(shared)
             for batch in slices(batches):
                 rows = batch.column(at_text).to_pylist()
                 for start, texts in _grouped(rows):

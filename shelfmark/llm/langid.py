@@ -7,8 +7,8 @@ backward gives each word a posterior over the languages, and the mean of these
 is the document's distribution.
 
 The model is fitted on a bounded sample of labelled rows (``DOCS_PER_LANG``
-documents of each language with at most ``WORDS_PER_DOC`` words of each; rows
-with the smallest hash of their id, so the same table gives the same model).
+documents of each language, each with its whole text; rows with the smallest
+hash of their id, so the same table gives the same model).
 Training chains splice pieces of documents of several languages, which is what
 makes the transitions say how likely a switch is. Scoring reads every word of
 every text.
@@ -39,14 +39,13 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, slices, worker_state
+from shelfmark.llm.common import pick, received, shipped, slices, worker_state
 
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
-#: Bounds of the fitting sample.
+#: Bound of the fitting sample: labelled documents of a language, each with its whole text.
 DOCS_PER_LANG = 250
-WORDS_PER_DOC = 400
 LEXICON_PER_LANG = 2000
 
 SPACE = 1 << 16
@@ -250,10 +249,7 @@ def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
     chosen = (rows.select("lang", "doc_id").withColumn("r", F.row_number().over(order))
               .filter(F.col("r") <= DOCS_PER_LANG).select("doc_id", "lang").distinct())
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}[\p{L}\p{M}]*)"), F.lit(1))
-    picked = (rows.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("w", w)
-              .filter(F.size("w") > 0)
-              .withColumn("from", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size("w") - WORDS_PER_DOC)).cast("int") + 1)
-              .select("doc_id", "lang", F.slice("w", F.col("from"), WORDS_PER_DOC).alias("w")))
+    picked = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("w", w).filter(F.size("w") > 0).select("doc_id", "lang", "w")
     return [(r["lang"], list(r["w"])) for r in picked.orderBy("lang", "doc_id", F.xxhash64("w")).collect()]
 
 
@@ -289,7 +285,7 @@ class Scorer:
 
 
 def _scorer(shared) -> Scorer:
-    state, model = worker_state("langid"), shared.value
+    state, model = worker_state("langid"), received(shared)
     if state.get("crf_of") != model.key:
         state["crf_of"], state["crf"] = model.key, Scorer(model)
     return state["crf"]
@@ -311,11 +307,11 @@ def _grouped(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, n_words, n_switches): score is the mean posterior of lang_pred."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, langs = _scorer(shared), shared.value.langs
+        scorer, langs = _scorer(shared), received(shared).langs
         for batch in slices(batches):
             for at, group in _grouped(batch.column(1).to_pylist()):
                 lang, score, sizes = [UNKNOWN] * len(group), np.zeros(len(group)), [len(g) for g in group]
@@ -345,11 +341,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words, labels): the most likely language of every word, for mixed texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, langs = _scorer(shared), shared.value.langs
+        scorer, langs = _scorer(shared), received(shared).langs
         for batch in slices(batches):
             for at, group in _grouped(batch.column(1).to_pylist()):
                 labels: list[list[str]] = [[UNKNOWN] * len(g) for g in group]
@@ -368,13 +364,19 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc_id {kind}, words array<string>, labels array<string>")
 
 
+def least_score(model: Model, share: float) -> float:
+    """The score that lies at ``share`` of the way from what all languages being as likely gives to certainty."""
+    even = 1 / max(1, len(model.langs))
+    return even + share * (1 - even)
+
+
 def in_known_language(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The documents, all columns as they are, whose language is found with a score of at least ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, langs = _scorer(shared), shared.value.langs
+        scorer, langs = _scorer(shared), received(shared).langs
         for batch in slices(batches):
             for at, group in _grouped(batch.column(at_text).to_pylist()):
                 keep = np.zeros(len(group), bool)

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, scratch, stored, worker_state
+from shelfmark.llm.common import pick, received, scratch, shipped, stored, worker_state
 
 ORDER = 2
 MIN_COUNT = 2
@@ -577,10 +577,10 @@ def score_tokens(trie: Trie, hashes: np.ndarray, lengths: np.ndarray) -> tuple[n
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every whole text."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _trie(shared.value)
+        trie = _trie(received(shared))
         m = trie.model
         rest = np.log10(float(m.total + m.tokens + 1))
         for batch in batches:

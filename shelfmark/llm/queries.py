@@ -44,14 +44,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of the table is the event that starts a message."""
+    """The rows as the log that writing them leaves (deltas, edits, regenerations), folded and rendered."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit("\\### Assistant: </turn> ok").alias("text"))
-    log = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"),
-                                         F.lit(None).cast("bigint").alias("target"), "role", "text")
-    return chat.digests(chat.format_log(log))
+    return chat.digests(chat.format_log(chat.as_log(rows.unionByName(extra))))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, slices, worker_state
+from shelfmark.llm.common import pick, received, shipped, slices, worker_state
 
 WORD = re.compile(r"[^\W_]+")
 SIZES = (3, 4, 5, 6)
@@ -190,11 +190,11 @@ def _scorer(model: Model) -> Scorer:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared.value)
+        scorer = _scorer(received(shared))
         for batch in slices(batches):
             z = np.array([scorer.margin(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())],

@@ -91,3 +91,28 @@ def test_long_and_empty(spark):
     r = chat.digests(chat.format_log(log(spark, rows))).first()
     assert (r["n_turns"], r["loss_chars"]) == (3000, 300000)
     assert chat.digests(chat.format_log(log(spark, []))).count() == 0
+
+
+def test_log_of_turns_folds_back(spark):
+    """Every kind of event occurs, and the fold gives the rows."""
+    rows = [(c, t, ["user", "assistant", None][(t or 0) % 3], f"text {c} {t} " + "x" * (t or 0)) for c in (1, 2, None) for t in (None, *range(14))]
+    rows += [(4, 0, "user", ""), (4, 1, "assistant", None), (5, 3, "user", "same"), (5, 3, "user", "same"), (5, 3, "user", "other")]
+    rows += [(6, i, "assistant", t) for i, t in enumerate(ODD)]
+    turns = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id bigint, turn bigint, role string, text string, kind string, seq string")
+    log = chat.as_log(turns)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = {}
+    for r in chat.fold(log).orderBy("seq").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    want = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert got == want
+    assert chat.as_log(turns.limit(0)).count() == 0
+
+
+def test_registered_query_runs_the_fold(spark):
+    from shelfmark.llm.queries import op5_chat_formatting
+
+    plan = op5_chat_formatting(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Window" in plan and "collect_list" in plan and "regenerate" in plan

@@ -75,6 +75,18 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(C.frame(spark, data), table).collect()} >= {(1000 + i, i) for i in range(20)}
 
 
+def test_shards_score_as_one_index(spark, monkeypatch):
+    rng = random.Random(9)
+    bench = [(i, C.prose(rng, rng.randrange(6, 90), lines=False) + " Straße İx don't", None) for i in range(40)]
+    docs = [(1000 + i, C.prose(rng, 60) + " " + t + " " + C.prose(rng, 60), "en", "s", 1) for i, t, _ in bench] + C.rows()
+    table = spark.createDataFrame([(i, t) for i, t, _ in bench], "item_id bigint, text string")
+    one = sorted(map(tuple, D.find_leaks(C.frame(spark, docs), table).collect()), key=str)
+    monkeypatch.setattr(D, "SHARD_CHARS", 3000)
+    many = sorted(map(tuple, D.find_leaks(C.frame(spark, docs), table).collect()), key=str)
+    near = lambda rows: [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows]
+    assert len(one) >= 40 and near(one) == near(many)
+
+
 def test_truncated_and_edited_items_leak(spark):
     rng = random.Random(6)
     bench = [(i, C.prose(rng, n, lines=False), None) for i, n in enumerate([5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 38, 59])]

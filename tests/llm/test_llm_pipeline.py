@@ -19,7 +19,8 @@ def folder(spark, tmp_path_factory):
     rng = random.Random(8)
     path = str(tmp_path_factory.mktemp("tables"))
     bench = [(i, C.prose(rng, 30)) for i in range(20)]
-    docs = [r for r in C.rows(seed=9, n=80) if r[0] is not None and r[0] not in (108, 109)]
+    # All prose here is of one make, so it is of one language where it has a label.
+    docs = [(*r[:2], r[2] and "en", *r[3:]) for r in C.rows(seed=9, n=80) if r[0] is not None and r[0] not in (108, 109)]
     docs += [(500 + i, C.prose(rng, 40) + " " + bench[i][1] + " " + C.prose(rng, 40), "en", "s", 1) for i in range(5)]
     base = docs[3][1].split()
     docs += [(600 + i, " ".join(base[:i * 9] + ["edit" + str(i)] + base[i * 9 + 1:]), "en", "s", 1) for i in range(3)]
@@ -66,6 +67,31 @@ def test_stages_equal_brute_force(spark, folder):
     assert {r["doc_id"]: r["ids"] for r in P.run(spark, folder).collect()} == out
 
 
+def test_texts_in_no_learned_language_go(spark, folder):
+    """Letters alone don't make a language: the score has to stand out from what any of four languages would get."""
+    docs = P.table(spark, "/root/testdata/sf0.01", "documents")
+    odd = ["qwrt zxcv bnmk plkj hgfd tyui vbnm wrtp", "中文 文本 在 这里", "...", "", None]
+    more = spark.createDataFrame([(-1 - i, t, None, "s", 1) for i, t in enumerate(odd)], docs.schema)
+    kept = {r["doc_id"] for r in P.language_id(spark, docs.unionByName(more), folder).select("doc_id").collect()}
+    assert not {-1 - i for i in range(len(odd))} & kept
+    assert len(kept) >= 0.99 * docs.count()
+
+
+def test_awkward_rows(spark, folder, tmp_path):
+    """Null and repeated ids, repeated rows and columns with clashing names go through all stages."""
+    data = [(*r[:2], r[2] and "en", *r[3:]) for r in C.rows(seed=9, n=30)]
+    C.frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    P.table(spark, folder, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = P.table(spark, str(tmp_path), "documents")
+    for _, stage in P.STAGES[:-1]:
+        docs = P.stored(stage(spark, docs, str(tmp_path)), "awkward")
+        assert docs.columns == C.COLUMNS.replace(" bigint", "").replace(" string", "").split(", ")
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert None in ids and 109 in ids and ids.count(108) <= 1 and not {102, 103, 104, 105} & set(ids)
+    got = P.tokenize(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, ids)) and all(r["n_tokens"] == len(r["ids"]) for r in got)
+
+
 def test_empty_documents(spark, folder, tmp_path):
     P.table(spark, folder, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     P.table(spark, folder, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")

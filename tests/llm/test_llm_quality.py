@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -50,8 +51,19 @@ def test_sql_gives_the_same(spark):
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
     found = quality.order_rules(C.frame(spark, C.rows() * 3))
-    gain = [share / cost for _, cost, share in found]
+    gain = [share / quality.STEP ** round(math.log(cost, quality.STEP)) for _, cost, share in found]
     assert gain == sorted(gain, reverse=True) and len(found) == len(quality.RULES)
+    shares = {rule.name: share for rule, _, share in found}
+    df = quality.measure(C.frame(spark, C.rows() * 3))
+    n = df.count()
+    assert shares == {r.name: df.filter(r.rejects()).count() / n for r in quality.RULES}
+
+
+def test_sample_has_its_size_and_repeats(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    one, two = (sorted(r["doc_id"] for r in quality.sampled(docs, 500).collect()) for _ in range(2))
+    assert one == two and 400 <= len(one) <= 600
+    assert quality.sampled(docs.limit(30), 500).count() == 30
 
 
 def test_empty_table(spark):

@@ -70,6 +70,26 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_split(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row a key, ``n`` rows of it in ``rows``), hot keys split.
+
+    ``rows`` has to be a stored table: a row's place there says which part of
+    its key's rows it belongs to, so rows equal in every column spread too and
+    a repeated task splits alike. A key is hot above twice the rows that a task
+    would get evenly; fewer keys than half the tasks can be, so they are
+    broadcast. Key columns must not be null; ``n`` is not among the results.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(1000, -(-2 * rows.count() // tasks))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    hot = F.broadcast(groups.filter(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("_parts")))
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    left = rows.withColumn("_place", place).join(hot, keys, "left").withColumn("_part", F.pmod("_place", parts).cast("int")).drop("_place", "_parts")
+    right = groups.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts", n)
+    return left.join(right, [*keys, "_part"], "left").drop("_part")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows, so that few texts are Python strings at a time."""
     for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark._util import with_once
-from shelfmark.llm.common import pick, stored, words
+from shelfmark.llm.common import join_split, pick, stored, words
 
 #: Lines of fewer words get no row (a blank line has none).
 MIN_EXACT = 1
@@ -183,8 +183,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only lines that occur again, or have a neighbour, can go.
     matter = (distinct.select("k1", "k2", F.col("at").alias("first_at"), "n").join(near, ["k1", "k2"], "left")
               .filter((F.col("n") > 1) | F.col("near_at").isNotNull())
-              .select("k1", "k2", "first_at", "near_at"))
-    out = every.select("at", "k1", "k2").join(matter, ["k1", "k2"], "left")
+              .select("k1", "k2", "first_at", "near_at", "n"))
+    # All places of a line get its first one: a very common line's are split over several tasks.
+    out = join_split(every.select("at", "k1", "k2"), stored(matter, "lines-that-matter"), ["k1", "k2"], "n")
     origin = F.coalesce(F.least("first_at", F.coalesce("near_at", "first_at")), "at")
     return (out.select("at", origin.alias("origin"))
             .select("at.doc_id", "at.tk", "at.line_no", (F.col("at") == F.col("origin")).alias("kept"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -132,15 +132,15 @@ FROM (SELECT *, IF(free AND start = 1, 1 - open, open) AS before
       FROM {_with_states("(SELECT * FROM {lines} JOIN {blocks} USING (file, block) WHERE NOT simple)", "PARTITION BY file, block ORDER BY at")})
 """
 
-_RECORDS_SQL = f"""
+_SIMPLE_SQL = "SELECT file, base + at - first + 1 AS row, shift, value AS text FROM {lines} JOIN {blocks} USING (file, block) WHERE simple"
+
+_SEVERAL_SQL = f"""
 WITH mixed AS ({_MIXED_SQL}),
 several AS (
   SELECT file, row, shift, sort_array(collect_list(struct(block, at, value))) AS parts
   FROM mixed WHERE before = 1 OR after = 1 GROUP BY file, row, shift)
-SELECT file, row, shift + row AS number, text FROM (
-  SELECT file, base + at - first + 1 AS row, shift, value AS text FROM {{lines}} JOIN {{blocks}} USING (file, block) WHERE simple
-  UNION ALL SELECT file, row, shift, value FROM mixed WHERE before = 0 AND after = 0
-  UNION ALL SELECT file, row, shift, array_join(parts.value, '\\n') FROM several)
+SELECT file, row, shift, value AS text FROM mixed WHERE before = 0 AND after = 0
+UNION ALL SELECT file, row, shift, array_join(parts.value, '\\n') FROM several
 """
 
 
@@ -158,9 +158,13 @@ def read_grid_records(spark: SparkSession, path: str) -> DataFrame:
     quote inside a cell that is not quoted is a letter and costs no row; a
     quoted cell that is never closed reaches to the end of its file.
     """
-    lines = block_lines(spark, path, effect=line_effect())
-    blocks = written(spark.sql(_BLOCKS_SQL, lines=lines), "grid-blocks")
-    return spark.sql(_RECORDS_SQL, lines=lines, blocks=blocks)
+    lines, kinds = block_lines(spark, path, effect=line_effect()), Observation()
+    counts = [F.count_if(F.col("simple")).alias("simple"), F.count_if(~F.col("simple")).alias("mixed")]
+    blocks = written(spark.sql(_BLOCKS_SQL, lines=lines).observe(kinds, *counts), "grid-blocks")
+    # Kinds of blocks that there are none of are left out of the plan.
+    parts = [spark.sql(text, lines=lines, blocks=blocks) for text, n in ((_SIMPLE_SQL, kinds.get["simple"]), (_SEVERAL_SQL, kinds.get["mixed"])) if n]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else spark.sql(_SIMPLE_SQL, lines=lines, blocks=blocks)
+    return rows.select("file", "row", (F.col("shift") + F.col("row")).alias("number"), "text")
 
 
 def _cells(text: str, columns: int) -> Column:

@@ -78,15 +78,27 @@ def test_stray_quote_costs_no_row(spark, tmp_dir, small_blocks):
     assert [r.c0 for r in read_grid_export(spark, tmp_dir, "B2:B4").orderBy("row").collect()] == ['5" disk book', "two\nlines", 'a "b"\n\nc']
 
 
-def test_no_window_sorts_rows_that_are_lines(spark, tmp_dir, small_blocks):
-    """Blocks without an open cell are numbered where they are: their texts meet no window and no text leaves its task."""
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_whose_lines_are_rows_are_numbered_in_place(spark, tmp_dir, small_blocks):
+    """No window and no group: no text leaves its task."""
     small_blocks(64, 1)
     _write(tmp_dir, "a.csv", "".join(f'{k},"t, {k}"\n' for k in range(200)))
     rows = read_grid_records(spark, tmp_dir)
     assert [r.row for r in rows.orderBy("number").collect()] == list(range(1, 201))
-    plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert all("file#" in w.split("], [")[1] and "block#" in w.split("], [")[1] for w in windows), windows
+    assert "Window" not in _plan(rows) and "Aggregate" not in _plan(rows)
+
+
+def test_windows_take_a_block_at_most(spark, tmp_dir, small_blocks):
+    small_blocks(64, 1)
+    _write(tmp_dir, "a.csv", "".join(f'{k},"t\n{k}"\n' for k in range(50)))
+    _write(tmp_dir, "b.csv", "".join(f"{k},t\n" for k in range(50)))
+    rows = read_grid_records(spark, tmp_dir)
+    assert [r.number for r in rows.orderBy("number").collect()] == list(range(1, 101))
+    windows = [line for line in _plan(rows).splitlines() if "Window [" in line]
+    assert windows and all("file#" in w.split("], [")[1] and "block#" in w.split("], [")[1] for w in windows), windows
 
 
 def test_line_order_over_files_of_unequal_size(spark, tmp_dir, small_blocks):

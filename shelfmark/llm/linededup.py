@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col:
     lines = with_once(there.select("doc_id", "tk", "x.line_no", "x.line"), words(F.col("line")), "w")
     lines = lines.select(*_key(), F.struct("doc_id", "tk", "line_no").alias("at"), "w").dropDuplicates(["k1", "k2", "at"])
     lines = stored(lines, "line-words")
-    rest = lines.select("k1", F.explode(_all_but_one()).alias("rest"))
+    # Stored, as both sides of the semi-join read it: the hashes are the dearest step of all.
+    rest = stored(lines.select("k1", F.explode(_all_but_one()).alias("rest")), "line-rests")
     close = rest.join(_shared(rest, "rest"), "rest", "left_semi").select("k1").distinct()
     lines = stored(lines.join(close, "k1", "left_semi"), "close-lines")
 

@@ -123,3 +123,18 @@ def test_common_line_is_split(spark):
             spark.conf.set(k, v)
     assert len(out) == 9500 and all(r["g"] == 2 * r["k"] for r in out)
     assert len({r["p"] for r in out if r["k"] == 1}) > 1
+
+
+def test_part_hashes_are_made_once(spark, monkeypatch):
+    """What the semi-join of step 2 reads on both sides is a written table, not the hashing again."""
+    plans, real = {}, L.stored
+
+    def seen(df, name, *args):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name, *args)
+
+    monkeypatch.setattr(L, "stored", seen)
+    rows = [(i, f"one two three four five six seven eight nine {'ten' if i % 2 else 'eleven'} w{i // 2} twelve") for i in range(20)]
+    found = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in found if r.kept] == [0] and len(found) == 20   # each is one word from an earlier one
+    assert "Generate" in plans["line-rests"] and "Generate" not in plans["close-lines"]

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import llm_cases as C
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.llm import lm
@@ -118,3 +119,37 @@ def test_empty_tables(spark):
 def test_remote_folder_is_refused():
     with pytest.raises(ValueError):
         lm._local_folder("hdfs://store/shared")
+
+
+def test_words_are_split_as_by_the_plain_function(monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 40)
+    blanks = "".join(map(chr, [*range(0x00, 0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x3000]))
+    texts = ["", None, "  ", " a  b ", "A\tÄ\u212a İ b\nA", "x".join(blanks), *(f"{c}q{c}" for c in blanks), "end", " end", "w " * 100]
+    flushes = list(lm._flushes(iter([pa.record_batch({"t": texts[:9]}), pa.record_batch({"t": texts[9:]})]), 0, 30))
+    assert len(flushes) > 2 and all((np.diff(h.astype(object)) > 0).all() for h, _, _ in flushes)
+    tokens = np.concatenate([h[c] for h, c, _ in flushes])
+    lengths = np.concatenate([n for _, _, n in flushes])
+    assert [x.tolist() for x in np.split(tokens, np.cumsum(lengths)[:-1])] == [lm.token_hashes(t) for t in texts]
+
+
+def test_large_counts_are_exact(tmp_path):
+    counts = np.array([1, 14, 15, 256, 70_000, 1 << 40, 3])
+    lm._save(str(tmp_path), 0, lm._counted(counts))
+    assert lm._all_counts(str(tmp_path), 0).tolist() == counts.tolist()
+    model = lm.Model(str(tmp_path), 1, 0, 0, 0.0, bases=[np.array([0])])
+    model.level = lambda n: str(tmp_path)
+    assert lm.Trie(model).values(1, np.array([5, -1, 2, 0, 4]), "count").tolist() == [1 << 40, 0, 15, 1, 70_000]
+
+
+def test_disk_of_levels_and_shuffles_is_bounded(spark, tmp_path, monkeypatch):
+    """Levels take a few bytes an n-gram, and nothing but them is stored: order 3 with single n-grams took over 4 x the input."""
+    monkeypatch.setattr(lm, "scratch", lambda s, name: f"{tmp_path}/{name}")
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [(i, " ".join(words[j] for j in rng.zipf(1.3, 400) % 4000)) for i in range(400)]
+    model = lm.build(spark.createDataFrame(texts, "doc_id bigint, text string"), order=3, min_count=1)
+    sizes = [lm._all_counts(model.level(n), 0) for n in (1, 2, 3)]
+    assert all(x.min() >= 1 for x in sizes) and len(sizes[2]) > 60_000
+    made = {d.name: sum(f.stat().st_size for f in d.rglob("*") if f.is_file()) for d in tmp_path.iterdir()}
+    assert set(made) == {"ngrams"} and made["ngrams"] < 10 * sum(map(len, sizes)) + 20_000
+    assert [x.tolist() for x in map(lambda c: lm._expand(lm._squeeze(c), c.dtype), sizes)] == [x.tolist() for x in sizes]
